@@ -22,6 +22,7 @@ from ..sources.tables import (
 )
 
 LOAD_PREFIX = "LOAD"  # fixed value: how names of full-load metadata files begin
+ONE_PASS_BYTES = 10 * 1024 * 1024
 
 
 def open_batch(
@@ -37,12 +38,9 @@ def batch_rows(
     return normalize(read_batch(spark, batch), batch.datetime_columns, parse_datetime, timestamp_type)
 
 
-def is_large(spark: SparkSession, batch: Batch) -> bool:
-    """The batch's files are beyond what Spark would broadcast: merge in one pass."""
-    sizes = spark.read.format("binaryFile").load(list(batch.files)).agg(F.sum("length")).first()[0] or 0
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text) if text != "-1" else -1
-    return sizes > limit
+def batch_bytes(spark: SparkSession, batch: Batch) -> int:
+    """Size of the batch's data files, from a listing."""
+    return spark.read.format("binaryFile").load(list(batch.files)).agg(F.sum("length")).first()[0] or 0
 
 
 def initial_load(
@@ -72,11 +70,14 @@ def load_changes(
     partition_by: Sequence[str] = (),
     keep_metadata: bool = False,
     phase_order: str = "event_time",
+    one_pass_above: int = ONE_PASS_BYTES,
     **options,
 ) -> int | None:
     """Apply every change batch in a folder to a table: `latest`, `delete_wins` or `history`.
 
-    Without metadata files the table stays as it is. A missing table starts empty.
+    Without metadata files the table stays as it is. A missing table starts empty. Batches
+    of more than `one_pass_above` bytes are merged in one pass; set it to what the
+    session broadcasts (`spark.sql.autoBroadcastJoinThreshold`).
     """
     batch = open_batch(spark, changes_path)
     if batch is None:
@@ -84,7 +85,7 @@ def load_changes(
     changes = batch_rows(spark, batch, **options)
     columns = [c for c in changes.columns if c in batch.table_schema.names]
     schema = changes.select(*columns).schema
-    large = is_large(spark, batch)
+    large = batch_bytes(spark, batch) > one_pass_above
     if mode == "history":
         time = changes.schema["header__timestamp"].dataType.simpleString()
         history = read_table(spark, table_root, history_schema(schema, time))

@@ -43,15 +43,20 @@ class Batch:
 def read_batch_catalog(
     spark: SparkSession, path: str, prefix: str = "", data_dir: str | None = None
 ) -> DataFrame:
-    """One row per metadata file `<prefix>*.dfm` directly under `path`.
+    """One row per metadata file `<prefix>*.dfm` directly under `path`."""
+    raw = spark.read.option("pathGlobFilter", f"{prefix}*.dfm").text(path, wholetext=True)
+    return parse_catalog(raw.select(F.col("_metadata.file_path").alias("metadata_file"), "value"), data_dir)
+
+
+def parse_catalog(raw: DataFrame, data_dir: str | None = None) -> DataFrame:
+    """Metadata texts (metadata_file, value) as columns.
 
     `data_dir` names the folder that holds the data files; without it each metadata
     file's own location counts. `columns_json` is the column list with object fields
     sorted, so that two lists are equal exactly when the texts are.
     """
-    raw = spark.read.option("pathGlobFilter", f"{prefix}*.dfm").text(path, wholetext=True)
     parsed = raw.select(
-        F.col("_metadata.file_path").alias("metadata_file"),
+        "metadata_file",
         F.from_json("value", _METADATA_SCHEMA).alias("m"),
         F.try_parse_json("value").alias("v"),
     )

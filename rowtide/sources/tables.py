@@ -53,17 +53,26 @@ def next_generation(spark: SparkSession, root: str) -> int:
 def read_table(
     spark: SparkSession,
     root: str,
-    default_schema: T.StructType | None = None,
+    schema: T.StructType | None = None,
     generation: int | None = None,
 ) -> DataFrame:
-    """The current (or a given) generation; an empty table of `default_schema` if there is none."""
+    """The current (or a given) generation; an empty table of `schema` if there is none.
+
+    `schema` also gives columns that come from folder names their type, and its columns
+    come first.
+    """
     if generation is None:
         generation = current_generation(spark, root)
     if generation is None:
-        if default_schema is None:
+        if schema is None:
             raise FileNotFoundError(f"no table at {root}")
-        return spark.createDataFrame([], default_schema)
-    return spark.read.parquet(generation_path(root, generation))
+        return spark.createDataFrame([], schema)
+    df = spark.read.parquet(generation_path(root, generation))
+    if schema is None:
+        return df
+    declared = [f for f in schema.fields if f.name in df.columns]
+    rest = [c for c in df.columns if c not in schema.names]
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in declared], *rest)
 
 
 def write_generation(

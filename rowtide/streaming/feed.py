@@ -29,7 +29,10 @@ def apply_batch(
     before = batch_id if batch_id in done else None
     if before is None and batch_id > 0:
         raise FileNotFoundError(f"generation {batch_id} of {table_root} is missing")
-    table = spark.createDataFrame([], table_schema) if before is None else read_table(spark, table_root, generation=before)
+    if before is None:
+        table = spark.createDataFrame([], table_schema)
+    else:
+        table = read_table(spark, table_root, table_schema, generation=before)
     write_generation(apply(table, batch), table_root, batch_id + 1, partition_by)
 
 
