@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import (
     check_keys,
@@ -20,15 +20,15 @@ from ..functions.contract import CHANGE_OPERATION, DELETE, INSERT, UPDATE
 DELETED = "__deleted"
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key.
+def greatest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of each key that is greatest by `order`, null lowest; only these columns remain.
 
-    Spark turns `row_number() = 1` into a limit per key on both sides of the shuffle:
-    each task sends at most one row per key, however many rows a hot key has.
+    A maximum over a struct is combined before the shuffle: each task sends one row per
+    key, however many rows a hot key has.
     """
-    rank = "__rank"
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) == 1).drop(rank)
+    greatest = "__greatest"
+    rows = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias(greatest))
+    return rows.select(*keys, *[F.col(f"{greatest}.`{c}`") for c in order])
 
 
 def compact_changes(
@@ -44,13 +44,13 @@ def compact_changes(
     in declared order, null lowest). `delete_wins` puts any delete above all times.
     """
     keys = check_keys(changes, keys)
-    times = [F.desc(c) for c in order_columns(changes, order_by)]
-    payload = [F.desc(c) for c in payload_columns(changes, keys)]
+    times = order_columns(changes, order_by)
+    order = [DELETED, *times] if delete_wins else [*times, DELETED]
+    order += [c for c in payload_columns(changes, keys) if c not in order]
+    if keep_metadata:
+        order += [c for c in changes.columns if c not in order and c not in keys]
     flagged = changes.where(is_change()).withColumn(DELETED, is_delete())
-    order = [*times, F.desc(DELETED), *payload]
-    if delete_wins:
-        order = [F.desc(DELETED), *order]
-    latest = first_per_key(flagged, keys, order)
+    latest = greatest_per_key(flagged, keys, order)
     columns = changes.columns if keep_metadata else table_columns(changes)
     return latest.select(*columns, DELETED)
 
@@ -59,7 +59,7 @@ def deduplicate(df: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFr
     """One row per key: the highest `by` values, then the larger row in declared order."""
     keys = check_keys(df, keys)
     rest = [c for c in df.columns if c not in keys and c not in by]
-    return first_per_key(df, keys, [F.desc(c) for c in [*by, *rest]])
+    return greatest_per_key(df, keys, [*by, *rest]).select(*df.columns)
 
 
 def split_operations(changes: DataFrame) -> dict[str, DataFrame]:

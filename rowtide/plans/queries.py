@@ -9,13 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.contract import CHANGE_OPERATION, CHANGE_TIMESTAMP
 from ..operators.apply import apply_delete_wins, apply_latest
-from ..operators.compact import (
-    compact_changes,
-    deduplicate,
-    first_per_key,
-    split_operations,
-    split_upserts_deletes,
-)
+from ..operators.compact import compact_changes, deduplicate, split_operations, split_upserts_deletes
 from ..operators.history import as_of, current_rows, initial_history, late_changes, scd2_apply
 from ..operators.measure import change_stats, size_report
 from ..sources.catalog import (
@@ -236,7 +230,7 @@ def apply_delete_wins_orders(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ORDER_FEED_SQL}, {delete_wins_sql(ORDER_RANK)}
+    f"""WITH {ORDER_FEED_SQL}, {delete_wins_sql(ORDER_RANK + ", op DESC")}
     SELECT id, status, amount, NULL::TIMESTAMP AS header__timestamp, NULL::VARCHAR AS header__change_oper FROM target
     WHERE id NOT IN (SELECT id FROM upserts) AND id NOT IN (SELECT id FROM removed)
     UNION ALL SELECT id, status, amount, ts, op FROM upserts WHERE id NOT IN (SELECT id FROM removed)"""
@@ -340,8 +334,8 @@ def history_late_changes(spark, sf_dir):
 )
 def history_phases(spark, sf_dir):
     changes = customer_changes(spark, sf_dir, 100.0).where(F.col(CHANGE_OPERATION) != "B")
-    order = [F.asc(CHANGE_TIMESTAMP), F.asc("name"), F.asc("value")]
-    once = first_per_key(changes, ["id", CHANGE_OPERATION], order)
+    first = F.min(F.struct(CHANGE_TIMESTAMP, "name", "value")).alias("first")
+    once = changes.groupBy("id", CHANGE_OPERATION).agg(first).select("id", CHANGE_OPERATION, "first.*")
     base = initial_history(customers(spark, sf_dir), F.lit("2023-01-01").cast(NTZ))
     return scd2_apply(base, once, ["id"], order="op_phase")
 
