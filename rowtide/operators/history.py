@@ -189,12 +189,17 @@ def _with_next(rows: DataFrame, keys: list[str], order: list[Column], hot: DataF
     )
 
 
-def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows) -> DataFrame:
+def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_rows) -> DataFrame:
     columns = table_columns(changes)
     times = order_columns(changes, order_by)
     types = {f.name: f.dataType for f in history.schema.fields}
     changes = changes.where(is_change())
-    hot = None if hot_key_rows is None else hot_key_bounds(changes, keys, times[0], hot_key_rows)
+    hot = None
+    if hot_key_rows is not None:
+        if feed_rows is None:
+            feed_rows = changes.count()
+        if feed_rows > hot_key_rows:
+            hot = hot_key_bounds(changes, keys, times[0], hot_key_rows)
 
     open_versions = history.where("current")
     if one_pass:
@@ -247,11 +252,11 @@ def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows) -> Dat
         F.col(_TIME).alias("effective_date"),
         F.col(f"{_NEXT}.{_TIME}").alias("end_date"),
     )
-    result = history.where(~F.col("current")).unionByName(versions.select(*history.columns))
-    return result if untouched is None else result.unionByName(untouched)
+    versions = versions.select(*history.columns)
+    return versions if untouched is None else versions.unionByName(untouched)
 
 
-def _op_phase(history, changes, keys, order_by) -> DataFrame:
+def _op_phase(history, changes, keys) -> DataFrame:
     columns = table_columns(changes)
     types = {f.name: f.dataType for f in history.schema.fields}
     time = F.col(CHANGE_TIMESTAMP).cast(types["effective_date"])
@@ -288,10 +293,10 @@ def _op_phase(history, changes, keys, order_by) -> DataFrame:
             .otherwise(F.col("end_date")),
         }
     )
-    return history.where(~F.col("current")).unionByName(versions.select(*history.columns))
+    return versions.select(*history.columns)
 
 
-def scd2_apply(
+def scd2_versions(
     history: DataFrame,
     changes: DataFrame,
     keys: Sequence[str],
@@ -299,8 +304,12 @@ def scd2_apply(
     order_by: Sequence[str] | None = None,
     one_pass: bool = False,
     hot_key_rows: int | None = 1_000_000,
+    feed_rows: int | None = None,
 ) -> DataFrame:
-    """The history after a batch of changes.
+    """What a batch of changes makes of a history, without the versions closed before.
+
+    Those never change again: a history that is stored by `current` keeps their files and
+    needs only these rows written.
 
     `event_time`: changes take effect in time order. Each insert or update starts a
     version that ends at the key's next change, deleted if that is a delete. Changes not
@@ -310,16 +319,22 @@ def scd2_apply(
     `op_phase`: all inserts, then all updates, then all deletes; at most one update and
     one delete per key in a batch. Applying a batch again appends its versions again.
 
-    Versions that are closed pass through untouched, so a history stored by `current`
-    is only copied there. Of the open ones, those without changes pass an anti join and
-    are not shuffled while the changed keys are small enough to broadcast; `one_pass`
-    is for batches beyond that: all open versions meet the changes in one shuffle.
-    A key with more than `hot_key_rows` changes is cut by time into parts that are worked
-    on apart and then joined at the seams.
+    Open versions without changes pass an anti join and are not shuffled while the
+    changed keys are small enough to broadcast; `one_pass` is for batches beyond that:
+    all open versions meet the changes in one shuffle. A key with more than
+    `hot_key_rows` changes is cut by time into parts that are worked on apart and joined
+    at the seams; the search for such keys is left out if the whole feed (`feed_rows`,
+    counted if not given) is no larger.
     """
     keys = check_keys(changes, keys)
     if order == "event_time":
-        return _event_time(history, changes, keys, order_by, one_pass, hot_key_rows)
+        return _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_rows)
     if order == "op_phase":
-        return _op_phase(history, changes, keys, order_by)
+        return _op_phase(history, changes, keys)
     raise ValueError(f"unknown order {order!r}")
+
+
+def scd2_apply(history: DataFrame, changes: DataFrame, keys: Sequence[str], **options) -> DataFrame:
+    """The whole history after a batch of changes; options as for `scd2_versions`."""
+    closed = history.where(~F.col("current"))
+    return closed.unionByName(scd2_versions(history, changes, keys, **options))

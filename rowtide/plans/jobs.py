@@ -7,9 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.contract import MAX_PARTITION_BYTES
-from ..operators.apply import apply_delete_wins, apply_latest
 from ..operators.compact import deduplicate
-from ..operators.history import history_schema, scd2_apply
 from ..sources.catalog import Batch, batch_from_catalog, read_batch_catalog
 from ..sources.changes import normalize, read_batch
 from ..sources.tables import (
@@ -20,6 +18,7 @@ from ..sources.tables import (
     stale_files,
     write_generation,
 )
+from .merge import LATEST, apply_to_table
 
 LOAD_PREFIX = "LOAD"  # fixed value: how names of full-load metadata files begin
 ONE_PASS_BYTES = 10 * 1024 * 1024
@@ -49,6 +48,7 @@ def initial_load(
     table_root: str,
     dedup_by: Sequence[str] | None = None,
     partition_by: Sequence[str] = (),
+    buckets: int | None = None,
     **options,
 ) -> int | None:
     """Full load into a new generation. `dedup_by` keeps the highest row per key (keyed bulk load)."""
@@ -58,48 +58,40 @@ def initial_load(
     df = batch_rows(spark, batch, **options)
     if dedup_by is not None:
         df = deduplicate(df, batch.keys, dedup_by)
-    return write_generation(df, table_root, partition_by=partition_by)
+    return write_generation(df, table_root, partition_by=partition_by, keys=batch.keys, buckets=buckets)
 
 
 def load_changes(
     spark: SparkSession,
     changes_path: str,
     table_root: str,
-    mode: str = "latest",
-    order_by: Sequence[str] | None = None,
-    partition_by: Sequence[str] = (),
-    keep_metadata: bool = False,
-    phase_order: str = "event_time",
+    mode: str = LATEST,
     one_pass_above: int = ONE_PASS_BYTES,
+    parse_datetime: bool = True,
+    timestamp_type: str = "timestamp",
     **options,
 ) -> int | None:
-    """Apply every change batch in a folder to a table: `latest`, `delete_wins` or `history`.
+    """Apply every change batch in a folder to a table; options as for `apply_to_table`.
 
-    Without metadata files the table stays as it is. A missing table starts empty. Batches
-    of more than `one_pass_above` bytes are merged in one pass; set it to what the
-    session broadcasts (`spark.sql.autoBroadcastJoinThreshold`).
+    Without metadata files the table stays as it is. Batches of more than
+    `one_pass_above` bytes are merged in one pass; set it to what the session broadcasts
+    (`spark.sql.autoBroadcastJoinThreshold`).
     """
     batch = open_batch(spark, changes_path)
     if batch is None:
         return current_generation(spark, table_root)
-    changes = batch_rows(spark, batch, **options)
-    columns = [c for c in changes.columns if c in batch.table_schema.names]
-    schema = changes.select(*columns).schema
-    large = batch_bytes(spark, batch) > one_pass_above
-    if mode == "history":
-        time = changes.schema["header__timestamp"].dataType.simpleString()
-        history = read_table(spark, table_root, history_schema(schema, time))
-        result = scd2_apply(history, changes, batch.keys, phase_order, order_by, one_pass=large)
-        partition_by = partition_by or ("current",)
-    elif mode == "delete_wins":
-        table = read_table(spark, table_root, schema)
-        result = apply_delete_wins(table, changes, batch.keys, order_by, keep_metadata, one_pass=large)
-    elif mode == "latest":
-        table = read_table(spark, table_root, schema)
-        result = apply_latest(table, changes, batch.keys, order_by, one_pass=large)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return write_generation(result, table_root, partition_by=partition_by)
+    changes = batch_rows(spark, batch, parse_datetime, timestamp_type)
+    return apply_to_table(
+        spark,
+        table_root,
+        changes,
+        batch.keys,
+        changes.select(*batch.table_schema.names).schema,
+        mode,
+        one_pass=batch_bytes(spark, batch) > one_pass_above,
+        feed_rows=batch.record_count,
+        **options,
+    )
 
 
 def snapshot(spark: SparkSession, table_root: str, path: str, max_bytes: int = MAX_PARTITION_BYTES) -> None:

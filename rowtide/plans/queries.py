@@ -24,6 +24,7 @@ from ..sources.changes import normalize, quarantine, read_batch
 from ..sources.tables import compact_table, export_snapshot, read_table, stale_files, write_generation
 from ..streaming.feed import stream_changes
 from .jobs import batch_rows, load_changes, open_batch
+from .merge import apply_to_table
 from .scenario import (
     CUSTOMER_WIRE_COLUMNS,
     LOAD_DATE,
@@ -529,6 +530,30 @@ def export_snapshot_orders(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query(f"WITH {ORDER_FEED_SQL}, {latest_sql(ORDER_RANK)} {merged_sql('id, status, amount')}")
+def merge_orders_in_buckets(spark, sf_dir):
+    """Two batches, cut in time, into a stored table of 16 buckets."""
+    root = scratch_dir(spark)
+    loaded, changes = loaded_orders(spark, sf_dir), order_changes(spark, sf_dir)
+    write_generation(loaded, root, keys=["id"], buckets=16)
+    cut = F.lit("1999-01-01").cast(NTZ)
+    for part in (changes.where(F.col(CHANGE_TIMESTAMP) < cut), changes.where(F.col(CHANGE_TIMESTAMP) >= cut)):
+        apply_to_table(spark, root, part, ["id"], loaded.schema, one_pass=True)
+    return read_table(spark, root)
+
+
+@query(f"WITH {ORDER_HISTORY_SQL} SELECT * FROM history")
+def merge_history_in_buckets(spark, sf_dir):
+    """Two batches, cut in time, into a stored history: closed versions are not rewritten."""
+    root = scratch_dir(spark)
+    base, changes = _order_base(spark, sf_dir), order_changes(spark, sf_dir)
+    write_generation(base, root, partition_by=["current"], keys=["id"], buckets=16)
+    cut = F.lit("1999-01-01").cast(NTZ)
+    for part in (changes.where(F.col(CHANGE_TIMESTAMP) < cut), changes):
+        apply_to_table(spark, root, part, ["id"], loaded_orders(spark, sf_dir).schema, "history", one_pass=True)
+    return read_table(spark, root)
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate FROM lineitem")
 def compact_table_lineitem(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
@@ -570,8 +595,8 @@ def stream_latest(spark, sf_dir):
         path,
         batch.batch_schema,
         root,
+        batch.keys,
         batch.table_schema,
-        lambda target, changes: apply_latest(target, changes, batch.keys),
         checkpoint=path + "_checkpoint",
         datetime_columns=batch.datetime_columns,
         timestamp_type=NTZ,

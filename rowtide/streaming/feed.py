@@ -2,38 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.merge import LATEST, apply_to_table
 from ..sources.changes import normalize
-from ..sources.tables import committed_generations, read_table, write_generation
-
-Apply = Callable[[DataFrame, DataFrame], DataFrame]
+from ..sources.tables import committed_generations
 
 
 def apply_batch(
-    batch: DataFrame, batch_id: int, table_root: str, table_schema: T.StructType, apply: Apply, partition_by=()
+    batch: DataFrame,
+    batch_id: int,
+    table_root: str,
+    keys: Sequence[str],
+    table_schema: T.StructType,
+    mode: str = LATEST,
+    **options,
 ) -> None:
-    """Apply micro-batch n of a feed: read generation n, write generation n + 1.
+    """Apply micro-batch n of a feed to generation n; the result is generation n + 1.
 
-    Generation 0 is the table before the feed began. A batch that Spark repeats after a
-    failure finds its generation committed, or writes it again from the same input, so it
-    is never applied twice.
+    Generation 0 is the table before the feed began, if there was one. A batch that Spark
+    repeats after a failure finds its generation committed, or writes it again from the
+    same input, so it is never applied twice.
     """
     spark = batch.sparkSession
     done = committed_generations(spark, table_root)
     if batch_id + 1 in done:
         return
-    before = batch_id if batch_id in done else None
-    if before is None and batch_id > 0:
+    if batch_id not in done and batch_id > 0:
         raise FileNotFoundError(f"generation {batch_id} of {table_root} is missing")
-    if before is None:
-        table = spark.createDataFrame([], table_schema)
-    else:
-        table = read_table(spark, table_root, table_schema, generation=before)
-    write_generation(apply(table, batch), table_root, batch_id + 1, partition_by)
+    base = batch_id if batch_id in done else None
+    apply_to_table(
+        spark, table_root, batch, keys, table_schema, mode, base=base, generation=batch_id + 1, **options
+    )
 
 
 def stream_changes(
@@ -41,19 +44,20 @@ def stream_changes(
     changes_dir: str,
     batch_schema: T.StructType,
     table_root: str,
+    keys: Sequence[str],
     table_schema: T.StructType,
-    apply: Apply,
     checkpoint: str,
+    mode: str = LATEST,
     datetime_columns: Sequence[str] = (),
     timestamp_type: str = "timestamp",
     files: str = "*.json",
     files_per_batch: int | None = None,
-    partition_by: Sequence[str] = (),
+    **options,
 ) -> StreamingQuery:
     """Apply the change files not yet seen, oldest first, then stop.
 
-    `apply(table, changes)` gives the new table, as `apply_latest` or `scd2_apply` do.
-    One checkpoint belongs to one table, whose generation 0, if any, is the initial load.
+    `mode` and further options are those of `apply_to_table`. One checkpoint belongs to
+    one table, and only the stream writes to that table.
     """
     reader = spark.readStream.schema(batch_schema).option("pathGlobFilter", files)
     if files_per_batch:
@@ -61,7 +65,7 @@ def stream_changes(
     changes = normalize(reader.json(changes_dir), datetime_columns, timestamp_type=timestamp_type)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, batch_id, table_root, table_schema, apply, partition_by)
+        apply_batch(batch, batch_id, table_root, keys, table_schema, mode, **options)
 
     return (
         changes.writeStream.foreachBatch(step)
