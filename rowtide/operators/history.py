@@ -35,7 +35,8 @@ _HOT = "__hot"
 
 # Keys whose changes are split; any key left whole has under 1/1000 of the feed.
 _MAX_HOT_KEYS = 1000
-_MAX_SEGMENTS = 1000
+_MAX_SEGMENTS = 4096
+_BOUND_GROUP = 64
 _NULL_KEY_SEGMENTS = 1024
 
 
@@ -102,9 +103,10 @@ def hot_key_bounds(
 ) -> DataFrame | None:
     """Keys with more than `max_rows` changes, each with times that cut them into even parts.
 
-    Runs two small aggregations now. What comes back to the driver is bounded by the
-    number of hot keys (1000) and parts (1000), not by the data. None if no key is hot or
-    the time column's type has no quantiles.
+    Runs two aggregations now. What comes back to the driver is bounded: 1000 hot keys,
+    and one time per `max_rows` changes of theirs, at most 4096 per key. The times are
+    nested in groups of 64, so that finding a row's part takes few comparisons. None if
+    no key is hot or the time column's type has no quantiles.
     """
     splittable = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
     if not isinstance(changes.schema[time_column].dataType, splittable):
@@ -114,16 +116,29 @@ def hot_key_bounds(
     hot = counts.orderBy(F.desc("n")).limit(_MAX_HOT_KEYS).collect()
     if not hot:
         return None
-    parts = min(_MAX_SEGMENTS, ceil(hot[0]["n"] / max_rows))
     spark = changes.sparkSession
-    hot_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], counts.select(*keys).schema)
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = (
-        rows.join(F.broadcast(hot_keys), list(keys))
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx(time_column, cuts)).alias(_BOUNDS))
-    )
-    return spark.createDataFrame(bounds.collect(), bounds.schema)
+    hot_keys = spark.createDataFrame(hot, counts.schema)
+    parts = min(_MAX_SEGMENTS, ceil(hot[0]["n"] / max_rows))
+    cuts = F.percentile_approx(time_column, [i / parts for i in range(1, parts)], 10 * max(parts, 1000))
+    found = rows.join(F.broadcast(hot_keys), list(keys)).groupBy(*keys, "n").agg(cuts.alias("cuts"))
+    bounds = []
+    for row in found.collect():
+        step = max(1, int(parts * max_rows / row["n"]))
+        times = sorted(set(row["cuts"][step - 1 :: step]))
+        groups = [times[i : i + _BOUND_GROUP] for i in range(0, len(times), _BOUND_GROUP)]
+        bounds.append((*[row[k] for k in keys], groups))
+    time_type = changes.schema[time_column].dataType
+    nested = T.StructField(_BOUNDS, T.ArrayType(T.ArrayType(time_type)))
+    return spark.createDataFrame(bounds, T.StructType([*counts.select(*keys).schema.fields, nested]))
+
+
+def _part(time_column: str) -> Column:
+    """A time's segment, rising with time: groups that end before it, then bounds in the next group."""
+    time = F.col(time_column)
+    whole = F.size(F.filter(_BOUNDS, lambda group: F.element_at(group, -1) < time))
+    group = F.get(_BOUNDS, whole)
+    within = F.coalesce(F.size(F.filter(group, lambda bound: bound < time)), F.lit(0))
+    return whole * _BOUND_GROUP + within
 
 
 def _segmented(changes: DataFrame, keys: list[str], hot: DataFrame | None, time_column: str) -> DataFrame:
@@ -135,8 +150,7 @@ def _segmented(changes: DataFrame, keys: list[str], hot: DataFrame | None, time_
     spread = -1 - F.pmod(F.xxhash64(*changes.columns), F.lit(_NULL_KEY_SEGMENTS)).cast("int")
     if hot is None:
         return changes.withColumns({_SEGMENT: F.when(has_null(keys), spread).otherwise(0), _HOT: F.lit(False)})
-    earlier = F.filter(_BOUNDS, lambda b: b < F.col(time_column))
-    part = F.when(F.col(_BOUNDS).isNull() | F.col(time_column).isNull(), 0).otherwise(F.size(earlier))
+    part = F.when(F.col(_BOUNDS).isNull() | F.col(time_column).isNull(), 0).otherwise(_part(time_column))
     return (
         changes.join(F.broadcast(hot), keys, "left")
         .withColumns({_SEGMENT: F.when(has_null(keys), spread).otherwise(part), _HOT: F.col(_BOUNDS).isNotNull()})
@@ -154,7 +168,7 @@ def _newer(changes: DataFrame, newest: DataFrame, keys: list[str], hot: DataFram
     last = F.lit(0)
     if hot is not None:
         newest = newest.join(F.broadcast(hot), keys, "left")
-        last = F.coalesce(F.size(_BOUNDS), last)
+        last = F.coalesce(F.size(_BOUNDS) * _BOUND_GROUP, last)
     newest = newest.withColumn(_SEGMENT, F.explode(F.sequence(F.lit(0), last))).drop(_BOUNDS)
     time = F.col(CHANGE_TIMESTAMP)
     return (

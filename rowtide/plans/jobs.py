@@ -14,8 +14,10 @@ from ..sources.tables import (
     compact_table,
     current_generation,
     export_snapshot,
+    partitions_for_table,
     read_table,
     stale_files,
+    table_state,
     write_generation,
 )
 from .merge import LATEST, apply_to_table
@@ -94,12 +96,24 @@ def load_changes(
     )
 
 
-def snapshot(spark: SparkSession, table_root: str, path: str, max_bytes: int = MAX_PARTITION_BYTES) -> None:
-    """The current state as plain Parquet, without metadata columns."""
-    export_snapshot(read_table(spark, table_root), path, max_bytes=max_bytes)
+def snapshot(
+    spark: SparkSession, table_root: str, path: str, max_bytes: int = MAX_PARTITION_BYTES, sizing: str = "files"
+) -> None:
+    """The current state as plain Parquet, without metadata columns.
+
+    The number of files follows the stored bytes; `sizing="text"` reads the whole table
+    once more to measure its values as text.
+    """
+    state = table_state(spark, table_root)
+    if state is None:
+        raise FileNotFoundError(f"no table at {table_root}")
+    partitions = partitions_for_table(spark, table_root, state, max_bytes) if sizing == "files" else None
+    export_snapshot(read_table(spark, table_root, generation=state.generation), path, partitions, max_bytes=max_bytes)
 
 
-def vacuum(spark: SparkSession, table_root: str, max_bytes: int = MAX_PARTITION_BYTES) -> DataFrame:
+def vacuum(
+    spark: SparkSession, table_root: str, max_bytes: int = MAX_PARTITION_BYTES, sizing: str = "files"
+) -> DataFrame:
     """Compact the table, then list the files no longer needed. Removing them is left to the operator."""
-    compact_table(spark, table_root, max_bytes)
+    compact_table(spark, table_root, max_bytes, sizing)
     return stale_files(spark, table_root)

@@ -49,6 +49,7 @@ def apply_to_table(
     phase_order: str = "event_time",
     one_pass: bool = False,
     feed_rows: int | None = None,
+    cache_feed: bool = True,
 ) -> int | None:
     """Apply changes to generation `base` (the current one) and write `generation` (the next).
 
@@ -56,9 +57,28 @@ def apply_to_table(
     table starts empty with `table_schema`, in `buckets` parts if given. A table in
     buckets has only those read and written that the changes touch. A history never
     rewrites closed versions: the new generation takes over their files.
+
+    The merge looks at the feed several times (keys first, then rows). `cache_feed` holds
+    it, parsed, in executor memory and disk until the generation is written.
     """
     if mode not in (LATEST, DELETE_WINS, HISTORY):
         raise ValueError(f"unknown mode {mode!r}")
+    if cache_feed:
+        changes = changes.persist()
+    try:
+        return _apply_to_table(
+            spark, root, changes, keys, table_schema, mode, buckets, base, generation,
+            order_by, keep_metadata, phase_order, one_pass, feed_rows,
+        )
+    finally:
+        if cache_feed:
+            changes.unpersist()
+
+
+def _apply_to_table(
+    spark, root, changes, keys, table_schema, mode, buckets, base, generation,
+    order_by, keep_metadata, phase_order, one_pass, feed_rows,
+) -> int | None:
     keys = list(keys)
     partition_by: tuple[str, ...] = ("current",) if mode == HISTORY else ()
     state = table_state(spark, root, base)

@@ -192,8 +192,13 @@ def table_files(spark: SparkSession, root: str) -> DataFrame:
     return listing.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
 
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    return table_files(spark, path).agg(F.sum("bytes")).first()[0] or 0
+def partitions_for_table(spark: SparkSession, root: str, state: TableState, max_bytes: int) -> int:
+    """Partition count from the stored bytes of a generation, found by listing its folders."""
+    if not state.folders:
+        return 1
+    paths = [f"{root.rstrip('/')}/{f}" for f in state.folders]
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    return partitions_for_bytes(listing.agg(F.sum("length")).first()[0] or 0, max_bytes)
 
 
 def stale_files(spark: SparkSession, root: str, keep: int = 1, older_than=None) -> DataFrame:
@@ -251,10 +256,7 @@ def compact_table(
         raise FileNotFoundError(f"no table at {root}")
     df = read_folders(spark, root, state, state.folders)
     if not state.partition_by and not state.buckets:
-        partitions = None
-        if sizing == "files":
-            total = sum(stored_bytes(spark, f"{root.rstrip('/')}/{f}") for f in state.folders)
-            partitions = partitions_for_bytes(total, max_bytes)
+        partitions = partitions_for_table(spark, root, state, max_bytes) if sizing == "files" else None
         df = resize(df, partitions, max_bytes)
     return write_generation(
         df, root, partition_by=state.partition_by, keys=state.keys, buckets=state.buckets
