@@ -26,12 +26,13 @@ from ..functions.contract import (
 from .compact import DELETED
 
 _TIME = "__time"
-_OPEN = "__open"
+_KIND = "__kind"
+_MARK, _VERSION, _CHANGE = 0, 1, 2
 _SEGMENT = "__segment"
 _BOUNDS = "__bounds"
-_NEXT = "__next"
 _NEWEST = "__newest"
-_HOT = "__hot"
+_NEXT_TIME = "__next_time"
+_NEXT_DELETED = "__next_deleted"
 
 # Keys whose changes are split; any key left whole has under 1/1000 of the feed.
 _MAX_HOT_KEYS = 1000
@@ -141,70 +142,53 @@ def _part(time_column: str) -> Column:
     return whole * _BOUND_GROUP + within
 
 
-def _segmented(changes: DataFrame, keys: list[str], hot: DataFrame | None, time_column: str) -> DataFrame:
-    """Changes with a segment number that rises with time.
+def _segment(df: DataFrame, keys: list[str], hot: DataFrame | None, time_column: str) -> DataFrame:
+    """Rows with a segment number that rises with time.
 
     Only hot keys have more than one segment. A row with a null key gets one of many, as
     such rows never meet.
     """
-    spread = -1 - F.pmod(F.xxhash64(*changes.columns), F.lit(_NULL_KEY_SEGMENTS)).cast("int")
+    spread = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(_NULL_KEY_SEGMENTS)).cast("int")
     if hot is None:
-        return changes.withColumns({_SEGMENT: F.when(has_null(keys), spread).otherwise(0), _HOT: F.lit(False)})
+        return df.withColumn(_SEGMENT, F.when(has_null(keys), spread).otherwise(0))
     part = F.when(F.col(_BOUNDS).isNull() | F.col(time_column).isNull(), 0).otherwise(_part(time_column))
-    return (
-        changes.join(F.broadcast(hot), keys, "left")
-        .withColumns({_SEGMENT: F.when(has_null(keys), spread).otherwise(part), _HOT: F.col(_BOUNDS).isNotNull()})
-        .drop(_BOUNDS)
-    )
-
+    bounded = df.join(F.broadcast(hot), keys, "left")
+    return bounded.withColumn(_SEGMENT, F.when(has_null(keys), spread).otherwise(part)).drop(_BOUNDS)
 
-def _newer(changes: DataFrame, newest: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
-    """Segmented changes that are newer than their key's history.
 
-    A key's newest time is repeated for each of its segments and joined on key and
-    segment: hot and null keys then spread in the join as well, and the window that
-    follows needs no further shuffle.
-    """
+def _all_segments(df: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Rows of keys repeated for each of the key's segments."""
     last = F.lit(0)
     if hot is not None:
-        newest = newest.join(F.broadcast(hot), keys, "left")
+        df = df.join(F.broadcast(hot), keys, "left")
         last = F.coalesce(F.size(_BOUNDS) * _BOUND_GROUP, last)
-    newest = newest.withColumn(_SEGMENT, F.explode(F.sequence(F.lit(0), last))).drop(_BOUNDS)
-    time = F.col(CHANGE_TIMESTAMP)
-    return (
-        changes.join(newest, [*keys, _SEGMENT], "left")
-        .where(F.col(_NEWEST).isNull() | time.isNull() | (time > F.col(_NEWEST)))
-        .drop(_NEWEST)
-    )
+    return df.withColumn(_SEGMENT, F.explode(F.sequence(F.lit(0), last))).drop(_BOUNDS)
 
 
-def _with_next(rows: DataFrame, keys: list[str], order: list[Column], hot: DataFrame | None) -> DataFrame:
-    """Each row with the time and delete flag of the row that follows it for its key.
+def _is_new(time: Column, newest: Column) -> Column:
+    return newest.isNull() | time.isNull() | (time > newest)
 
-    Within a segment this is a window. The last row of a hot key's segment takes the head
-    of the next segment, from a list with one row per segment of a hot key.
+
+def _segment_seams(changes, touched, keys, hot, order, time_column) -> DataFrame:
+    """For each segment of a hot key the first new change of a later segment.
+
+    Changes are combined before the shuffle to one row per task and segment.
     """
-    change = F.struct(F.col(_TIME), F.col(DELETED))
-    window = Window.partitionBy(*keys, _SEGMENT).orderBy(*order)
-    rows = rows.withColumn(_NEXT, F.when(~has_null(keys), F.lead(change).over(window)))
-    if hot is None:
-        return rows
-    heads = (
-        rows.where(_HOT)
-        .groupBy(*keys, _SEGMENT)
-        .agg(F.min_by(change, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("head"))
-        .withColumn("next_head", F.lead("head").over(Window.partitionBy(*keys).orderBy(_SEGMENT)))
-        .drop("head")
-    )
-    return (
-        rows.join(heads, [*keys, _SEGMENT], "left")
-        .withColumn(_NEXT, F.coalesce(_NEXT, "next_head"))
-        .drop("next_head")
-    )
+    hot_keys = F.broadcast(hot.select(*keys))
+    newest = newest_times(touched.join(hot_keys, keys, "left_semi"), keys)
+    rows = _segment(changes.join(hot_keys, keys, "left_semi"), keys, hot, time_column)
+    rows = rows.join(newest, keys, "left").where(_is_new(F.col(_TIME), F.col(_NEWEST)))
+    by = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    heads = rows.groupBy(*keys, _SEGMENT).agg(F.min_by(F.struct(_TIME, DELETED), by).alias("head"))
+    segments = _all_segments(hot.select(*keys), keys, hot)
+    later = Window.partitionBy(*keys).orderBy(_SEGMENT).rowsBetween(1, Window.unboundedFollowing)
+    seam = F.first("head", ignorenulls=True).over(later)
+    return segments.join(heads, [*keys, _SEGMENT], "left").withColumn("seam", seam).drop("head")
 
 
 def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_rows) -> DataFrame:
     columns = table_columns(changes)
+    payload = [c for c in columns if c not in keys]
     times = order_columns(changes, order_by)
     types = {f.name: f.dataType for f in history.schema.fields}
     changes = changes.where(is_change())
@@ -224,47 +208,63 @@ def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_r
         touched_open = open_versions.join(changed_keys, keys, "left_semi")
         touched = history.join(changed_keys, keys, "left_semi")
 
-    applied = _newer(_segmented(changes, keys, hot, times[0]), newest_times(touched, keys), keys, hot)
-    new_rows = applied.select(
+    # Three kinds of rows meet in one shuffle and sort by key: a mark with the newest time
+    # the history knows, open versions, and changes.
+    by = {f"__by{i}": F.col(c) for i, c in enumerate(times) if c != CHANGE_TIMESTAMP}
+    by_types = {f"__by{i}": changes.schema[c].dataType for i, c in enumerate(times) if c != CHANGE_TIMESTAMP}
+    typed = changes.select(
         *[F.col(c).cast(types[c]).alias(c) for c in columns],
         F.col(CHANGE_TIMESTAMP).cast(types["effective_date"]).alias(_TIME),
         is_delete().alias(DELETED),
-        F.lit(False).alias(_OPEN),
-        *[F.col(c).alias(f"__by{i}") for i, c in enumerate(times)],
-        _SEGMENT,
-        _HOT,
+        *[c.alias(name) for name, c in by.items()],
     )
-    spread = -1 - F.pmod(F.xxhash64(*columns, "effective_date"), F.lit(_NULL_KEY_SEGMENTS)).cast("int")
-    open_rows = touched_open
-    if hot is None:
-        open_rows = open_rows.withColumn(_HOT, F.lit(False))
-    else:
-        open_rows = open_rows.join(F.broadcast(hot), keys, "left").withColumn(_HOT, F.col(_BOUNDS).isNotNull())
-    by_types = {f"__by{i}": changes.schema[c].dataType for i, c in enumerate(times)}
-    open_rows = open_rows.select(
-        *columns,
-        F.col("effective_date").alias(_TIME),
+    first_time = _TIME if times[0] == CHANGE_TIMESTAMP else "__by0"
+    no_by = [F.lit(None).cast(t).alias(name) for name, t in by_types.items()]
+    marks = _all_segments(newest_times(touched, keys), keys, hot).select(
+        *keys,
+        *[F.lit(None).cast(types[c]).alias(c) for c in payload],
+        F.col(_NEWEST).alias(_TIME),
         F.lit(False).alias(DELETED),
-        F.lit(True).alias(_OPEN),
-        *[F.lit(None).cast(t).alias(c) for c, t in by_types.items()],
-        F.when(has_null(keys), spread).otherwise(0).alias(_SEGMENT),
-        _HOT,
+        *no_by,
+        _SEGMENT,
+        F.lit(_MARK).alias(_KIND),
     )
-    # Open versions come first, oldest first; among changes of one time a delete comes last.
-    order = [
-        ~F.col(_OPEN),
-        F.when(F.col(_OPEN), F.col(_TIME)),
-        *[F.col(c) for c in by_types],
-        F.col(DELETED),
-        *[F.col(c) for c in columns if c not in keys],
-    ]
-    rows = _with_next(open_rows.unionByName(new_rows), keys, order, hot)
+    opened = touched_open.select(*columns, F.col("effective_date").alias(_TIME), F.lit(False).alias(DELETED), *no_by)
+    opened = _segment(opened, keys, None, _TIME).withColumn(_KIND, F.lit(_VERSION))
+    changed = _segment(typed, keys, hot, first_time).withColumn(_KIND, F.lit(_CHANGE))
+
+    # Changes of one time: a delete comes last. Versions that are open together: oldest first.
+    in_time = [F.col(_TIME) if c == CHANGE_TIMESTAMP else F.col(f"__by{i}") for i, c in enumerate(times)]
+    change_order = [*in_time, F.col(DELETED), *[F.col(c) for c in payload]]
+    order = [F.col(_KIND), F.when(F.col(_KIND) == _VERSION, F.col(_TIME)), *change_order]
+    if times[0] == CHANGE_TIMESTAMP:
+        order.pop(1)
+    window = Window.partitionBy(*keys, _SEGMENT).orderBy(*order)
+    so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    newest = F.max(F.when(F.col(_KIND) == _MARK, F.col(_TIME))).over(so_far)
+    new = (F.col(_KIND) == _VERSION) | ((F.col(_KIND) == _CHANGE) & _is_new(F.col(_TIME), F.col(_NEWEST)))
+    rows = marks.unionByName(opened).unionByName(changed).withColumn(_NEWEST, newest).where(new)
+    rows = rows.withColumns(
+        {
+            _NEXT_TIME: F.when(~has_null(keys), F.lead(_TIME).over(window)),
+            _NEXT_DELETED: F.when(~has_null(keys), F.lead(DELETED).over(window)),
+        }
+    )
+    if hot is not None:
+        seams = _segment_seams(typed, touched, keys, hot, change_order, first_time)
+        last = F.col(_NEXT_DELETED).isNull()
+        rows = rows.join(seams, [*keys, _SEGMENT], "left").withColumns(
+            {
+                _NEXT_TIME: F.when(last, F.col(f"seam.{_TIME}")).otherwise(F.col(_NEXT_TIME)),
+                _NEXT_DELETED: F.when(last, F.col(f"seam.{DELETED}")).otherwise(F.col(_NEXT_DELETED)),
+            }
+        )
     versions = rows.where(~F.col(DELETED)).select(
         *columns,
-        F.col(_NEXT).isNull().alias("current"),
-        F.coalesce(F.col(f"{_NEXT}.{DELETED}"), F.lit(False)).alias("deleted"),
+        F.col(_NEXT_DELETED).isNull().alias("current"),
+        F.coalesce(_NEXT_DELETED, F.lit(False)).alias("deleted"),
         F.col(_TIME).alias("effective_date"),
-        F.col(f"{_NEXT}.{_TIME}").alias("end_date"),
+        F.col(_NEXT_TIME).alias("end_date"),
     )
     versions = versions.select(*history.columns)
     return versions if untouched is None else versions.unionByName(untouched)
