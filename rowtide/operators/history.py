@@ -88,15 +88,17 @@ def newest_times(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     return history.groupBy(*keys).agg(F.max(F.greatest("effective_date", "end_date")).alias(_NEWEST))
 
 
+def _is_new(time: Column, newest: Column) -> Column:
+    """The key has no history, or none as new as this change. A change without a time is the oldest."""
+    return newest.isNull() | F.coalesce(time > newest, F.lit(False))
+
+
 def late_changes(history: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Changes not newer than their key's history, which `scd2_apply` leaves out."""
     changed = changes.where(is_change())
     newest = newest_times(history.join(changed.select(*keys).distinct(), list(keys), "left_semi"), keys)
-    return (
-        changed.join(newest, list(keys), "left")
-        .where(F.col(CHANGE_TIMESTAMP) <= F.col(_NEWEST))
-        .select(*changes.columns)
-    )
+    late = ~_is_new(F.col(CHANGE_TIMESTAMP), F.col(_NEWEST))
+    return changed.join(newest, list(keys), "left").where(late).select(*changes.columns)
 
 
 def hot_key_bounds(
@@ -165,10 +167,6 @@ def _all_segments(df: DataFrame, keys: list[str], hot: DataFrame | None) -> Data
     return df.withColumn(_SEGMENT, F.explode(F.sequence(F.lit(0), last))).drop(_BOUNDS)
 
 
-def _is_new(time: Column, newest: Column) -> Column:
-    return newest.isNull() | time.isNull() | (time > newest)
-
-
 def _segment_seams(changes, touched, keys, hot, order, time_column) -> DataFrame:
     """For each segment of a hot key the first new change of a later segment.
 
