@@ -7,13 +7,16 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
+# Most tests run many small plans once: compiling each would take longer than running it.
+# The registered queries are tested with generated code (`test_queries.py`).
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     builder = (
         SparkSession.builder.master("local[8]")
         .appName("rowtide-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.default.parallelism", "2")
+        .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -17,6 +17,13 @@ def sql():
     return connect(SF_DIR)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def generated_code(spark):
+    spark.conf.set("spark.sql.codegen.wholeStage", True)
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", False)
+
+
 def test_entry(spark):
     assert contract.entry(spark).columns == ["id", "status", "amount"]
 
