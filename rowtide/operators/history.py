@@ -170,12 +170,13 @@ def _all_segments(df: DataFrame, keys: list[str], hot: DataFrame | None) -> Data
 def _segment_seams(changes, touched, keys, hot, order, time_column) -> DataFrame:
     """For each segment of a hot key the first new change of a later segment.
 
-    Changes are combined before the shuffle to one row per task and segment.
+    Changes are combined before the shuffle to one row per task and segment. What is
+    broadcast has one row per hot key, so the hot keys' changes are not gathered by key.
     """
     hot_keys = F.broadcast(hot.select(*keys))
     newest = newest_times(touched.join(hot_keys, keys, "left_semi"), keys)
     rows = _segment(changes.join(hot_keys, keys, "left_semi"), keys, hot, time_column)
-    rows = rows.join(newest, keys, "left").where(_is_new(F.col(_TIME), F.col(_NEWEST)))
+    rows = rows.join(F.broadcast(newest), keys, "left").where(_is_new(F.col(_TIME), F.col(_NEWEST)))
     by = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     heads = rows.groupBy(*keys, _SEGMENT).agg(F.min_by(F.struct(_TIME, DELETED), by).alias("head"))
     segments = _all_segments(hot.select(*keys), keys, hot)

@@ -2,8 +2,6 @@
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 START = datetime(2024, 1, 1)
 CHANGE_DDL = "header__timestamp timestamp_ntz, header__change_oper string, id int, name string"
 
@@ -81,5 +79,3 @@ def empty_history(spark, ddl="id int, name string, current boolean, deleted bool
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["F"]

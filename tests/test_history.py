@@ -251,8 +251,9 @@ def test_hot_key_is_cut_into_even_parts(spark):
     split = scd2_apply(empty_history(spark), feed, ["id"], hot_key_rows=1000)
     whole = scd2_apply(empty_history(spark), feed, ["id"], hot_key_rows=None)
     assert versions(split) == versions(whole)
-    text = plan(split)
-    assert "__segment" in text and "hashpartitioning(id" in text
+    # The changes are shuffled by key and segment; by key alone would gather the hot key in one task.
+    shuffles = [line for line in plan(split).splitlines() if "Exchange hashpartitioning(id" in line]
+    assert any("__segment" in line for line in shuffles)
 
 
 def test_very_hot_key_has_nested_bounds(spark):
