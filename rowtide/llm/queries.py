@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import exact_duplicates
 from .common import table
+from .language import held_out_predictions
+from .mixing import mix_sources
 from .simhash import near_duplicates
 
 
@@ -19,13 +21,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_predictions(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op9_language": op9_language,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -37,4 +49,54 @@ SQL: dict[str, str] = {
         FROM (SELECT doc_id, {_LOWER} AS norm FROM documents)
         WINDOW same AS (PARTITION BY norm)
     """,
+    "op4_mixing": r"""
+        WITH sizes AS (
+          SELECT doc_id, source, size, CASE WHEN size < 16 THEN 0 WHEN size < 256 THEN 1 ELSE 2 END AS boost
+          FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+                FROM documents)),
+        sources AS (
+          SELECT source, source_size, 3 * source_size AS most,
+                 CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+          FROM (SELECT source, sum(size) AS source_size FROM sizes GROUP BY source)),
+        shares AS (
+          SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (filling ROWS BETWEEN UNBOUNDED PRECEDING
+                    AND 1 PRECEDING), 0))::DOUBLE
+                    / sum(weight) OVER (filling ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+          FROM sources WINDOW filling AS (ORDER BY most / weight, source NULLS LAST)),
+        targets AS (
+          SELECT source, source_size,
+                 CASE WHEN share * weight > most THEN most::DOUBLE
+                      ELSE max(share) FILTER (WHERE share * weight <= most) OVER () * weight END AS target
+          FROM shares),
+        classes AS (
+          SELECT c.source, boost, words, target, source_size, pow(2.0, boost) AS times
+          FROM (SELECT source, boost, sum(size) AS words FROM sizes GROUP BY source, boost HAVING sum(size) > 0) c
+          JOIN targets t ON c.source IS NOT DISTINCT FROM t.source),
+        rates AS (
+          SELECT *, (target - 3 * coalesce(sum(words) OVER (heaviest ROWS BETWEEN UNBOUNDED PRECEDING
+                    AND 1 PRECEDING), 0)::DOUBLE)
+                    / sum(words * times) OVER (heaviest ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+          FROM classes WINDOW heaviest AS (PARTITION BY source ORDER BY boost DESC)),
+        wanted AS (
+          SELECT *, copies - floor(copies) AS chance, floor(copies) AS whole FROM (
+            SELECT *, CASE WHEN rate * times >= 3 THEN 3.0::DOUBLE ELSE greatest(
+                      max(rate) FILTER (WHERE rate * times < 3) OVER (PARTITION BY source) * times, 0.0) END AS copies
+            FROM rates)),
+        odds AS (
+          SELECT *, CASE WHEN chance > 0 THEN chance / (1 - chance) END AS odds,
+                 target - sum(whole * words) OVER (PARTITION BY source) AS rest FROM wanted),
+        drawn AS (
+          SELECT s.*, whole, rest, u / (1 - u) / odds AS q FROM (
+            SELECT *, (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE + 0.5)
+                      / 4503599627370496.0::DOUBLE AS u FROM sizes) s
+          LEFT JOIN odds o ON s.source IS NOT DISTINCT FROM o.source AND s.boost = o.boost),
+        chosen AS (
+          SELECT *, coalesce(q IS NOT NULL AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q) NULLS LAST,
+                    coalesce(doc_id::VARCHAR, ''), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    + size / 2 <= rest, false) AS more
+          FROM drawn)
+        SELECT c.doc_id, size, source_size::BIGINT AS source_size, target,
+               (coalesce(whole, 0) + more::INT)::BIGINT AS copies, (size * (coalesce(whole, 0) + more::INT))::BIGINT AS taken
+        FROM chosen c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source
+    """,
 }
