@@ -10,6 +10,7 @@ from .blocks import exact_duplicates
 from .common import table
 from .language import held_out_predictions
 from .mixing import mix_sources
+from .pieces import encode_documents
 from .simhash import near_duplicates
 
 
@@ -29,6 +30,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_documents(spark, sf_dir))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_predictions(_documents(spark, sf_dir))
 
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
 }
 
