@@ -12,6 +12,7 @@ from .language import held_out_predictions
 from .mixing import mix_sources
 from .pieces import encode_documents
 from .simhash import near_duplicates
+from .sketch import versions
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(_documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir))
 
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_fingerprints": op6_fingerprints,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
 }
