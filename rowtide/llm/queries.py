@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .blocks import exact_duplicates
 from .common import table
 from .language import held_out_predictions
+from .lengths import length_histogram, suffix_sums
+from .licenses import scan_licenses
 from .mixing import mix_sources
 from .pieces import encode_documents
 from .simhash import near_duplicates
@@ -19,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
@@ -35,6 +41,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions(_documents(spark, sf_dir))
 
 
+def op7_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sums(length_histogram(_documents(spark, sf_dir)))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir))
 
@@ -44,10 +54,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_licenses": op2_licenses,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_fingerprints": op6_fingerprints,
+    "op7_token_lengths": op7_token_lengths,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
 }
