@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .blocks import exact_duplicates
 from .common import table
+from .fixity import FILE_RECORDS, archive, audit
 from .language import held_out_predictions
 from .lengths import length_histogram, suffix_sums
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .pieces import encode_documents
+from .quality import score_quality
 from .simhash import near_duplicates
 from .sketch import versions
 
@@ -21,6 +23,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica of the pages with some bytes changed, and records lost or written twice at the ends of archive files."""
+    at, file = F.col("page_id") % FILE_RECORDS, F.floor(F.col("page_id") / FILE_RECORDS)
+    lost = (at >= FILE_RECORDS - 2) & (file % 7 == 2)
+    twice = (at == FILE_RECORDS - 1) & (file % 11 == 4)
+    changed = F.when(F.col("page_id") % 97 == 3, F.overlay("html", F.lit("#"), 2, 1)).otherwise(F.col("html"))
+    copies = F.when(lost, 0).when(twice, 2).otherwise(1)
+    there = pages.withColumn("html", changed).withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    return there.drop("copy")
+
+
+def op1_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return audit(archive(pages), archive(damaged(pages)))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir))
 
@@ -53,7 +71,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_predictions(_documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fixity": op1_fixity,
     "op2_licenses": op2_licenses,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
@@ -62,11 +85,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_lengths": op7_token_lengths,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _archive_sql(pages: str) -> str:
+    """Records of an archive as the operator lays them out, from a table of pages."""
+    return f"""
+        SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY record_id, url, digest
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+        FROM (SELECT page_id // {FILE_RECORDS} AS file, page_id AS record_id, url,
+                     strlen(record) AS length, sha256(record) AS digest
+              FROM (SELECT page_id, url, replace('WARC/1.0|WARC-Type: resource|WARC-Record-ID: <urn:page:' || page_id
+                           || '>|WARC-Target-URI: ' || url || '|Content-Type: text/html|Content-Length: '
+                           || strlen(html) || '||', '|', chr(13) || chr(10)) || html
+                           || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM {pages}))
+    """
+
+
+_DAMAGED = f"""
+    (SELECT page_id, url, CASE WHEN page_id % 97 = 3 THEN left(html, 1) || '#' || substr(html, 3) ELSE html END AS html
+     FROM pages, range(2) copy(n)
+     WHERE n < CASE WHEN page_id % {FILE_RECORDS} >= {FILE_RECORDS} - 2 AND page_id // {FILE_RECORDS} % 7 = 2 THEN 0
+                    WHEN page_id % {FILE_RECORDS} = {FILE_RECORDS} - 1 AND page_id // {FILE_RECORDS} % 11 = 4 THEN 2
+                    ELSE 1 END)
+"""
+
 SQL: dict[str, str] = {
+    "op1_fixity": f"""
+        SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "offset",
+               coalesce(a.record_id, b.record_id) AS record_id,
+               CASE WHEN b.file IS NULL THEN 'missing' WHEN a.file IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
+               a.digest AS left_digest, b.digest AS right_digest
+        FROM ({_archive_sql("pages")}) a
+        FULL JOIN ({_archive_sql(_DAMAGED)}) b ON a.file = b.file AND a."offset" = b."offset"
+        WHERE a.digest IS DISTINCT FROM b.digest
+    """,
     "op3_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
