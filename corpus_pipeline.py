@@ -2,24 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowtide.llm.blocks import exact_duplicates
-from rowtide.llm.common import lower_ascii, stored, table, text_or_empty
+from rowtide.llm.common import lower_ascii, stored, table
+from rowtide.llm.language import UNDETERMINED, fit_languages, fold_of, identify
+from rowtide.llm.mixing import plan_mix, sized, with_copies
+from rowtide.llm.near_copies import near_copies
+from rowtide.llm.pieces import encode_documents
+
+
+def _key(doc_id: Column, sha: Column) -> Column:
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), sha)
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` that `kept` (doc_id, text_sha256) names, each once."""
+    sha = F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256)
+    named = stored(kept.select(_key(F.col("doc_id"), F.col("text_sha256")).alias("__key")).distinct())
+    rows = docs.withColumn("__key", _key(F.col("doc_id"), sha)).join(named, "__key", "left_semi")
+    repeated = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    return rows.withColumn("__nth", repeated).where("__nth = 1").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, or null, go: no language can be told.
+
+    The model learns from the rows with a label outside one third of the ids.
+    """
+    model = fit_languages(docs.where(fold_of(F.col("doc_id")) != 1))
+    found = identify(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model)
+    return found.where(F.col("lang_pred") != UNDETERMINED).select("__row.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal after lower-casing A to Z, the one with the largest doc_id stays."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id", F.lit(True).alias("__kept"), "text_sha256")
-    kept = stored(kept)
-    keyed = docs.withColumn("__sha", F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256))
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["__sha"] == kept["text_sha256"])
-    joined = keyed.join(kept.withColumnRenamed("doc_id", "__id"), F.lit(True)) if False else keyed.join(kept, same)
-    return joined.select(*[keyed[c] for c in docs.columns])
+    return _only(docs, exact_duplicates(docs).where("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the smallest doc_id stays."""
+    return _only(docs, near_copies(docs).where("kept"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, up to three times, or not at all."""
+    plan = plan_mix(stored(sized(docs)))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
+    taken = with_copies(sized(rows, "__row"), plan).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text as pieces."""
+    return encode_documents(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
-ORACLE_SQL = None
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources", mix),
+    ("SentencePiece", encode),
+]
+ORACLE_SQL = None  # the stages' models and sketches are not SQL; tests compare them with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,9 +153,10 @@ def with_copies(sizes: DataFrame, mix: Mix, seed: str = "mix") -> DataFrame:
     return rows.withColumn("copies", copies.cast("bigint")).drop("boost", "whole", "odds", "rest", "rank", "cut")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    size = word_count(F.col("text"))
-    return docs.select("doc_id", "source", size.alias("size")).withColumn("boost", length_boost(F.col("size")))
+def sized(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, source, size and boost of every row, and the columns in `also`."""
+    rows = docs.select(*also, "doc_id", "source", word_count(F.col("text")).alias("size"))
+    return rows.withColumn("boost", length_boost(F.col("size")))
 
 
 def mix_sources(

@@ -1,0 +1,133 @@
+"""Near copies by a long SimHash: documents whose word sequences are similar to 0.8 or more.
+
+Two fingerprint bits differ with a probability that grows with the angle between two
+texts' shingle vectors. Texts that share 0.8 of their five-word shingles have about 2 % of
+their words changed, and about 0.095 of their bits differ when fingerprints are taken over
+two-word shingles. (Over five-word shingles it would be 0.15, which takes far more tables
+to find.) A fingerprint of 512 bits tells such a distance well.
+
+Candidates share the same value of 32 chosen bits in at least one of 80 tables: of pairs
+at similarity 0.8 about 96 % do, of pairs at 0.9 nearly all. A bucket's documents are
+compared with its first and its last, so work grows with the rows of a bucket, not with
+their pairs. Distances to pivots discard candidates before they are compared.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .common import lower_ascii, stored
+from .graph import components
+from .simhash import SEED, shingle_hashes
+
+WORDS = 2
+LANES = 8  # 64-bit integers of a fingerprint
+TABLES = 80
+KEY_BITS = 32
+MOST_APART = 56  # of 512 bits: about 0.095 of them at similarity 0.8, and one deviation more
+PIVOTS = 8
+_ROWS = 255  # a byte counts so far
+
+
+def _lanes(hashes: np.ndarray) -> np.ndarray:
+    """Each hash as `LANES` independent ones."""
+    steps = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = hashes[:, None] + steps
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in over half of the hashes, as `LANES` signed integers; zeros without hashes."""
+    counts = np.zeros(LANES * 64, np.int64)
+    for k in range(0, len(hashes), _ROWS):
+        bits = np.unpackbits(_lanes(hashes[k : k + _ROWS]).view(np.uint8), axis=1)
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes)).view(np.int64)
+
+
+def table_keys(prints: np.ndarray, tables: int = TABLES, key_bits: int = KEY_BITS) -> np.ndarray:
+    """(fingerprints, tables): each table's number and its bits of the fingerprint."""
+    chosen = np.random.default_rng(SEED).permuted(np.tile(np.arange(LANES * 64), (tables, 1)), axis=1)[:, :key_bits]
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1)
+    packed = np.packbits(bits[:, chosen.ravel()].reshape(len(prints), tables, key_bits), axis=2)
+    values = np.zeros((len(prints), tables), np.int64)
+    for byte in range(packed.shape[2]):
+        values = (values << 8) | packed[:, :, byte]
+    return values | (np.arange(tables, dtype=np.int64) << key_bits)
+
+
+class Steps(NamedTuple):
+    prints: DataFrame  # rid, doc_id, text_sha256, fp
+    nodes: DataFrame  # node, fp: the distinct fingerprints
+    candidates: DataFrame  # a, b: nodes to compare
+    links: DataFrame  # a, b: nodes close enough
+
+
+def _apart(a: str, b: str) -> Column:
+    total = F.lit(0)
+    for i in range(LANES):
+        total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return total
+
+
+def find_links(docs: DataFrame, words: int, most_apart: int, tables: int, key_bits: int) -> Steps:
+    @F.pandas_udf("array<bigint>")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series([long_fingerprint(shingle_hashes(t, words)) for t in texts], dtype=object)
+
+    @F.pandas_udf("array<bigint>")
+    def keys(prints: pd.Series) -> pd.Series:
+        return pd.Series(list(table_keys(np.stack(list(prints)), tables, key_bits)) if len(prints) else [], dtype=object)
+
+    sha = F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256).alias("text_sha256")
+    prints = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), sha, fingerprint("text").alias("fp")))
+    nodes = stored(prints.groupBy("fp").agg(F.min("rid").alias("node")))
+
+    placed = nodes.select("node", F.explode(keys("fp")).alias("key"))
+    buckets = placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    buckets = stored(buckets)
+    ends = placed.join(buckets, "key").select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
+    candidates = stored(ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
+
+    pivots = [F.array(*[F.xxhash64(F.lit(f"pivot {p} {i}")) for i in range(LANES)]) for p in range(PIVOTS)]
+    table = nodes.select("node", "fp", *[p.alias(f"pivot{i}") for i, p in enumerate(pivots)])
+    table = table.select("node", "fp", F.array(*[_apart("fp", f"pivot{i}") for i in range(PIVOTS)]).alias("far"))
+    table = stored(table)
+    left, right = (table.select(*[F.col(c).alias(f"{c}_{side}") for c in table.columns]) for side in "ab")
+    both = candidates.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
+    worst = F.greatest(*[F.abs(F.get("far_a", F.lit(i)) - F.get("far_b", F.lit(i))) for i in range(PIVOTS)])
+    links = both.where(worst <= most_apart).where(_apart("fp_a", "fp_b") <= most_apart).select("a", "b")
+    return Steps(prints, nodes, candidates, links)
+
+
+def near_copies(
+    docs: DataFrame,
+    words: int = WORDS,
+    most_apart: int = MOST_APART,
+    tables: int = TABLES,
+    key_bits: int = KEY_BITS,
+) -> DataFrame:
+    """Groups of documents linked by long fingerprints with at most `most_apart` differing bits.
+
+    Returns one row per row of `docs`: doc_id, text_sha256 (of the text with A to Z in
+    lower case), component_id (the smallest doc_id of the group, null if it has none),
+    kept (one row of each group, that with the smallest doc_id). Texts that are null,
+    empty or without a word are one group. A null doc_id is above all others when the row
+    to keep is chosen; of repeated rows exactly one can be kept. An empty table gives an
+    empty result. Columns of `docs` other than doc_id and text are not looked at.
+    """
+    found = find_links(docs, words, most_apart, tables, key_bits)
+    roots = components(found.links)
+    rooted = found.nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    grouped = stored(found.prints.join(rooted, "fp").select("rid", "doc_id", "text_sha256", "root"))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rid")).alias("first")
+    firsts = stored(grouped.groupBy("root").agg(order))
+    return grouped.join(firsts, "root").select(
+        "doc_id", "text_sha256", F.col("first.doc_id").alias("component_id"), (F.col("rid") == F.col("first.rid")).alias("kept")
+    )
