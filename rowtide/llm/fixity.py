@@ -26,7 +26,8 @@ class Tree(NamedTuple):
 
     records: DataFrame  # file, offset, length, digest, record_id
     ranges: list[DataFrame]  # file, node, digest
-    files: list[DataFrame]  # node, digest; in the first level a node is a file
+    files: list[DataFrame]  # node, digest; in the first level a node is a file, counted from `first_file`
+    first_file: int = 0
 
 
 def warc_record(uri: Column, record_id: Column, payload: Column) -> Column:
@@ -96,15 +97,16 @@ def build_trees(replicas: list[DataFrame], range_bytes: int = RANGE_BYTES, fanou
         for t in trees:
             t.ranges.append(stored(_parents(t.ranges[-1], ["file"], fanout)))
         last //= fanout
-    for t in trees:
-        t.files.append(stored(t.ranges[-1].select(F.col("file").alias("node"), "digest")))
-    ends = [t.files[0].agg(F.min("node"), F.max("node")).first() for t in trees]
+    ends = [t.ranges[-1].agg(F.min("file"), F.max("file")).first() for t in trees]
     least = min((e[0] for e in ends if e[0] is not None), default=0)
-    most = max((e[1] for e in ends if e[1] is not None), default=0)
-    while least != most:
+    most = max((e[1] for e in ends if e[1] is not None), default=0) - least
+    trees = [t._replace(first_file=least) for t in trees]
+    for t in trees:
+        t.files.append(stored(t.ranges[-1].select((F.col("file") - least).alias("node"), "digest")))
+    while most:
         for t in trees:
             t.files.append(stored(_parents(t.files[-1], [], fanout)))
-        least, most = least // fanout, most // fanout
+        most //= fanout
     return trees
 
 
@@ -126,7 +128,7 @@ def suspect_ranges(a: Tree, b: Tree, fanout: int = FANOUT) -> DataFrame | None:
         above = suspects.withColumnRenamed("node", "parent")
         below = [level.join(above, F.floor(level["node"] / fanout) == above["parent"], "left_semi") for level in (left, right)]
         suspects = stored(_differing(*below, ["node"]))
-    suspects = suspects.select(F.col("node").alias("file"), F.lit(0).cast("bigint").alias("node"))
+    suspects = suspects.select((F.col("node") + a.first_file).alias("file"), F.lit(0).cast("bigint").alias("node"))
     for left, right in zip(a.ranges[-2::-1], b.ranges[-2::-1]):
         above = suspects.withColumnRenamed("node", "parent")
         below = [

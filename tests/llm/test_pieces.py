@@ -2,6 +2,7 @@
 
 import functools
 import random
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -28,7 +29,7 @@ def chunked(text, size):
 def best_score(text):
     """Over all segmentations into pieces and unknown characters."""
     p = pieces()
-    known = {piece: p.scores[i] for piece, (i, *_) in p.weights.items()}
+    known = {piece: p.scores[int.from_bytes(i, sys.byteorder)] for piece, (i, _) in p.weights.items()}
 
     @functools.cache
     def best(at):
