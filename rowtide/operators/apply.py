@@ -12,42 +12,38 @@ from .compact import DELETED, compact_changes
 def merge_latest(target: DataFrame, latest: DataFrame, keys: Sequence[str], one_pass: bool = False) -> DataFrame:
     """The table after one change per key.
 
-    A matched key is replaced or, when deleted, removed; an unmatched one is added unless
-    deleted. A null key matches nothing. Target columns the changes do not carry keep
-    their value, or are null in added rows.
+    Every row of a matched key is updated or, when deleted, removed, also where the table
+    has several; an unmatched key is added unless deleted. A null key matches nothing.
+    Target columns the changes do not carry keep their value, or are null in added rows.
 
-    Two plans give the same rows. By default the target passes an anti join against the
-    changed keys: while those are small enough for Spark to broadcast, the target is
-    neither shuffled nor sorted. `one_pass` is for batches beyond that size: one full
-    outer join reads and shuffles each side once.
+    Two plans give the same rows. By default the target is left-joined to the changes:
+    while those are small enough for Spark to broadcast, the target is neither shuffled
+    nor sorted. `one_pass` is for batches beyond that size: one full outer join reads and
+    shuffles each side once.
     """
     keys = list(keys)
     values = [c for c in latest.columns if c not in keys and c != DELETED]
     foreign = [c for c in values if c not in target.columns]
     if foreign:
         raise ValueError(f"columns not in the target table: {foreign}")
-    extra = [c for c in target.columns if c not in values and c not in keys]
     types = {f.name: f.dataType for f in target.schema.fields}
     typed = latest.select(*[F.col(c).cast(types[c]).alias(c) for c in [*keys, *values]], DELETED)
 
+    new = "__new"
+    changed = typed.select(*keys, DELETED, F.struct(F.lit(True).alias(DELETED), *values).alias(new))
+    joined = target.join(changed, keys, "full_outer" if one_pass else "left")
+    merged = joined.where(~F.coalesce(F.col(DELETED), F.lit(False))).select(
+        *[
+            F.when(F.col(new).isNull(), F.col(c)).otherwise(F.col(f"{new}.`{c}`")).alias(c) if c in values else F.col(c)
+            for c in target.columns
+        ]
+    )
     if one_pass:
-        new = "__new"
-        changed = typed.select(*keys, DELETED, F.struct(F.lit(True).alias(DELETED), *values).alias(new))
-        joined = target.join(changed, keys, "full_outer").where(~F.coalesce(F.col(DELETED), F.lit(False)))
-        return joined.select(
-            *[
-                F.when(F.col(new).isNull(), F.col(c)).otherwise(F.col(f"{new}.`{c}`")).alias(c) if c in values else F.col(c)
-                for c in target.columns
-            ]
-        )
-
-    changed_keys = typed.select(*keys)
-    kept = target.join(changed_keys, keys, "left_anti")
-    upserts = typed.where(~F.col(DELETED)).drop(DELETED)
-    if extra:
-        carried = target.select(*keys, *extra).join(changed_keys, keys, "left_semi")
-        upserts = upserts.join(carried, keys, "left")
-    return kept.unionByName(upserts.select(*target.columns))
+        return merged
+    present = target.select(*keys).join(typed.select(*keys), keys, "left_semi")
+    added = typed.where(~F.col(DELETED)).join(present, keys, "left_anti")
+    extra = {c: F.lit(None).cast(types[c]) for c in target.columns if c not in values and c not in keys}
+    return merged.unionByName(added.withColumns(extra).select(*target.columns))
 
 
 def apply_latest(

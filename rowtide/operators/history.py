@@ -127,7 +127,7 @@ def hot_key_bounds(
     bounds = []
     for row in found.collect():
         step = max(1, int(parts * max_rows / row["n"]))
-        times = sorted(set(row["cuts"][step - 1 :: step]))
+        times = sorted(set((row["cuts"] or [])[step - 1 :: step]))  # without a time there is one segment
         groups = [times[i : i + _BOUND_GROUP] for i in range(0, len(times), _BOUND_GROUP)]
         bounds.append((*[row[k] for k in keys], groups))
     time_type = changes.schema[time_column].dataType
@@ -258,6 +258,12 @@ def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_r
                 _NEXT_DELETED: F.when(last, F.col(f"seam.{DELETED}")).otherwise(F.col(_NEXT_DELETED)),
             }
         )
+    # A version of a key without new changes stays as it is, also beside others that are open.
+    any_change = F.max(F.col(_KIND) == _CHANGE).over(Window.partitionBy(*keys, _SEGMENT))
+    goes_on = any_change if hot is None else any_change | F.col("seam").isNotNull()
+    rows = rows.withColumn("__goes_on", goes_on).withColumns(
+        {c: F.when(F.col("__goes_on"), F.col(c)) for c in (_NEXT_TIME, _NEXT_DELETED)}
+    )
     versions = rows.where(~F.col(DELETED)).select(
         *columns,
         F.col(_NEXT_DELETED).isNull().alias("current"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.contract import MAX_PARTITION_BYTES
 from ..operators.compact import deduplicate
 from ..sources.catalog import Batch, batch_from_catalog, read_batch_catalog
-from ..sources.changes import normalize, read_batch
+from ..sources.changes import count_lines, normalize, quarantine
 from ..sources.tables import (
     compact_table,
     current_generation,
@@ -36,7 +37,26 @@ def open_batch(
 def batch_rows(
     spark: SparkSession, batch: Batch, parse_datetime: bool = True, timestamp_type: str = "timestamp"
 ) -> DataFrame:
-    return normalize(read_batch(spark, batch), batch.datetime_columns, parse_datetime, timestamp_type)
+    """The batch's sound lines; `check_batch` deals with the others."""
+    rows, _ = quarantine(spark, batch.files, batch.batch_schema)
+    return normalize(rows, batch.datetime_columns, parse_datetime, timestamp_type)
+
+
+def check_batch(spark: SparkSession, batch: Batch, table_root: str) -> tuple[int, int]:
+    """Count the batch's lines, keep those that are no JSON object, and say what is amiss.
+
+    Rejected lines are appended to `<table_root>__rejected` with the names of their files.
+    Returns (sound, rejected). Warns of rejected lines, and if the sound ones are not as
+    many as the metadata files declare.
+    """
+    sound, rejected = count_lines(spark, batch.files, batch.batch_schema)
+    if rejected:
+        folder = f"{table_root.rstrip('/')}__rejected"
+        quarantine(spark, batch.files, batch.batch_schema)[1].write.mode("append").json(folder)
+        warnings.warn(f"{rejected} lines are no JSON object and were written to {folder}", stacklevel=3)
+    if sound != batch.record_count:
+        warnings.warn(f"{batch.record_count} records declared, {sound} found", stacklevel=3)
+    return sound, rejected
 
 
 def batch_bytes(spark: SparkSession, batch: Batch) -> int:
@@ -51,12 +71,17 @@ def initial_load(
     dedup_by: Sequence[str] | None = None,
     partition_by: Sequence[str] = (),
     buckets: int | None = None,
+    numeric_type: T.DataType | None = None,
     **options,
 ) -> int | None:
-    """Full load into a new generation. `dedup_by` keeps the highest row per key (keyed bulk load)."""
-    batch = open_batch(spark, load_path, LOAD_PREFIX)
+    """Full load into a new generation. `dedup_by` keeps the highest row per key (keyed bulk load).
+
+    Lines that are no JSON object are never loaded as rows (see `check_batch`).
+    """
+    batch = open_batch(spark, load_path, LOAD_PREFIX, numeric_type)
     if batch is None:
         return current_generation(spark, table_root)
+    check_batch(spark, batch, table_root)
     df = batch_rows(spark, batch, **options)
     if dedup_by is not None:
         df = deduplicate(df, batch.keys, dedup_by)
@@ -71,6 +96,7 @@ def load_changes(
     one_pass_above: int = ONE_PASS_BYTES,
     parse_datetime: bool = True,
     timestamp_type: str = "timestamp",
+    numeric_type: T.DataType | None = None,
     **options,
 ) -> int | None:
     """Apply every change batch in a folder to a table; options as for `apply_to_table`.
@@ -79,9 +105,10 @@ def load_changes(
     `one_pass_above` bytes are merged in one pass; set it to what the session broadcasts
     (`spark.sql.autoBroadcastJoinThreshold`).
     """
-    batch = open_batch(spark, changes_path)
+    batch = open_batch(spark, changes_path, numeric_type=numeric_type)
     if batch is None:
         return current_generation(spark, table_root)
+    sound, _ = check_batch(spark, batch, table_root)
     changes = batch_rows(spark, batch, parse_datetime, timestamp_type)
     return apply_to_table(
         spark,
@@ -91,7 +118,7 @@ def load_changes(
         changes.select(*batch.table_schema.names).schema,
         mode,
         one_pass=batch_bytes(spark, batch) > one_pass_above,
-        feed_rows=batch.record_count,
+        feed_rows=sound,
         **options,
     )
 

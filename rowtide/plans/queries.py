@@ -82,6 +82,9 @@ ORDER_FEED_SQL = """
       SELECT l_shipdate, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'U' END, l_orderkey, l_linestatus, l_extendedprice
       FROM lineitem)"""
 
+ALL_ORDERS = "1900-01-01"
+ALL_ORDERS_FEED_SQL = ORDER_FEED_SQL.replace("1998-07-01", ALL_ORDERS)
+
 ORDER_RANK = """PARTITION BY id ORDER BY ts DESC NULLS LAST, op = 'D' DESC,
         status DESC NULLS LAST, amount DESC NULLS LAST"""
 CUSTOMER_RANK = """PARTITION BY id ORDER BY ts DESC NULLS LAST, op = 'D' DESC,
@@ -217,6 +220,31 @@ def apply_latest_two_batches(spark, sf_dir):
     return apply_latest(first, changes.where(F.col(CHANGE_TIMESTAMP) >= cut), ["id"])
 
 
+TWICE_SQL = f"""WITH {customer_feed_sql(100)}, {latest_sql(CUSTOMER_RANK)},
+    twice AS (SELECT * FROM target UNION ALL SELECT id, 'twin', value FROM target WHERE value < 0)
+    SELECT t.id, CASE WHEN l.id IS NULL THEN t.name ELSE l.name END AS name,
+      CASE WHEN l.id IS NULL THEN t.value ELSE l.value END AS value
+    FROM twice t LEFT JOIN latest l ON l.id = t.id WHERE l.id IS NULL OR l.op <> 'D'
+    UNION ALL SELECT id, name, value FROM latest WHERE op <> 'D' AND id NOT IN (SELECT id FROM twice)"""
+
+
+def _customers_twice(spark, sf_dir):
+    """Every customer, and those who owe a second time: a table with several rows for a key."""
+    once = customers(spark, sf_dir)
+    return once.unionByName(once.where("value < 0").withColumn("name", F.lit("twin")))
+
+
+@query(TWICE_SQL)
+def apply_latest_duplicate_target(spark, sf_dir):
+    return apply_latest(_customers_twice(spark, sf_dir), customer_changes(spark, sf_dir, 100.0), ["id"])
+
+
+@query(TWICE_SQL)
+def apply_latest_duplicate_target_one_pass(spark, sf_dir):
+    return apply_latest(_customers_twice(spark, sf_dir), customer_changes(spark, sf_dir, 100.0), ["id"], one_pass=True)
+
+
+
 # Upserts first, deletes after.
 
 
@@ -283,6 +311,36 @@ def history_hot_keys(spark, sf_dir):
     return scd2_apply(base, customer_changes(spark, sf_dir, 100.0), ["id"], hot_key_rows=50)
 
 
+SEVERAL_OPEN_SQL = f"""WITH {customer_feed_sql(100)},
+    signups AS (SELECT * FROM changes WHERE name = 'signup'),
+    base AS (SELECT id, name, value, TIMESTAMP '2023-01-01' AS ts FROM target
+      UNION ALL SELECT id, 'twin', value, TIMESTAMP '2023-02-01' FROM target WHERE value < 0),
+    steps AS (SELECT id, name, value, ts, 0 AS rank FROM base UNION ALL SELECT id, name, value, ts, 1 FROM signups),
+    chained AS (SELECT *, CASE WHEN id IN (SELECT id FROM signups) THEN lead(ts) OVER
+      (PARTITION BY id ORDER BY rank, ts, name NULLS FIRST, value NULLS FIRST) END AS end_date FROM steps)
+    SELECT id, name, value, end_date IS NULL AS current, false AS deleted, ts AS effective_date, end_date FROM chained"""
+
+
+def _several_open(spark, sf_dir, **options):
+    """Some customers with two open versions; only customers who sign up have changes."""
+    once = customers(spark, sf_dir)
+    first = initial_history(once, F.lit("2023-01-01").cast(NTZ))
+    second = initial_history(once.where("value < 0").withColumn("name", F.lit("twin")), F.lit("2023-02-01").cast(NTZ))
+    signups = customer_changes(spark, sf_dir, 100.0).where("name = 'signup'")
+    return scd2_apply(first.unionByName(second), signups, ["id"], **options)
+
+
+@query(SEVERAL_OPEN_SQL)
+def history_several_open_versions(spark, sf_dir):
+    return _several_open(spark, sf_dir)
+
+
+@query(SEVERAL_OPEN_SQL)
+def history_several_open_versions_one_pass(spark, sf_dir):
+    return _several_open(spark, sf_dir, one_pass=True)
+
+
+
 @query(f"WITH {CUSTOMER_HISTORY_SQL} SELECT * FROM history")
 def history_replayed(spark, sf_dir):
     """Half the feed, then the whole feed: what is already in the history is not applied again."""
@@ -349,9 +407,9 @@ def change_stats_customers(spark, sf_dir):
     return change_stats(customer_changes(spark, sf_dir, 100.0))
 
 
-@query(f"WITH {ORDER_FEED_SQL} SELECT op AS operation, count(*) AS rows, true AS applied FROM changes GROUP BY op")
+@query(f"WITH {ALL_ORDERS_FEED_SQL} SELECT op AS operation, count(*) AS rows, true AS applied FROM changes GROUP BY op")
 def change_stats_orders(spark, sf_dir):
-    return change_stats(order_changes(spark, sf_dir))
+    return change_stats(order_changes(spark, sf_dir, ALL_ORDERS))
 
 
 @query(
@@ -363,9 +421,9 @@ def split_upserts_and_deletes(spark, sf_dir):
     return upserts.withColumn("part", F.lit("upsert")).unionByName(deletes.withColumn("part", F.lit("delete")))
 
 
-@query(f"WITH {ORDER_FEED_SQL} SELECT op AS part, ts AS header__timestamp, id, status, amount FROM changes")
+@query(f"WITH {ALL_ORDERS_FEED_SQL} SELECT op AS part, ts AS header__timestamp, id, status, amount FROM changes")
 def split_by_operation(spark, sf_dir):
-    parts = split_operations(order_changes(spark, sf_dir))
+    parts = split_operations(order_changes(spark, sf_dir, ALL_ORDERS))
     inserts, updates, deletes = (parts[op].withColumn("part", F.lit(op)).drop(CHANGE_OPERATION) for op in "IUD")
     return inserts.unionByName(updates).unionByName(deletes)
 
@@ -473,10 +531,10 @@ def validate_metadata(spark, sf_dir):
     return validate_catalog(parse_catalog(_supplier_metadata(spark, sf_dir))).select("metadata_file", "check")
 
 
-@query("SELECT count(*) AS files, sum(s_suppkey)::BIGINT AS record_count FROM supplier WHERE s_nationkey <> 0")
+@query("SELECT count(*) AS files, sum(s_suppkey) FILTER (WHERE s_nationkey <> 0)::BIGINT AS record_count FROM supplier")
 def metadata_totals(spark, sf_dir):
-    catalog = parse_catalog(_supplier_metadata(spark, sf_dir))
-    return catalog_totals(catalog.where("is_object"))
+    """Files that are no JSON object declare no records."""
+    return catalog_totals(parse_catalog(_supplier_metadata(spark, sf_dir)))
 
 
 def _lines_with_broken_ones(spark, sf_dir) -> DataFrame:
@@ -522,10 +580,12 @@ def initial_load_partitioned(spark, sf_dir):
     return read_table(spark, root, schema=rows.schema)
 
 
-@query(f"WITH {ORDER_FEED_SQL} SELECT id, status, amount FROM changes")
+@query(f"WITH {ORDER_FEED_SQL}, {latest_sql(ORDER_RANK)} {merged_sql('id, status, amount')}")
 def export_snapshot_orders(spark, sf_dir):
+    """The whole table of orders after its changes."""
     path = scratch_dir(spark)
-    rows = order_changes(spark, sf_dir).withColumn("_hoodie_record_key", F.col("id").cast("string"))
+    state = apply_latest(loaded_orders(spark, sf_dir), order_changes(spark, sf_dir), ["id"])
+    rows = state.withColumn("_hoodie_record_key", F.col("id").cast("string"))
     export_snapshot(rows, path)
     return spark.read.parquet(path)
 

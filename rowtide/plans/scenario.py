@@ -10,7 +10,6 @@ Two feeds:
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -59,8 +58,9 @@ def loaded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_order(table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(LOAD_DATE).cast("timestamp_ntz")))
 
 
-def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit(LOAD_DATE).cast("timestamp_ntz"))
+def order_changes(spark: SparkSession, sf_dir: str, since: str = LOAD_DATE) -> DataFrame:
+    """Orders placed since a date as inserts, and every line item as an update or delete."""
+    placed = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
     inserts = placed.select(
         F.col("o_orderdate").alias(CHANGE_TIMESTAMP),
         F.lit("I").alias(CHANGE_OPERATION),
@@ -100,9 +100,11 @@ CUSTOMER_WIRE_COLUMNS = [
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder path below the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="rowtide-")
+    """A new folder path below the cluster's shared checkpoint folder, or the warehouse where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = folder.get() if folder.isDefined() else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/rowtide-{uuid.uuid4().hex}"
 
 

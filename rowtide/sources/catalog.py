@@ -60,7 +60,8 @@ def parse_catalog(raw: DataFrame, data_dir: str | None = None) -> DataFrame:
         F.from_json("value", _METADATA_SCHEMA).alias("m"),
         F.try_parse_json("value").alias("v"),
     )
-    file_name = F.concat_ws(".", "m.fileInfo.name", "m.fileInfo.extension")
+    # Null if either is missing: a folder must never stand in for a file.
+    file_name = F.concat("m.fileInfo.name", F.lit("."), "m.fileInfo.extension")
     data_file = (
         F.concat(F.lit(data_dir.rstrip("/") + "/"), file_name) if data_dir else F.col("m.fileInfo.location")
     )

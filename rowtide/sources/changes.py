@@ -36,12 +36,8 @@ def normalize(
     return df.withColumns(columns)
 
 
-def quarantine(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Split data files into (rows, lines that are no JSON object).
-
-    Lines are read as text and parsed once per branch, so neither branch needs a cache
-    of the whole feed.
-    """
+def _classified(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> DataFrame:
+    """Each line that is not blank: __file, __line, __row, __malformed."""
     lines = spark.read.text(list(files)).where(F.trim("value") != "")
     corrupt = "__corrupt"
     with_corrupt = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType())])
@@ -53,6 +49,22 @@ def quarantine(spark: SparkSession, files: Sequence[str], schema: T.StructType)
     # A field out of range also marks the line; only text that is no object is malformed.
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("__line")).startswith("OBJECT"), F.lit(False))
     malformed = F.when(F.col("__row").isNull() | F.col(f"__row.{corrupt}").isNotNull(), ~is_object).otherwise(False)
-    rows = parsed.where(~malformed).select([F.col(f"__row.`{c}`") for c in schema.names])
-    rejected = parsed.where(malformed).select(F.col("__file").alias("file_name"), F.col("__line").alias("line"))
+    return parsed.withColumn("__malformed", malformed)
+
+
+def quarantine(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Split data files into (rows, lines that are no JSON object).
+
+    Lines are read as text and parsed once per branch, so neither branch needs a cache
+    of the whole feed.
+    """
+    parsed = _classified(spark, files, schema)
+    rows = parsed.where("NOT __malformed").select([F.col(f"__row.`{c}`") for c in schema.names])
+    rejected = parsed.where("__malformed").select(F.col("__file").alias("file_name"), F.col("__line").alias("line"))
     return rows, rejected
+
+
+def count_lines(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> tuple[int, int]:
+    """(sound, malformed) lines of the files, in one pass."""
+    found = _classified(spark, files, schema).agg(F.count_if("__malformed"), F.count("*")).first()
+    return found[1] - found[0], found[0]

@@ -303,3 +303,9 @@ def test_versions_follow_each_other(spark):
     for parts in spans.values():
         parts.sort()
         assert all(a[1] is not None and a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_hot_key_without_any_time(spark):
+    """A key over the limit whose changes have no time is one segment, not an error."""
+    feed = changes(spark, [(None, "U", 1, f"name {i}") for i in range(40)])
+    assert hot_key_bounds(feed, ["id"], "header__timestamp", 10).first()["__bounds"] == []

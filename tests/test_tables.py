@@ -7,7 +7,8 @@ from feeds import SCENARIO, SCENARIO_HISTORY, SCENARIO_STATE, changes, plan, row
 from rowtide.operators.measure import estimate_partitions, partitions_for_bytes, size_report
 from rowtide.plans.jobs import initial_load, load_changes, snapshot, vacuum
 from rowtide.plans.merge import apply_to_table
-from rowtide.plans.scenario import write_batch
+from rowtide.plans.scenario import metadata_text, write_batch
+from rowtide.sources.catalog import CatalogError
 from rowtide.sources.tables import (
     bucket_of,
     committed_generations,
@@ -292,3 +293,28 @@ def test_commit_file_is_plain_json(spark, tmp_path):
     write_generation(table(spark, [(1, "a")]), root)
     facts = json.loads((tmp_path / "t" / "gen=0" / "_table.json").read_text())
     assert facts["folders"] == ["gen=0"]
+
+
+def test_jobs_keep_broken_lines_apart(spark, tmp_path):
+    """A line that is no JSON object is neither loaded as a row of nulls nor lost silently."""
+    folder, root = tmp_path / "load", str(tmp_path / "t")
+    folder.mkdir()
+    columns = [{"name": "id", "type": "INT4", "primaryKeyPos": 1}, {"name": "name", "type": "STRING", "primaryKeyPos": 0}]
+    (folder / "LOAD1.dfm").write_text(metadata_text("LOAD1", "json", "x", 9, columns))
+    (folder / "LOAD1.json").write_text('{"id": 1, "name": "a"}\n{"id": 2, "na\n{"id": 3, "name": "c"}\n')
+    with pytest.warns(UserWarning) as said:
+        initial_load(spark, str(folder), root)
+    assert any("1 lines" in str(w.message) for w in said) and any("9 records declared, 2 found" in str(w.message) for w in said)
+    assert sorted(map(tuple, read_table(spark, root).collect())) == [(1, "a"), (3, "c")]
+    (line,) = spark.read.json(root + "__rejected").collect()
+    assert line["line"] == '{"id": 2, "na' and line["file_name"] == "LOAD1.json"
+
+
+def test_metadata_without_a_file_name_does_not_read_the_folder(spark, tmp_path):
+    columns = [{"name": "id", "type": "INT4", "primaryKeyPos": 1}]
+    nameless = json.loads(metadata_text("LOAD1", "json", "x", 1, columns))
+    del nameless["fileInfo"]["name"]
+    (tmp_path / "LOAD1.dfm").write_text(json.dumps(nameless))
+    (tmp_path / "stray.json").write_text('{"id": 1}\n')
+    with pytest.raises(CatalogError):
+        initial_load(spark, str(tmp_path), str(tmp_path / "t"))
