@@ -203,7 +203,7 @@ def compared(texts: list[str], at: list[int], cells: int = CELLS) -> dict[str, l
 
 
 _RESULT = (
-    "doc_id {id}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id string, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double, n_paragraphs bigint"
 )
 
@@ -264,7 +264,7 @@ def versions(docs: DataFrame, cells: int = CELLS, parts: int | None = None) -> D
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, texts, guests, held = [], [], [], 0
         for batch in batches:
-            for doc_id, text, guest in zip(batch["doc_id"].astype(object), batch["text"], batch["guest"]):
+            for doc_id, text, guest in zip(batch["id_text"], batch["text"], batch["guest"]):
                 ids.append(doc_id)
                 texts.append(text)
                 guests.append(guest)
@@ -280,4 +280,7 @@ def versions(docs: DataFrame, cells: int = CELLS, parts: int | None = None) -> D
             found = compared(texts, here, cells)
             yield pd.DataFrame({"doc_id": pd.Series([ids[i] for i in here], dtype=object)} | found)
 
-    return ordered.mapInPandas(compare, _RESULT.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    # Ids pass through Python as texts: pandas would turn integers with a null among them into floats.
+    named = ordered.select("part", "guest", F.col("doc_id").cast("string").alias("id_text"), "text")
+    found = named.mapInPandas(compare, _RESULT)
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
