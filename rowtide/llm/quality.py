@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored
 
-SAMPLE_ROWS = 20_000  # labelled rows the classifier is fitted on, at most
+SAMPLE_ROWS = 20_000  # labelled rows the classifier is fitted on, about, where there are more
 RIDGE = 1.0
 FEATURES = (
     "log_words", "word_length", "long_words", "capitals", "digits", "spaces", "line_length", "short_lines",
@@ -141,9 +141,9 @@ def score_quality(
 
     `host` is the column source, `path` the column lang within it, if not given. `labels`
     has doc_id and quality (1 good, 0 bad); rows with a null in either are left out, and
-    of a doc_id labelled more than once each label counts. The classifier is fitted on at
-    most `sample_rows` labelled documents, those with the smallest hash of their ids; all
-    other figures are over all documents.
+    of a doc_id labelled more than once each label counts. The classifier is fitted on all
+    labelled documents, or, where there are more than `sample_rows`, on a sample by a hash
+    of their ids that is expected to have so many; all other figures are over all documents.
 
     Returns one row per row of `docs`: doc_id, text_score (by the classifier alone),
     host_rate, path_rate (shrunken rates of good documents), quality (text and path
@@ -155,8 +155,10 @@ def score_quality(
     path = F.col("lang") if path is None else path
     measured = stored(docs.select("doc_id", host.alias("host"), path.alias("path"), features(F.col("text")).alias("x")))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    sample = measured.join(known, "doc_id").orderBy(order, "quality").limit(sample_rows).select("x", "quality").toPandas()
+    labelled = stored(measured.join(known, "doc_id").select("doc_id", "x", "quality"))
+    share = min(1.0, sample_rows / max(labelled.count(), 1))
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = labelled.where(drawn).select("x", "quality").orderBy("x", "quality").toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
     model = fit_classifier(x, (sample["quality"].to_numpy() > 0).astype(float))
 
