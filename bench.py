@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -26,6 +27,7 @@ HEADLINE = [
     "history_orders_one_pass",
     "history_customers",
     "history_phases",
+    "history_hot_keys",
     "change_stats_orders",
     "partition_estimates",
     "read_json_batch",
@@ -51,6 +53,7 @@ def main() -> None:
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rowtide-bench-"))  # one machine here
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
