@@ -23,7 +23,7 @@ from ..sources.catalog import (
 from ..sources.changes import normalize, quarantine, read_batch
 from ..sources.tables import compact_table, export_snapshot, read_table, stale_files, write_generation
 from ..streaming.feed import stream_changes
-from .jobs import batch_rows, load_changes, open_batch
+from .jobs import batch_rows, initial_load, load_changes, open_batch
 from .merge import apply_to_table
 from .scenario import (
     CUSTOMER_WIRE_COLUMNS,
@@ -572,6 +572,19 @@ def initial_load_deduplicated(spark, sf_dir):
     return read_table(spark, root)
 
 
+@query("SELECT c_custkey AS id, c_mktsegment AS name FROM customer WHERE c_acctbal >= 0")
+def initial_load_job(spark, sf_dir):
+    """A folder with a full load, in which the lines of customers who owe are broken, and with changes beside it."""
+    path, root = scratch_dir(spark), scratch_dir(spark)
+    line = F.to_json(F.struct("id", "name"))
+    broken = F.when(F.col("value") < 0, F.regexp_replace(line, r"\}$", "")).otherwise(line)
+    columns = [c for c in CUSTOMER_WIRE_COLUMNS if c["name"] in ("id", "name")]
+    write_batch(customers(spark, sf_dir).select(broken.alias("value")), path, columns, "LOAD", lines=True)
+    write_batch(customer_wire_rows(spark, sf_dir, 100.0), path, CUSTOMER_WIRE_COLUMNS)
+    initial_load(spark, path, root)
+    return read_table(spark, root)
+
+
 @query("SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders")
 def initial_load_partitioned(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")

@@ -130,11 +130,14 @@ def metadata_text(name: str, extension: str, location: str, records: int, column
     )
 
 
-def write_batch(df: DataFrame, path: str, columns: Sequence[dict], prefix: str = "") -> None:
-    """Write rows as JSON lines and a metadata file for each data file."""
+def write_batch(df: DataFrame, path: str, columns: Sequence[dict], prefix: str = "", lines: bool = False) -> None:
+    """Write rows as JSON lines, or `lines` as they are, and a metadata file for each data file."""
     spark = df.sparkSession
-    df.write.mode("append").json(path)
-    files = spark.read.text(path + "/*.json").groupBy("_metadata.file_name", "_metadata.file_path").count().collect()
+    if lines:
+        df.write.mode("append").text(path)
+    else:
+        df.write.mode("append").json(path)
+    files = spark.read.text(path + ("/*.txt" if lines else "/*.json")).groupBy("_metadata.file_name", "_metadata.file_path").count().collect()
     for file in files:
         name, extension = file["file_name"].rsplit(".", 1)
         text = metadata_text(name, extension, file["file_path"], file["count"], columns)
