@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark import Broadcast
@@ -27,22 +29,28 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import stored
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_CHARS = 1 << 14
+CHUNK_CHARS = 1 << 16
 SPACE = "▁"
-_CACHED_WORDS = 400_000
+_CACHED = 150_000  # words, and as many stretches of words
+_STEP_CHARS = 1_000_000  # of texts encoded together
+_PLACES = 16
 _SCALE, _TIES = 1 << 10, 1 << 20  # scores are exact to 1/1024; below that a hash of pieces and places decides
 _LEAST = -1e6  # lower scores bar a piece; they count as this, so that sums stay exact
 _NEVER = np.iinfo(np.int64).min // 4
 
 
+def _id_bytes(number: int) -> bytes:
+    return number.to_bytes(4, sys.byteorder)
+
+
 class Pieces:
     """A model's pieces with integer weights, and best paths through texts."""
 
     def __init__(self, model: bytes) -> None:
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalize = library.normalize
-        self.weights: dict[str, tuple[int, int, int]] = {}
-        self.bytes: list[int] | None = None
+        self.weights: dict[str, tuple[bytes, tuple[int, ...]]] = {}  # id, weight by place
+        self.bytes: list[bytes] | None = None
         self.unknown = library.unk_id()
         self.texts: list[bytes] = []
         self.scores: list[float] = []
@@ -50,111 +58,182 @@ class Pieces:
             piece, score = library.id_to_piece(i), library.get_score(i)
             plain = not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))
             if plain:
-                self.weights[piece] = (i, self._weight(score), xxhash.xxh32_intdigest(piece))
+                self.weights[piece] = (_id_bytes(i), self._placed(score, piece))
             raw = bytes([int(piece[1:-1], 16)]) if library.is_byte(i) else piece.encode() if plain else b""
             self.texts.append(raw)
             self.scores.append(max(score, _LEAST) if plain else 0.0)
-        usual = [self.scores[i] for i, *_ in self.weights.values() if self.scores[i] > _LEAST]
+        usual = [s for s in self.scores if _LEAST < s < 0]
         self.unknown_score = min(usual, default=0.0) - 10
         if library.is_byte(library.piece_to_id("<0x00>")):
-            self.bytes = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+            self.bytes = [_id_bytes(library.piece_to_id(f"<0x{b:02X}>")) for b in range(256)]
             for b in range(256):  # a character in bytes has the score of an unknown one, at its first byte
-                self.scores[self.bytes[b]] = self.unknown_score if b & 0xC0 != 0x80 else 0.0
+                self.scores[library.piece_to_id(f"<0x{b:02X}>")] = self.unknown_score if b & 0xC0 != 0x80 else 0.0
         self.scores[self.unknown] = self.unknown_score
-        self._unknown_weight = self._weight(self.unknown_score)
+        self._unknown_weight = round(self.unknown_score * _SCALE) * _TIES
         self._score_of = np.array(self.scores)
         self.longest = max(map(len, self.weights), default=1)
         # Beginnings of pieces that are no pieces: nothing longer can match once a stretch is in neither.
-        self._known: dict[str, tuple[int, int, int] | None] = {}
+        self._known: dict[str, tuple[bytes, tuple[int, ...]] | None] = {}
         for piece in self.weights:
             for end in range(1, len(piece)):
                 self._known.setdefault(piece[:end], None)
         self._known.update(self.weights)
-        # No piece goes on over a space that follows another character: paths meet there.
-        self.meets_at_spaces = not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.weights)
+        self._endings: dict[str, tuple[bytes, tuple[int, ...]] | None] = {}
+        for piece in self.weights:
+            for begin in range(1, len(piece)):
+                self._endings.setdefault(piece[begin:], None)
+        self._endings.update(self.weights)
+        # Neighbouring characters inside a piece. All paths meet between two others, as before a word's space.
+        self._joined = {piece[i : i + 2] for piece in self.weights for i in range(len(piece) - 1)}
         self._words: dict[str, bytes] = {}
+        self._stretches: dict[str, bytes] = {}
+        words_meet = not any(pair[0] != SPACE and pair[1] == SPACE for pair in self._joined)
+        self._split = _WORDS.findall if words_meet else lambda text: [text] if text else []
 
     @staticmethod
-    def _weight(score: float) -> int:
-        return round(max(score, _LEAST) * _SCALE) * _TIES
+    def _placed(score: float, piece: str) -> tuple[int, ...]:
+        """The weight at each place after a meeting point: the score first, then a hash that decides between equal ones."""
+        main = round(max(score, _LEAST) * _SCALE) * _TIES
+        return tuple(main - xxhash.xxh32_intdigest(piece, seed=i) % _TIES for i in range(_PLACES))
 
     def _reach(
         self, text: str, start: int, inner: int, offset: int = 0
-    ) -> tuple[list[int | None], list[tuple[int, int] | None]]:
+    ) -> tuple[list[int | None], list[int], list[bytes | None]]:
         """Best weight of reaching each position from `start`, by pieces that begin before `inner`.
 
-        `offset` is the distance of `text` from the last position at which all paths meet.
-        It makes the choice among equal scores the same wherever a text is cut.
+        Also where the last piece before each position begins, and its id. `offset` is the
+        distance of `text` from the last position at which all paths meet. It makes the
+        choice among equal scores the same wherever a text is cut.
         """
         size = len(text)
         best: list[int | None] = [None] * (size + 1)
-        via: list[tuple[int, int] | None] = [None] * (size + 1)  # where the piece before a position begins, and its id
+        begin, last = [0] * (size + 1), [None] * (size + 1)
         best[start] = 0
-        known, longest = self._known, self.longest
-        for i in range(start, inner):
+        known, joined, longest, place = self._known, self._joined, self.longest, offset + start
+        for i in range(inner):
+            if i and text[i - 1 : i + 1] not in joined:
+                place = 0
+            elif i <= start:
+                place = offset + i
             here = best[i]
             if here is None:
+                place += 1
                 continue
-            place = 2 * (offset + i) + 1
+            at = place % _PLACES
+            place += 1
+            single = False
             for j in range(i + 1, min(i + longest, size) + 1):
-                part = text[i:j]
-                if part not in known:
-                    break
-                found = known[part]
-                if found is not None:
-                    weight = here + found[1] - found[2] * place % _TIES
-                    if best[j] is None or weight > best[j]:
-                        best[j], via[j] = weight, (i, found[0])
-            if known.get(text[i]) is None:
+                found = known.get(text[i:j], 0)
+                if not found:
+                    if found == 0:
+                        break
+                    continue
+                if j == i + 1:
+                    single = True
+                weight = here + found[1][at]
+                if best[j] is None or weight > best[j]:
+                    best[j], begin[j], last[j] = weight, i, found[0]
+            if not single:
                 weight = here + self._unknown_weight
                 if best[i + 1] is None or weight > best[i + 1]:
-                    best[i + 1], via[i + 1] = weight, (i, -1)
-        return best, via
+                    best[i + 1], begin[i + 1], last[i + 1] = weight, i, None
+        return best, begin, last
 
-    def _trace(self, text: str, via: Sequence[tuple[int, int] | None], start: int, end: int) -> list[int]:
-        ids: list[int] = []
+    def _trace(self, text: str, begin: list[int], last: list[bytes | None], start: int, end: int) -> bytes:
+        parts = []
         while end > start:
-            begin, piece = via[end]
-            if piece < 0:
-                raw = text[begin].encode("utf-8", "replace")
-                ids.extend([self.bytes[b] for b in reversed(raw)] if self.bytes else [self.unknown])
-            else:
-                ids.append(piece)
-            end = begin
-        ids.reverse()
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        found = np.array(self._trace(word, self._reach(word, 0, len(word))[1], 0, len(word)), np.int32).tobytes()
-        if len(self._words) >= _CACHED_WORDS:
-            self._words.clear()
-        if len(word) <= 64:
-            self._words[word] = found
-        return found
+            piece, at = last[end], begin[end]
+            if piece is None:
+                raw = text[at].encode("utf-8", "replace")
+                piece = b"".join([self.bytes[b] for b in raw]) if self.bytes else _id_bytes(self.unknown)
+            parts.append(piece)
+            end = at
+        parts.reverse()
+        return b"".join(parts)
+
+    def _path(self, text: str, start: int, inner: int, end: int, offset: int = 0) -> bytes:
+        _, begin, last = self._reach(text, start, inner, offset)
+        return self._trace(text, begin, last, start, end)
+
+    def _learn(self, stretches: Iterable[str]) -> None:
+        """Remember the best path of each stretch. In order of the alphabet, what they begin with in common is done once."""
+        known, longest, unknown = self._endings, self.longest, self._unknown_weight
+        before, best, begin, last = "", [0], [0], [None]
+        for text in sorted(stretches):
+            same = 0
+            for a, b in zip(before, text):
+                if a != b:
+                    break
+                same += 1
+            del best[same + 1 :], begin[same + 1 :], last[same + 1 :]
+            for j in range(same + 1, len(text) + 1):
+                top, at, piece, single = None, 0, None, False
+                for i in range(j - 1, max(j - longest, 0) - 1, -1):
+                    found = known.get(text[i:j], 0)
+                    if not found:
+                        if found == 0:
+                            break
+                        continue
+                    if i == j - 1:
+                        single = True
+                    weight = best[i] + found[1][i % _PLACES]
+                    if top is None or weight >= top:
+                        top, at, piece = weight, i, found[0]
+                if not single and (top is None or best[j - 1] + unknown > top):
+                    top, at, piece = best[j - 1] + unknown, j - 1, None
+                best.append(top)
+                begin.append(at)
+                last.append(piece)
+            self._stretches[text] = self._trace(text, begin, last, 0, len(text))
+            before = text
+
+    def _stretch_ends(self, word: str) -> list[int]:
+        joined = self._joined
+        return [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined] + [len(word)]
+
+    def _learn_words(self, words: set[str]) -> None:
+        parts = {}
+        for word in words:
+            begin, found = 0, []
+            for end in self._stretch_ends(word):
+                found.append(word[begin:end])
+                begin = end
+            parts[word] = found
+        have = self._stretches
+        new = {x for found in parts.values() for x in found}.difference(have)
+        if len(have) + len(new) > _CACHED:
+            have.clear()
+            new = {x for found in parts.values() for x in found}
+        self._learn(new)
+        for word, found in parts.items():
+            self._words[word] = b"".join([have[x] for x in found])
 
     def _meets(self, before: str, text: str, after: str) -> tuple[int, int] | None:
-        """First and last position of `text`, its ends included, at which every path has a boundary."""
-        if not self.meets_at_spaces:
-            return None
-        whole = before + text + after[:1]
-        found = [m.start() + 1 - len(before) for m in _MEETS.finditer(whole)]
-        found = [p for p in (found[:1] + found[-1:]) if 0 <= p <= len(text)]
-        return (found[0], found[-1]) if found else None
+        """First and last position of `text`, its ends included, at which all paths meet."""
+        whole, shift, joined = before + text + after[:1], len(before), self._joined
+        places = range(0 if before else 1, len(text) + (1 if after else 0))
+        apart = lambda p: whole[p + shift - 1 : p + shift + 1] not in joined
+        first = next((p for p in places if apart(p)), None)
+        return None if first is None else (first, next(p for p in reversed(places) if apart(p)))
+
+    def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """Ids of normalised texts, or of stretches that begin and end where paths meet."""
+        split, have = [self._split(text) for text in texts], self._words
+        new = set().union(*split).difference(have)
+        if len(have) + len(new) > _CACHED:
+            have.clear()
+            new = set().union(*split)
+        self._learn_words(new)
+        return [np.frombuffer(b"".join([have[w] for w in words]), np.int32) for words in split]
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a normalised text, or of a stretch that begins and ends at piece boundaries."""
-        if not self.meets_at_spaces:
-            return np.array(self._trace(text, self._reach(text, 0, len(text))[1], 0, len(text)), np.int32)
-        have, missing = self._words, self._word
-        return np.frombuffer(b"".join([have.get(w) or missing(w) for w in _WORDS.findall(text)]), np.int32)
+        return self.encode_all([text])[0]
 
     def chunks(self, text: str, size: int) -> list[tuple[str, int, str, str]]:
         """The chunks of a normalised text: character before, offset, text, and what follows as far as a piece reaches."""
         found, meet = [], 0
         for at in range(0, len(text), size):
-            if self.meets_at_spaces:
-                spaces = [m.start() + 1 for m in _MEETS.finditer(text, max(at - size - 1, 0), at + 1)]
-                meet = spaces[-1] if spaces else meet
+            meet = next((p for p in range(at, meet, -1) if text[p - 1 : p + 1] not in self._joined), meet)
             found.append((text[max(at - 1, 0) : at], at - meet, text[at : at + size], text[at + size : at + size + self.longest - 1]))
         return found
 
@@ -193,11 +272,11 @@ class Pieces:
         long = text + after
         meets = self._meets(before, text, after)
         if not meets:
-            return np.array(self._trace(long, self._reach(long, enter, size, offset)[1], enter, size + leave), np.int32)
+            return np.frombuffer(self._path(long, enter, size, size + leave, offset), np.int32)
         first, last = meets
-        head = self._trace(long[:first], self._reach(long[:first], enter, first, offset)[1], enter, first)
-        tail = self._trace(long[last:], self._reach(long[last:], 0, size - last)[1], 0, size + leave - last)
-        return np.concatenate([np.array(head, np.int32), self.encode(text[first:last]), np.array(tail, np.int32)])
+        head = self._path(long[:first], enter, first, first, offset)
+        tail = self._path(long[last:], 0, size - last, size + leave - last)
+        return np.frombuffer(head + self.encode(text[first:last]).tobytes() + tail, np.int32)
 
     def score(self, ids: np.ndarray) -> float:
         return float(self._score_of[ids].sum())
@@ -208,7 +287,6 @@ class Pieces:
 
 
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_MEETS = re.compile(f"[^{SPACE}](?={SPACE})")
 
 
 def boundary_states(matrices: np.ndarray) -> list[tuple[int, int]]:
@@ -243,6 +321,19 @@ def _loaded(model: bytes) -> Pieces:
 _RESULT = "n_tokens bigint, score double, tokens array<int>, round_trip boolean"
 
 
+def _columns(pieces: Pieces, ids: list[np.ndarray], normal: list[str]) -> list[pa.Array]:
+    """n_tokens, score, tokens and round_trip as columns."""
+    sizes = np.array([len(x) for x in ids], np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return [
+        pa.array(sizes),
+        pa.array([pieces.score(x) for x in ids], pa.float64()),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())),
+        pa.array([pieces.decode(x) == text for x, text in zip(ids, normal)], pa.bool_()),
+    ]
+
+
 def _finish(pieces: Pieces, ids: np.ndarray, normal: str) -> tuple:
     return len(ids), pieces.score(ids), ids, pieces.decode(ids) == normal
 
@@ -268,19 +359,25 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, chunk_chars:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n_chars = F.char_length("text").cast("bigint")
 
-    @F.pandas_udf(_RESULT)
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(shared.value)
-        found = []
-        for text in texts:
-            normal = pieces.normalize(text)
-            found.append(_finish(pieces, pieces.encode(normal), normal))
-        return pd.DataFrame(found, columns=["n_tokens", "score", "tokens", "round_trip"])
-
-    small = rows.where(n_chars <= chunk_chars).select("doc_id", n_chars.alias("n_chars"), encode("text").alias("e"))
+        for batch in batches:
+            ends = np.cumsum(batch.column("n_chars").to_numpy()) // _STEP_CHARS
+            edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(edges, edges[1:]):
+                part = batch.slice(begin, end - begin)
+                normal = [pieces.normalize(text) for text in part.column("text").to_pylist()]
+                ids = pieces.encode_all(normal)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("n_chars"), *_columns(pieces, ids, normal)],
+                    names=["doc_id", "n_chars", "n_tokens", "score", "tokens", "round_trip"],
+                )
+
+    small = rows.where(n_chars <= chunk_chars).select("doc_id", n_chars.alias("n_chars"), "text")
+    named = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_chars bigint, "
+    small = small.mapInArrow(encode, named + _RESULT)
     giant = _encode_giant(rows.where(n_chars > chunk_chars).withColumn("n_chars", n_chars), shared, longest, chunk_chars)
-    columns = ["doc_id", "n_chars", "e.n_tokens", "e.score", "e.tokens", "e.round_trip"]
-    return small.select(*columns).unionAll(giant.select(*columns))
+    return small.unionAll(giant.select("doc_id", "n_chars", "e.*"))
 
 
 def _encode_giant(rows: DataFrame, shared: Broadcast, longest: int, chunk_chars: int) -> DataFrame:
