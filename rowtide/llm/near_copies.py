@@ -1,15 +1,17 @@
-"""Near copies by a long SimHash: documents whose word sequences are similar to 0.8 or more.
-
-Two fingerprint bits differ with a probability that grows with the angle between two
-texts' shingle vectors. Texts that share 0.8 of their five-word shingles have about 2 % of
-their words changed, and about 0.095 of their bits differ when fingerprints are taken over
-two-word shingles. (Over five-word shingles it would be 0.15, which takes far more tables
-to find.) A fingerprint of 512 bits tells such a distance well.
-
-Candidates share the same value of 32 chosen bits in at least one of 80 tables: of pairs
-at similarity 0.8 about 96 % do, of pairs at 0.9 nearly all. A bucket's documents are
-compared with its first and its last, so work grows with the rows of a bucket, not with
-their pairs. Distances to pivots discard candidates before they are compared.
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+A pair becomes a link only when its two sets, compared as a whole, are that similar. Two
+searches name the pairs to compare:
+
+* A long SimHash over two-word shingles (512 bits, 80 tables of 32) finds copies with
+  scattered edits at little cost. Each document keeps its smallest partner.
+* A prefix join misses nothing. Shingles have one order for all documents, the common ones
+  last. Of two sets that are similar enough, the first fifth of each (and one more) shares
+  a shingle, and what follows the first shared one has to be enough on both sides.
+
+Small buckets of the join give all their pairs. In a large one every document is compared
+with the first, and what is then still in different groups is compared pair by pair, so
+large groups of copies need no pairs and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import lower_ascii, stored
@@ -30,6 +33,11 @@ TABLES = 80
 KEY_BITS = 32
 MOST_APART = 56  # of 512 bits: about 0.095 of them at similarity 0.8, and one deviation more
 PIVOTS = 8
+SHINGLE = 5
+SIMILAR = (4, 5)  # 0.8, as a fraction
+BUCKET_ROWS = 16  # larger ones take the other way to the same result
+SAMPLE = 5000  # documents that tell common shingles: they decide the order only
+COMMON = 50_000
 _ROWS = 255  # a byte counts so far
 
 
@@ -63,8 +71,8 @@ def table_keys(prints: np.ndarray, tables: int = TABLES, key_bits: int = KEY_BIT
 
 
 class Steps(NamedTuple):
-    prints: DataFrame  # rid, doc_id, text_sha256, fp
-    nodes: DataFrame  # node, fp: the distinct fingerprints
+    prints: DataFrame  # rid, doc_id, text_sha256, mark (of the shingle set)
+    nodes: DataFrame  # node, text_sha256, mark, fp, n, prefix: the distinct shingle sets
     candidates: DataFrame  # a, b: nodes to compare
     links: DataFrame  # a, b: nodes close enough
 
@@ -76,18 +84,66 @@ def _apart(a: str, b: str) -> Column:
     return total
 
 
-def find_links(docs: DataFrame, words: int, most_apart: int, tables: int, key_bits: int) -> Steps:
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles of a text as sorted hashes."""
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def prefix_of(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The shingles of which similar sets share one: first the uncommon ones, then by `ranks` of `common`."""
+    size = len(shingles)
+    at = np.minimum(np.searchsorted(common, shingles), max(len(common) - 1, 0))
+    rank = np.where(common[at] == shingles, ranks[at], 0) if len(common) else np.zeros(size, np.int64)
+    most = size - -(-SIMILAR[0] * size // SIMILAR[1]) + 1
+    return shingles[np.lexsort((shingles, rank))][:most] if size else shingles
+
+
+def _sha() -> Column:
+    return F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256).alias("text_sha256")
+
+
+def _shingles(text: str) -> Column:
     @F.pandas_udf("array<bigint>")
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series([long_fingerprint(shingle_hashes(t, words)) for t in texts], dtype=object)
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).view(np.int64) for t in texts], dtype=object)
+
+    return sets(text)
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several documents of a sample, sorted, and in how many they are."""
+    share = max(docs.count() // SAMPLE, 1)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    counts = some.select(F.explode(_shingles("text")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    rows = counts.where("n > 2").orderBy(F.col("n").desc(), "key").limit(COMMON).collect()
+    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def find_links(docs: DataFrame, words: int, most_apart: int, tables: int, key_bits: int) -> Steps:
+    common, ranks = _common(docs)
+
+    @F.pandas_udf("fp array<bigint>, mark binary, n int, prefix array<bigint>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame(
+            {
+                "fp": pd.Series([long_fingerprint(shingle_hashes(t, words)) for t in texts], dtype=object),
+                "mark": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets],
+                "n": [len(x) for x in sets],
+                "prefix": pd.Series([prefix_of(x, common, ranks).view(np.int64) for x in sets], dtype=object),
+            }
+        )
 
     @F.pandas_udf("array<bigint>")
     def keys(prints: pd.Series) -> pd.Series:
         return pd.Series(list(table_keys(np.stack(list(prints)), tables, key_bits)) if len(prints) else [], dtype=object)
 
-    sha = F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256).alias("text_sha256")
-    prints = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), sha, fingerprint("text").alias("fp")))
-    nodes = stored(prints.groupBy("fp").agg(F.min("rid").alias("node")))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), _sha(), sketch("text").alias("made"))
+    prints = stored(rows.select("rid", "doc_id", "text_sha256", "made.*"))
+    firsts = prints.groupBy("mark").agg(F.min("rid").alias("node"))
+    nodes = stored(firsts.join(prints.drop("mark"), F.col("node") == F.col("rid")).drop("rid", "doc_id"))
 
     placed = nodes.select("node", F.explode(keys("fp")).alias("key"))
     buckets = placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
@@ -106,6 +162,65 @@ def find_links(docs: DataFrame, words: int, most_apart: int, tables: int, key_bi
     return Steps(prints, nodes, candidates, links)
 
 
+def _enough(a: str, b: str) -> Column:
+    """Whether two sets can be similar whose first shared shingle is this one; so no pair is lost that is."""
+    high, low = SIMILAR[1], SIMILAR[0]
+    n_a, n_b, left_a, left_b = (F.col(f"{side}.{c}") for c in ("n", "left") for side in (a, b))
+    return (F.least(n_a, n_b) * high >= F.greatest(n_a, n_b) * low) & (
+        F.least(left_a, left_b) * (high + low) >= (n_a + n_b) * low
+    )
+
+
+def _pair(a: str, b: str) -> tuple[Column, Column]:
+    a, b = F.col(f"{a}.node"), F.col(f"{b}.node")
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """key, node, n, left (shingles from here on), rows, first: places in the prefixes that several sets have."""
+    keyed = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    keyed = keyed.select("key", "node", "n", (F.col("n") - F.col("pos")).alias("left"))
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("node", "n", "left")).alias("first"))
+    return stored(keyed.join(crowds.where("rows > 1"), "key"))
+
+
+def _first_pairs(crowded: DataFrame) -> DataFrame:
+    """All pairs of the small buckets; in the large ones those with the first."""
+    small = crowded.where(F.col("rows") <= BUCKET_ROWS).select("key", "node", "n", "left")
+    a, b = small.alias("a"), small.alias("b")
+    within = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & _enough("a", "b"))
+    large = crowded.where(F.col("rows") > BUCKET_ROWS).select(F.struct("node", "n", "left").alias("own"), "first")
+    stars = large.where("own.node <> first.node").where(_enough("own", "first"))
+    return within.select(*_pair("a", "b")).unionAll(stars.select(*_pair("own", "first")))
+
+
+def _pairs_between(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of the large buckets that are in different groups."""
+    large = crowded.where(F.col("rows") > BUCKET_ROWS).join(roots, "node", "left")
+    large = stored(large.select("key", "node", "n", "left", F.coalesce("root", "node").alias("root")))
+    sizes = large.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("top"), F.count("*").alias("groups"))
+    mixed = stored(large.join(tops.where("groups > 1").select("key", F.col("top.root").alias("top")), "key"))
+    a, b = mixed.where("root <> top").alias("a"), mixed.alias("b")
+    once = (F.col("b.root") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
+    return a.join(b, apart & once & _enough("a", "b")).select(*_pair("a", "b"))
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): those of the pairs whose whole shingle sets are similar enough."""
+    pairs = stored(pairs.distinct())
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    asked = stored(asked.join(nodes.select("node", "text_sha256"), "node"))
+    texts = docs.select(_sha(), "text").join(asked.select("text_sha256"), "text_sha256", "left_semi")
+    texts = texts.dropDuplicates(["text_sha256"]).select("text_sha256", _shingles("text").alias("set"))
+    sets = stored(asked.join(texts, "text_sha256").select("node", "set"))
+    left, right = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    either = F.size("set_a") + F.size("set_b") - both
+    return stored(pairs.join(left, "a").join(right, "b").where(both * SIMILAR[1] >= either * SIMILAR[0]).select("a", "b"))
+
+
 def near_copies(
     docs: DataFrame,
     words: int = WORDS,
@@ -113,7 +228,10 @@ def near_copies(
     tables: int = TABLES,
     key_bits: int = KEY_BITS,
 ) -> DataFrame:
-    """Groups of documents linked by long fingerprints with at most `most_apart` differing bits.
+    """Groups of documents linked by five-word shingle sets of Jaccard similarity 0.8 or more.
+
+    `words`, `most_apart`, `tables` and `key_bits` are of the long SimHash, which names
+    pairs first; they do not change the groups.
 
     Returns one row per row of `docs`: doc_id, text_sha256 (of the text with A to Z in
     lower case), component_id (the smallest doc_id of the group, null if it has none),
@@ -123,9 +241,15 @@ def near_copies(
     empty result. Columns of `docs` other than doc_id and text are not looked at.
     """
     found = find_links(docs, words, most_apart, tables, key_bits)
-    roots = components(found.links)
-    rooted = found.nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    grouped = stored(found.prints.join(rooted, "fp").select("rid", "doc_id", "text_sha256", "root"))
+    crowded = _crowded(found.nodes)
+    sketched = found.links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _similar(sketched.unionAll(_first_pairs(crowded)), found.nodes, docs)
+    roots = stored(components(links))
+    between = stored(_pairs_between(crowded, roots).distinct())
+    if not between.isEmpty():
+        roots = components(links.unionAll(_similar(between, found.nodes, docs)))
+    rooted = found.nodes.join(roots, "node", "left").select("mark", F.coalesce("root", "node").alias("root"))
+    grouped = stored(found.prints.join(rooted, "mark").select("rid", "doc_id", "text_sha256", "root"))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "rid")).alias("first")
     firsts = stored(grouped.groupBy("root").agg(order))
     return grouped.join(firsts, "root").select(

@@ -118,3 +118,36 @@ def test_near_copies_of_messy_rows(spark):
     assert by_id[3]["component_id"] == by_id[4]["component_id"] == by_id[5]["component_id"] == 3
     assert by_id[7]["component_id"] == 6 and not by_id[7]["kept"] and by_id[10]["kept"]
     assert near_copies(empty(spark)).collect() == []
+
+
+def shingles(text):
+    found = text.split()
+    return {tuple(found[i : i + 5]) for i in range(max(len(found) - 4, 1))}
+
+
+def check_against_brute(spark, docs):
+    sets = {i: shingles(t) for i, t in docs}
+    similar = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    expected = brute_roots(sorted(sets), similar)
+    found = near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == expected
+    assert {r["doc_id"] for r in found if r["kept"]} == set(expected.values())
+    return expected
+
+
+def test_copies_with_contiguous_edits(spark):
+    """Truncated, appended and block-replaced copies at similarities around 0.8 to 0.9."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    docs = []
+    for similarity in (0.78, 0.79, 0.805, 0.82, 0.85, 0.88, 0.9):
+        for size in (60, 300):
+            for kind in range(3):
+                text = words(size)
+                kept = round(size * similarity)
+                swapped = round(size * (1 - similarity) / (1 + similarity)) - 4
+                at = rng.randrange(size - max(swapped, 0))
+                copy = [text[:kept], text + words(round(size / similarity) - size), text[:at] + words(max(swapped, 1)) + text[at + max(swapped, 1) :]][kind]
+                docs += [(2 * len(docs), " ".join(text)), (2 * len(docs) + 1, " ".join(copy))]
+    expected = check_against_brute(spark, docs)
+    assert len(docs) // 2 < len(set(expected.values())) < len(docs) * 0.8
