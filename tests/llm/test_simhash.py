@@ -151,3 +151,19 @@ def test_copies_with_contiguous_edits(spark):
                 docs += [(2 * len(docs), " ".join(text)), (2 * len(docs) + 1, " ".join(copy))]
     expected = check_against_brute(spark, docs)
     assert len(docs) // 2 < len(set(expected.values())) < len(docs) * 0.8
+
+
+def test_pairs_among_templated_documents_and_crowds(spark):
+    """Pages of one template are strangers but for planted pairs; a crowd of copies with some at its rim."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    template, docs = words(200), []
+    for k in range(60):
+        own = words(rng.randint(25, 60))
+        docs.append((k, " ".join(template + own)))
+        if k % 6 == 0:
+            docs.append((1000 + k, " ".join(template + own + words(8))))
+    long = words(300)
+    for k in range(60):
+        docs.append((2000 + k, " ".join(long[rng.randrange(35) :] + words(rng.randrange(35)))))
+    check_against_brute(spark, docs)
