@@ -167,3 +167,10 @@ def test_pairs_among_templated_documents_and_crowds(spark):
     for k in range(60):
         docs.append((2000 + k, " ".join(long[rng.randrange(35) :] + words(rng.randrange(35)))))
     check_against_brute(spark, docs)
+
+
+def test_texts_of_one_repeated_word_are_no_copies(spark):
+    rng = random.Random(8)
+    docs = [(k, " ".join(["|"] * 200 + [f"own{rng.randrange(10**6)}" for _ in range(90)])) for k in range(20)]
+    expected = check_against_brute(spark, docs)
+    assert len(set(expected.values())) == 20
