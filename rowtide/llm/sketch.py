@@ -43,8 +43,12 @@ def paragraph_digests(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(raw) + b"\n"
     data = np.frombuffer(joined, np.uint8)
     chosen = (data[1:-1] * np.uint8(31) + data[:-2] * np.uint8(17)) & np.uint8(28) == 0
-    ends = data == 10
-    ends[2:] |= (data[2:] == 32) & chosen
+    begins = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
+    ends = np.zeros(len(data), bool)
+    ends[2:] = (data[2:] == 32) & chosen
+    ends[begins] = False  # both letters have to be the text's own
+    ends[begins[begins + 1 < len(data)] + 1] = False
+    ends |= data == 10
     stops = np.flatnonzero(ends) + 1
     starts = np.concatenate(([0], stops[:-1]))
     owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")

@@ -33,6 +33,16 @@ def test_an_edit_leaves_the_other_paragraphs():
     assert digests("") == set() == digests("\n\n")
 
 
+def test_equal_texts_have_equal_digests_after_any_neighbour():
+    texts = [" starts with a space", "I begin. More words", "g h", " ", "x", "a b c"]
+    alone = [digests(t) for t in texts]
+    for before in ["", "end\n", "end,", "all", "obj", "x]", "plain", "A", '"']:
+        for text, expected in zip(texts, alone):
+            found, owner = paragraph_digests([before, text, before, text])
+            assert set(found[owner == 1].tolist()) == expected == set(found[owner == 3].tolist())
+            assert set(found[owner == 0].tolist()) == digests(before)
+
+
 def brute(rows):
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     texts = [r[1] or "" for r in ordered]
