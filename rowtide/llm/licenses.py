@@ -39,7 +39,8 @@ BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general publi
 # Label, keyword, name as an expression over words, whether the bare name says enough.
 _V = r"(?: version| v)?"
 _LICENSES = [
-    ("0bsd", "0bsd", "0bsd|bsd zero clause|zero clause bsd", True),
+    ("0bsd", "0bsd", "0bsd", True),
+    ("0bsd", "zero clause", "bsd zero clause|zero clause bsd", True),
     ("afl-2.1", "academic free", rf"academic free(?: license)?{_V} 2 1", True),
     ("afl-3.0", "academic free", rf"academic free(?: license)?{_V} 3 0", True),
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general public license{_V} 3(?: 0)?", True),
@@ -90,13 +91,15 @@ _LICENSES = [
     ("gpl-2.0", "gpl", rf"gpl{_V} ?2(?: 0)?(?: only| or later)?|gplv2", True),
     ("gpl-3.0", "gpl", rf"gpl{_V} ?3(?: 0)?(?: only| or later)?|gplv3", True),
     ("isc", "isc", "isc", False),
-    ("lgpl-2.0", "lesser general", rf"(?:gnu )?(?:lesser|library) general public license{_V} 2(?: 0)?", True),
+    ("lgpl-2.0", "lesser general", rf"(?:gnu )?lesser general public license{_V} 2(?: 0)?", True),
+    ("lgpl-2.0", "library general", rf"(?:gnu )?library general public license{_V} 2(?: 0)?", True),
     ("lgpl-2.1", "lesser general", rf"(?:gnu )?lesser general public license{_V} 2 1", True),
     ("lgpl-3.0", "lesser general", rf"(?:gnu )?lesser general public license{_V} 3(?: 0)?", True),
     ("lgpl-2.1", "lgpl", rf"lgpl{_V} ?2 1(?: only| or later)?", True),
     ("lgpl-3.0", "lgpl", rf"lgpl{_V} ?3(?: 0)?(?: only| or later)?", True),
     ("lppl-1.3c", "latex project", rf"latex project public license{_V}(?: 1 3c?)?", True),
-    ("mit", "mit", "mit|expat|mit x11|x11 mit", False),
+    ("mit", "mit", "mit|mit x11|x11 mit", False),
+    ("mit", "expat", "expat", False),
     ("mit-0", "mit", "mit 0|mit no attribution", True),
     ("mpl-1.1", "mozilla", rf"mozilla public license{_V} 1 1", True),
     ("mpl-2.0", "mozilla", rf"mozilla public license{_V} 2(?: 0)?", True),

@@ -5,7 +5,7 @@ import re
 
 
 from messy import ROWS, empty, lower_ascii, messy
-from rowtide.llm.licenses import BASE_PHRASES, Rule, find_licenses, keep_best, license_rules, scan_licenses, words_of
+from rowtide.llm.licenses import _LICENSES, BASE_PHRASES, Rule, find_licenses, keep_best, license_rules, scan_licenses, words_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 TEXTS = [
@@ -72,6 +72,24 @@ def test_finds_are_where_the_rules_match(spark):
     assert found == expected
 
 
+def test_keywords_lose_no_alternative(spark):
+    """Every alternative of a rule's name has its keyword, and its finds are those without a first look."""
+    texts = []
+    for _, keyword, name, _ in _LICENSES:
+        plain = re.sub(r"\(\?:[^()]*\)\?", "", name).replace("[cs]", "s").replace(" ?", " ").replace("v?2", "v2").replace("c?", "c")
+        plain = re.sub(r"\(\?:([^()|]*)\|[^()]*\)", r"\1", plain)  # of a choice that is left, the first
+        for text in plain.split("|"):
+            assert re.fullmatch(name, text) and keyword in text, (name, keyword, text)
+            texts.append(f"licensed under the {text} license")
+    texts += ["GNU Library General Public License version 2", "BSD Zero Clause License", "Zero Clause BSD", "Expat License"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rules = license_rules()
+    found = {r["doc_id"]: r["labels"] for r in scan_licenses(df, rules).collect()}
+    tried = {r["doc_id"]: r["labels"] for r in scan_licenses(df, [r._replace(keyword="e" if not r.base else r.keyword, also="") for r in rules]).collect()}
+    assert found == tried
+    assert [found[i] for i in range(len(texts) - 4, len(texts))] == ["gpl,lgpl-2.0", "0bsd", "0bsd", "mit"]
+
+
 def test_overlaps(spark):
     rows, rule = [], itertools.count()
     for start in range(6):
