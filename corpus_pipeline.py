@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowtide.llm.blocks import exact_duplicates
@@ -16,6 +17,16 @@ def _key(doc_id: Column, sha: Column) -> Column:
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), sha)
 
 
+def _has_letter(text: Column) -> Column:
+    """Whether a text has a letter as the model sees them, so that a language can be told."""
+
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and any(map(str.isalpha, t))).astype(bool)
+
+    return lettered(text)
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of `docs` that `kept` (doc_id, text_sha256) names, each once."""
     sha = F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256)
@@ -28,9 +39,12 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or null, go: no language can be told.
 
-    The model learns from the rows with a label outside one third of the ids.
+    The model learns from the rows with a label outside one third of the ids. If there are
+    none, letters alone decide.
     """
     model = fit_languages(docs.where(fold_of(F.col("doc_id")) != 1))
+    if not model.languages:
+        return docs.where(_has_letter(F.col("text")))
     found = identify(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model)
     return found.where(F.col("lang_pred") != UNDETERMINED).select("__row.*")
 

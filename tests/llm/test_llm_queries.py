@@ -67,3 +67,10 @@ def test_entry_without_these_modules():
     code = "import sys; sys.modules['rowtide.llm'] = None; import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.oracle_sql()))"
     shown = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True)
     assert shown.stdout.strip() == "True"
+
+
+def test_nothing_learned_keeps_documents_with_letters(spark):
+    docs = messy(spark, extra=False).withColumn("lang", F.lit(None).cast("string"))
+    told = corpus_pipeline.language_id(spark, docs, SF_DIR).collect()
+    texts = sorted(t for _, t, *_ in ROWS if t and any(c.isalpha() for c in t))
+    assert sorted(r["text"] for r in told) == texts
