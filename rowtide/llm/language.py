@@ -2,9 +2,11 @@
 
 A model holds, for each language, the smoothed probabilities of hashed three-letter
 sequences. A document's n-grams are taken as draws from a mixture of languages.
-Expectation maximisation estimates the mixture's proportions. Then the languages with the
-largest proportions compete as sets of growing size: a further language has to raise the
-log likelihood by more than a penalty that grows with the logarithm of the length.
+Expectation maximisation estimates a mixture's proportions. Sets of languages grow from the
+best single one by the language that raises the log likelihood most, and the set stays whose
+log likelihood is largest after a penalty for each further language, which grows with the
+logarithm of the length. Growth ends when no larger set can win: the log likelihood is
+concave, so its slope bounds what all other languages together can add.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 1000  # bounds the model: BUCKETS x MAX_LANGUAGES numbers at most
 SMOOTHING = 0.5
-MAX_SET = 5
 UNDETERMINED = "und"
 _SPACE = 32
 _MOST_STEPS = 40
+_TRIED = (0.02, 0.1, 0.3, 0.5)  # shares at which further languages are compared
 _OVERLAP = 3.0  # a letter takes part in three n-grams: likelihoods count a third
 
 
@@ -68,17 +70,26 @@ class LanguageModel:
         likelihood = self.probabilities[grams]
         size = weights.sum()
         single = weights @ np.log(likelihood)
-        order = [int(single.argmax())]
-        chosen, shares, best = order, np.ones(1), single[order[0]] / _OVERLAP
-        if len(self.languages) > 1:
-            order = np.argsort(-_proportions(likelihood, weights)[0], kind="stable").tolist()
-        for k in range(2, min(MAX_SET, len(self.languages)) + 1):
-            some = order[:k]
-            part, fit = _proportions(likelihood[:, some], weights)
-            score = fit / _OVERLAP - (k - 1) * np.log(size + 1)
-            if score <= best:
+        some, part = [int(single.argmax())], np.ones(1)
+        fit = single[some[0]]
+        chosen, shares, best = some, part, fit / _OVERLAP
+        penalty = np.log(size + 1)
+        while len(some) < len(self.languages):
+            now = likelihood[:, some] @ part
+            slopes = likelihood.T @ (weights / now) - size
+            if (fit + slopes.max()) / _OVERLAP - len(some) * penalty <= best:
+                break
+            others = np.flatnonzero(slopes > 0)
+            others = others[~np.isin(others, some)]
+            if not len(others):
                 break
-            chosen, shares, best = some, part, score
+            ratio = likelihood[:, others] / now[:, None] - 1
+            gains = np.max([weights @ np.log1p(t * ratio) for t in _TRIED], axis=0)
+            some = [*some, int(others[gains.argmax()])]
+            part, fit = _proportions(likelihood[:, some], weights)
+            score = fit / _OVERLAP - (len(some) - 1) * penalty
+            if score > best:
+                chosen, shares, best = some, part, score
         ranked = sorted(zip(-shares, (self.languages[i] for i in chosen)))
         return [name for _, name in ranked], [float(-share) for share, _ in ranked]
 

@@ -63,3 +63,22 @@ def test_nothing_learned(spark):
     untaught = fit_languages(empty(spark))
     assert isinstance(untaught, LanguageModel) and untaught.languages == ()
     assert {r["lang_pred"] for r in identify(messy(spark, extra=False), untaught).collect()} == {"und"}
+
+
+def test_many_languages_in_one_text():
+    """Seven languages, with a look-alike of the first: the others are found all the same."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüéèêàß"
+    words = {f"l{k}": ["".join(rng.choice(letters[4 * k : 4 * k + 6]) for _ in range(6)) for _ in range(8)] for k in range(7)}
+    words["l0x"] = words["l0"]
+    table = np.full((1 << 12, len(words)), 0.5)
+    for i, of in enumerate(words.values()):
+        for word in of:
+            table[:, i] += 100 * np.bincount(ngrams(word, 1 << 12), minlength=1 << 12)
+    known = LanguageModel(tuple(words), table / table.sum(axis=0))
+    text = lambda k, n: " ".join(rng.choice(words[f"l{k}"]) for _ in range(n))
+    names, shares = known.mixture(" ".join(text(k, 60) for k in range(7)))
+    assert {n[:2] for n in names} == {f"l{k}" for k in range(7)} and len(names) == 7
+    assert sum(shares) == pytest.approx(1)
+    names, _ = known.mixture(text(0, 100) + " " + text(3, 30))
+    assert {n[:2] for n in names} == {"l0", "l3"} and len(names) == 2
