@@ -12,6 +12,7 @@ from .fixity import FILE_RECORDS, archive, audit
 from .language import held_out_predictions
 from .lengths import length_histogram, suffix_sums
 from .licenses import scan_licenses
+from .manifest import manifest
 from .mixing import mix_sources
 from .pieces import encode_documents
 from .quality import score_quality
@@ -75,6 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fixity": op1_fixity,
     "op2_licenses": op2_licenses,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
+    "op11_manifest": op11_manifest,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -112,7 +118,68 @@ _DAMAGED = f"""
                     ELSE 1 END)
 """
 
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text of ASCII characters; 3988292384 is its polynomial with the bits in reverse."""
+    step = "CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END"
+    table = f"list_transform(range(256), lambda b: list_reduce(range(8), lambda crc, i: {step}, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    rest = f"list_reduce({codes}, lambda crc, code: xor(crc >> 8, ({table})[(xor(crc, code) & 255) + 1]), 4294967295)"
+    return f"xor({rest}, 4294967295)"
+
+
+def _manifest_sql() -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    later = f"CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 5 = 0 AND text IS NOT NULL THEN {_LOWER} ELSE text END"
+    levels = lambda leaves: f"""
+          SELECT grp, 0 AS level, pos, n, digest FROM {leaves}
+          UNION ALL
+          SELECT grp, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+          FROM {leaves}_up WHERE n > 1 GROUP BY grp, level, pos // 16, n"""
+    families = lambda leaves: f"""
+          SELECT grp, level, pos // 16 AS parent, list(digest ORDER BY pos) AS kids
+          FROM {leaves}_up WHERE n > 1 GROUP BY grp, level, pos // 16"""
+    others = "kids[: (pos % 16)::INT] || kids[(pos % 16)::INT + 2 :]"
+    changed = "kids[: (pos % 16)::INT] || [cur] || kids[(pos % 16)::INT + 2 :]"
+    climb = lambda leaves, key, cur: f"""
+          SELECT {key}, grp, 0 AS level, pos, {cur} AS cur, ''::VARCHAR AS beside FROM {leaves}
+          UNION ALL
+          SELECT {key}, c.grp, c.level + 1, parent, sha256(array_to_string({changed}, '')), beside || array_to_string({others}, '')
+          FROM {leaves}_climb c JOIN {leaves}_families f ON f.grp = c.grp AND f.level = c.level AND f.parent = c.pos // 16"""
+    return f"""
+        WITH RECURSIVE leaves AS (
+          SELECT doc_id, row_id, coalesce('=' || source, '') AS grp, digest, later,
+                 row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos,
+                 count(*) OVER (PARTITION BY source) AS n
+          FROM (SELECT doc_id, row_number() OVER () AS row_id, source, {leaf('text')} AS digest, {leaf('later_text')} AS later
+                FROM (SELECT *, {later} AS later_text FROM documents))),
+        leaves_up AS ({levels("leaves")}),
+        leaves_families AS MATERIALIZED ({families("leaves")}),
+        tops AS (SELECT 0 AS grp, grp AS name, digest, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n
+                 FROM leaves_up WHERE n = 1),
+        tops_up AS ({levels("tops")}),
+        tops_families AS MATERIALIZED ({families("tops")}),
+        leaves_climb AS ({climb("leaves", "row_id", "later")}),
+        tops_climb AS ({climb("tops", "name", "digest")}),
+        top_proof AS (SELECT name, arg_max(beside, level) AS beside FROM tops_climb GROUP BY name),
+        below AS (SELECT row_id, arg_max(beside, level) AS beside, arg_max(cur, level) AS cur FROM leaves_climb GROUP BY row_id),
+        -- A changed source's root goes up the tree over the sources in its turn.
+        kept_climb AS (
+          SELECT row_id, t.grp, 0 AS level, t.pos, cur FROM below JOIN leaves USING (row_id) JOIN tops t ON t.name = leaves.grp
+          UNION ALL
+          SELECT row_id, c.grp, c.level + 1, parent, sha256(array_to_string({changed}, ''))
+          FROM kept_climb c JOIN tops_families f ON f.grp = c.grp AND f.level = c.level AND f.parent = c.pos // 16),
+        folds AS (SELECT row_id, arg_max(cur, level) AS folded_root FROM kept_climb GROUP BY row_id)
+        SELECT doc_id, l.digest AS leaf, t.digest AS subroot, r.digest AS root,
+               sha256(b.beside || p.beside) AS proof_sha256, folded_root, folded_root = r.digest AS verified
+        FROM leaves l JOIN below b USING (row_id) JOIN folds USING (row_id) JOIN tops t ON t.name = l.grp
+        JOIN top_proof p ON p.name = l.grp, (SELECT digest FROM tops_up WHERE n = 1) r
+    """
+
+
 SQL: dict[str, str] = {
+    "op11_manifest": _manifest_sql(),
     "op1_fixity": f"""
         SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "offset",
                coalesce(a.record_id, b.record_id) AS record_id,
