@@ -18,6 +18,7 @@ from .pieces import encode_documents
 from .quality import score_quality
 from .simhash import near_duplicates
 from .sketch import versions
+from .trie import prefix_trie
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fixity": op1_fixity,
     "op2_licenses": op2_licenses,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_quality": op10_quality,
     "op11_manifest": op11_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -178,7 +184,36 @@ def _manifest_sql() -> str:
     """
 
 
+_TRIE_SQL = rf"""
+    WITH convs AS (
+      SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns
+      FROM conversations GROUP BY conv_id),
+    rebuilt AS (
+      SELECT c.conv_id, coalesce(b.turns[: h::INT], []) || c.turns[h::INT + 1 :] AS turns
+      FROM (SELECT *, coalesce({_crc32_sql('conv_id::VARCHAR')} % 4, 0) AS h FROM convs) c
+      LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20),
+    steps AS (
+      SELECT conv_id, len(turns) AS length, depth, sha256(to_json(turns[: depth])) AS node,
+             CASE WHEN depth > 0 THEN sha256(to_json(turns[: depth - 1])) END AS parent,
+             CASE WHEN depth > 0 THEN len(regexp_extract_all(turns[depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+      FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1))::INT AS depth FROM rebuilt)),
+    nodes AS (
+      SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             max(length) = any_value(depth) AS leaf, (count(*) - 1) * any_value(words) AS saved,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '')) AS ends_sha256
+      FROM steps GROUP BY node),
+    -- A node's subtree: the nodes on whose smallest member's path it lies.
+    sums AS (
+      SELECT s.node, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves
+      FROM nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.depth <= n.depth GROUP BY s.node)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+           (SELECT count(*) FROM nodes c WHERE c.parent = n.node) AS n_children,
+           n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN sums USING (node) LEFT JOIN nodes p ON p.node = n.parent
+"""
+
 SQL: dict[str, str] = {
+    "op12_prefix_trie": _TRIE_SQL,
     "op11_manifest": _manifest_sql(),
     "op1_fixity": f"""
         SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "offset",

@@ -1,0 +1,109 @@
+"""The trie: against plain prefixes in memory, with shards, bands and queues of any size."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from rowtide.llm.trie import SpillingQueue, prefix_trie
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        digest = hashlib.sha256(f"{len(role or '')}:{role or ''}{text or ''}".encode()).hexdigest()
+        own[conv].append((turn is not None, turn or 0, role or "", digest, text or ""))
+    own = {c: [(t[2], t[4]) for t in sorted(turns)] for c, turns in own.items()}
+    members = defaultdict(list)
+    for c, turns in own.items():
+        h = 0 if c is None else zlib.crc32(str(c).encode()) % 4
+        family = None if c is None else c - (c % 20 if c >= 0 else -(-c % 20))
+        rebuilt = tuple((own.get(family, [])[:h] if h else []) + turns[h:])
+        for d in range(len(rebuilt) + 1):
+            members[rebuilt[:d]].append((c, d == len(rebuilt)))
+    least = {node: min((c for c, _ in m if c is not None), default=None) for node, m in members.items()}
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+
+    totals = {}
+    for node in sorted(members, key=len, reverse=True):
+        below = [totals[c] for c in children[node]]
+        saved = (len(members[node]) - 1) * len(WORD.findall(node[-1][1])) if node else 0
+        totals[node] = (sum(b[0] for b in below) or 1, saved + sum(b[1] for b in below))
+    found = []
+    for node, m in members.items():
+        ends = sorted((c for c, last in m if last), key=lambda c: (c is not None, c or 0))
+        text = ",".join("" if c is None else str(c) for c in ends)
+        parent = least[node[:-1]] if node else None
+        found.append((least[node], len(node), parent, len(m), len(children[node]), *totals[node], hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(found, key=repr)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def messy_rows():
+    return [
+        (0, 0, "user", "one two"), (0, 1, "bot", "three"), (0, 1, "bot", "three"), (0, 2, None, None), (0, 3, "bot", "x " * 5000),
+        (3, None, "user", "null turn first"), (3, 0, "user", "one two"), (3, 5, "", ""),
+        (7, 0, "user", "one two"), (7, 1, "bot", "three"), (7, 2, "user", "four"),
+        (25, 0, "user", "no such family"), (27, 0, "user", "one"), (27, 1, "user", "one"),
+        (None, 0, "user", "one two"), (None, 1, "bot", "three"),
+        (-4, 0, "user", "one two"), (-24, 1, "user", "far"), (2**60 + 5, 0, "user", "one two"),
+    ]
+
+
+def random_rows():
+    """Common beginnings, whole copies, one long conversation, and many that end at one node."""
+    rng = random.Random(4)
+    rows = []
+    for c in range(150):
+        turns = [("user", f"start {rng.choice([0, 0, 0, 1, 2])}")]
+        while rng.random() < 0.75:
+            turns.append((rng.choice(["user", "bot"]), "w " * rng.randint(0, 3) + str(rng.randint(0, 2))))
+        rows += [(c, k, *turn) for k, turn in enumerate(turns)]
+    rows += [(1000, k, "user", f"long {k % 3}") for k in range(400)]
+    rows += [(c, k, "user", f"copy {k}") for c in range(2000, 2120) for k in range(3)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("cut", [{}, {"shard_turns": 6, "shards": 10**9, "band": 3, "room": 2}, {"shard_turns": 0, "shards": 10**9, "band": 50, "room": 1}])
+def test_against_plain_prefixes(spark, cut):
+    rows = random_rows() if cut else messy_rows()
+    found = prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(4), **cut)
+    assert rows_of(found) == brute(rows)
+
+
+def test_messy_rows_in_small_shards(spark):
+    df = spark.createDataFrame([r + ("clash",) * 4 for r in messy_rows()], SCHEMA + ", k1 string, shard string, pos string, n string")
+    assert rows_of(prefix_trie(df, shard_turns=2, shards=10**9, band=2)) == brute(messy_rows())
+    assert prefix_trie(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_more_ends_than_a_piece_holds(spark, monkeypatch):
+    monkeypatch.setattr("rowtide.llm.trie.ENDS", 7)
+    rows = [(c, 0, "user", "same") for c in range(0, 2000, 20)]
+    assert rows_of(prefix_trie(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_a_queue_that_spills():
+    rng = random.Random(1)
+    items = [(rng.randint(-9, 9), rng.randint(0, 3), 0, k, 0, 0) for k in range(500)]
+    queue = SpillingQueue(room=10)
+    for item in items:
+        queue.push(item)
+    assert len(queue.runs) > 10 and len(queue.heap) < 120
+    found = []
+    for key in sorted({i[:3] for i in items}):
+        found += [key + more for more in queue.pop_at(key)]
+    assert found == sorted(items)
