@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .blocks import exact_duplicates
 from .common import table
 from .fixity import FILE_RECORDS, archive, audit
+from .jaccard import similar_classes
 from .language import held_out_predictions
 from .lengths import length_histogram, suffix_sums
 from .licenses import scan_licenses
@@ -85,6 +86,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fixity": op1_fixity,
     "op2_licenses": op2_licenses,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_manifest": op11_manifest,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,0 +1,147 @@
+"""The similarity join: against comparing all pairs."""
+
+import random
+
+import numpy as np
+import pytest
+
+import rowtide.llm.jaccard as jaccard
+from messy import ROWS, empty, lower_ascii, messy
+from rowtide.llm.jaccard import prefix_of, shingle_set, similar_classes
+
+
+def shingles(text):
+    found = lower_ascii(text).encode().split()
+    return {tuple(found[i : i + 5]) for i in range(max(len(found) - 4, 1))} if found else set()
+
+
+def brute(rows):
+    """(doc_id, n_shingles, component_id) for rows (doc_id, text)."""
+    sets = [shingles(text) for _, text in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return sorted(((doc_id, len(sets[i]), least.get(find(i))) for i, (doc_id, _) in enumerate(rows)), key=repr)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def check(spark, rows):
+    expected = brute(rows)
+    found = rows_of(similar_classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)))
+    assert found == expected
+    return len({r[2] for r in expected})
+
+
+def test_messy_rows(spark):
+    assert rows_of(similar_classes(messy(spark))) == brute([(r[0], r[1]) for r in ROWS])
+    assert similar_classes(empty(spark)).collect() == []
+
+
+@pytest.fixture(params=[32, 0, 10**9])
+def any_lists(request, monkeypatch):
+    """Lists of any length as they are, or cut into blocks."""
+    monkeypatch.setattr(jaccard, "LIST_ROWS", request.param)
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(3000)}" for _ in range(n)]
+
+
+def test_edits_around_the_limit(spark, any_lists):
+    """Truncated, appended and block-replaced copies at similarities around 0.8 to 0.9."""
+    rng = random.Random(5)
+    docs = []
+    for similarity in (0.78, 0.79, 0.8, 0.805, 0.82, 0.85, 0.9):
+        for size in (7, 60, 300):
+            for kind in range(3):
+                text = words(rng, size)
+                kept = round(size * similarity)
+                swapped = max(round(size * (1 - similarity) / (1 + similarity)) - 4, 1)
+                at = rng.randrange(size - swapped)
+                copy = [text[:kept], text + words(rng, round(size / similarity) - size), text[:at] + words(rng, swapped) + text[at + swapped :]][kind]
+                docs += [(2 * len(docs) + 1, " ".join(text)), (2 * len(docs), " ".join(copy))]
+    assert len(docs) // 2 < check(spark, docs) < len(docs) * 0.9
+
+
+def test_exactly_four_fifths_link(spark):
+    base = [f"x{i}" for i in range(104)]  # 100 shingles, of which 80 and 79 stay
+    check(spark, [(1, " ".join(base)), (2, " ".join(base[:84])), (3, " ".join(base[:83]))])
+
+
+def test_groups_drifting_away_from_their_first(spark, any_lists):
+    """A group of copies with ever more edits, some linked through others only, and copies of copies."""
+    rng = random.Random(6)
+    docs = []
+    for group in range(2):
+        base = words(rng, 150)
+        for k in range(45):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randrange(0, 9)):
+                copy[at] = f"own{rng.randrange(30)}"
+            docs.append((1000 * group + k, " ".join(copy)))
+        chain = list(base)
+        for k in range(12):
+            chain = chain[6:] + words(rng, 6)
+            docs.append((1000 * group + 500 + k, " ".join(chain)))
+    assert 1 < check(spark, docs) < len(docs)
+
+
+def test_templates_passages_and_sizes(spark, any_lists):
+    """Pages of one template and texts with one passage are strangers but for planted pairs."""
+    rng = random.Random(8)
+    template, passage, docs = words(rng, 200), words(rng, 60), []
+    for k in range(50):
+        own = words(rng, rng.randint(20, 60))
+        docs.append((k, " ".join(template + own)))
+        docs.append((2000 + k, " ".join(words(rng, rng.randint(10, 300)) + passage)))
+        if k % 5 == 0:
+            docs.append((1000 + k, " ".join(template + own + words(rng, 5))))
+    check(spark, docs)
+
+
+def test_equal_sets_of_unequal_texts_and_repeated_words(spark):
+    rng = random.Random(9)
+    docs = [(k, " ".join(["|"] * 200 + [f"own{rng.randrange(10**6)}" for _ in range(90)])) for k in range(20)]
+    docs += [(100, "a a a a a a"), (101, "A  a a a a a a a a"), (102, "a a a a"), (103, "a a a a"), (103, None)]
+    check(spark, docs)
+
+
+def test_one_very_long_text(spark):
+    rng = random.Random(10)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    docs = [(1, " ".join(long)), (2, " ".join(long[:55_000])), (3, " ".join(long[:45_000])), (4, "x" * 1_000_000)]
+    check(spark, docs)
+
+
+def test_prefixes_of_linked_sets_share_a_shingle():
+    rng = np.random.default_rng(1)
+    common = np.sort(rng.choice(500, 100, replace=False)).astype(np.uint64)
+    ranks = rng.integers(1, 9, 100)
+    for _ in range(300):
+        whole = rng.choice(500, rng.integers(1, 60), replace=False).astype(np.uint64)
+        a, b = (np.unique(whole[rng.random(len(whole)) < 0.95]) for _ in "ab")
+        both = len(np.intersect1d(a, b))
+        if both and 100 * both >= 80 * len(np.union1d(a, b)):
+            assert set(prefix_of(a, common, ranks)) & set(prefix_of(b, common, ranks))
+
+
+def test_shingle_set():
+    for _, text, *_ in ROWS:
+        assert len(shingle_set(text)) == len(shingles(text))
