@@ -3,9 +3,10 @@
 Every source has a target number of words. Within a source, a document is wanted a number
 of times in proportion to its weight, at most `most` times. The whole part of that number
 is allocated for certain. The rest is an inclusion probability, and one further copy goes
-to a sample of the documents: each draws a uniform number u from its id, and documents are
-ranked by the odds of u divided by the odds of inclusion (Pareto order sampling). The
-sample is the first of this order until the source's remaining words are used up.
+to a sample of the documents: each draws a uniform number u, and documents are ranked by
+the odds of u divided by the odds of inclusion (Pareto order sampling). The sample is the
+first of this order until the source's remaining words are used up. A draw is a hash of
+source, id and text; rows equal in all three are numbered, so that each draws for itself.
 
 The order of a source is never sorted as a whole: ranks fall into bins, words are summed
 by bin, and only the words before a document within its bin are counted by a window.
@@ -19,6 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored, text_or_empty
+from .order import positions
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -43,9 +45,30 @@ def length_boost(size: Column) -> Column:
     return F.when(size < 16, 0).when(size < 256, 1).otherwise(2)
 
 
-def _uniform(doc_id: Column, seed: str) -> Column:
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+def _twin() -> Column:
+    """Equal for rows of one source, id and text."""
+    name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    text = F.md5(text_or_empty(F.col("text")).cast("binary"))
+    return F.md5(F.concat_ws("|", name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` (with `twin`) and `copy`: a number from 0 among equal rows. Only repeated rows are shuffled for it."""
+    repeated = stored(rows.groupBy("twin").agg(F.count("*").alias("rows")).where("rows > 1").select("twin"))
+    if repeated.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("bigint"))
+    alone = rows.join(repeated, "twin", "left_anti").withColumn("copy", F.lit(0).cast("bigint"))
+    several = rows.join(repeated, "twin", "left_semi").withColumn("__rid", F.monotonically_increasing_id())
+    placed = positions(stored(several), "twin", "__rid").withColumnRenamed("pos", "copy").drop("__rid", "n")
+    return alone.unionByName(placed)
+
+
+def _digest(seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col("twin"), F.col("copy").cast("string")).cast("binary"))
+
+
+def _uniform(seed: str) -> Column:
+    return (F.conv(F.substring(_digest(seed), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -102,14 +125,14 @@ def _with_source(rows: DataFrame, small: DataFrame, *also: str) -> DataFrame:
 
 
 def _ranked(sizes: DataFrame, wanted: DataFrame, seed: str) -> DataFrame:
-    u = _uniform(F.col("doc_id"), seed)
+    u = _uniform(seed)
     q = u / (1 - u) / F.col("odds")
     return _with_source(sizes, wanted, "boost").withColumn("rank", q / (1 + q))
 
 
-def _place() -> Column:
-    """A document's place in the order: by rank; ties by id, then size. Rows equal in all three are taken together."""
-    return F.struct("rank", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "size")
+def _place(seed: str) -> Column:
+    """A row's place in the order: by rank, ties by the whole of its draw."""
+    return F.struct("rank", _digest(seed).alias("draw"))
 
 
 def plan_mix(
@@ -119,11 +142,11 @@ def plan_mix(
     bins: int = BINS,
     seed: str = "mix",
 ) -> Mix:
-    """`sizes` has doc_id, source, size and boost (exponent of two of a document's weight)."""
+    """`sizes` has source, size, boost (exponent of two of a document's weight), twin and copy."""
     sources = source_targets(sizes, weights, most)
     wanted = _wanted(sizes, sources, most)
     ranked = _ranked(sizes, wanted, seed).where("rank IS NOT NULL").withColumn("bin", F.floor(F.col("rank") * bins))
-    ranked = ranked.withColumn("place", _place())
+    ranked = ranked.withColumn("place", _place(seed))
     by_bin = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
     ordered = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     by_bin = stored(by_bin.withColumn("before", F.coalesce(F.sum("words").over(ordered), F.lit(0))))
@@ -138,9 +161,7 @@ def plan_mix(
     last = taken.groupBy("source").agg(F.max("place").alias("cut"))
     cuts = sources.select("source")
     cuts = _with_source(_with_source(cuts, last_whole), last)
-    end_of_whole = F.struct(
-        ((F.col("whole_bin") + 1) / bins).alias("rank"), F.lit("").alias("id"), F.lit(-1).cast("bigint").alias("size")
-    )
+    end_of_whole = F.struct(((F.col("whole_bin") + 1) / bins).alias("rank"), F.lit("").alias("draw"))
     cut = F.coalesce(F.col("cut"), F.when(F.col("whole_bin").isNotNull(), end_of_whole))
     return Mix(sources, wanted, stored(cuts.select("source", cut.alias("cut"))))
 
@@ -148,15 +169,15 @@ def plan_mix(
 def with_copies(sizes: DataFrame, mix: Mix, seed: str = "mix") -> DataFrame:
     """`sizes` with source_size, target and copies. Joins only tables of a row or a few by source."""
     rows = _with_source(_with_source(_ranked(sizes, mix.wanted, seed), mix.cuts), mix.sources)
-    once_more = F.col("rank").isNotNull() & F.col("cut").isNotNull() & (_place() <= F.col("cut"))
+    once_more = F.col("rank").isNotNull() & F.col("cut").isNotNull() & (_place(seed) <= F.col("cut"))
     copies = F.coalesce(F.col("whole"), F.lit(0)) + F.when(once_more, 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("bigint")).drop("boost", "whole", "odds", "rest", "rank", "cut")
+    return rows.withColumn("copies", copies.cast("bigint")).drop("boost", "whole", "odds", "rest", "rank", "cut", "twin", "copy")
 
 
 def sized(docs: DataFrame, *also: str) -> DataFrame:
-    """doc_id, source, size and boost of every row, and the columns in `also`."""
-    rows = docs.select(*also, "doc_id", "source", word_count(F.col("text")).alias("size"))
-    return rows.withColumn("boost", length_boost(F.col("size")))
+    """doc_id, source, size, boost, twin and copy of every row, and the columns in `also`."""
+    rows = docs.select(*also, "doc_id", "source", word_count(F.col("text")).alias("size"), _twin().alias("twin"))
+    return numbered(rows.withColumn("boost", length_boost(F.col("size"))))
 
 
 def mix_sources(
@@ -166,10 +187,10 @@ def mix_sources(
 
     Returns one row per row of `docs`: doc_id, size (words), source_size, target (its
     source's), copies, taken (size times copies). A null text has size 0 and takes
-    nothing; a null source is a source, the last one. A row without doc_id draws the
-    number of an empty id. Repeated rows are taken or left together. A source with no
-    words has target 0. An empty table gives an empty result. Other columns of `docs` are
-    not looked at. The draw depends on ids and `seed` alone, so reruns agree.
+    nothing; a null source is a source, the last one. Rows without doc_id, and repeated
+    rows, are drawn one by one: of equal rows as many are taken on every run, no matter
+    which. A source with no words has target 0. An empty table gives an empty result. Other
+    columns of `docs` are not looked at.
     """
     sizes = stored(sized(docs))
     mixed = with_copies(sizes, plan_mix(sizes, weights, most, bins, seed), seed)

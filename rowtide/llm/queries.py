@@ -238,8 +238,10 @@ SQL: dict[str, str] = {
     """,
     "op4_mixing": r"""
         WITH sizes AS (
-          SELECT doc_id, source, size, CASE WHEN size < 16 THEN 0 WHEN size < 256 THEN 1 ELSE 2 END AS boost
-          FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+          SELECT doc_id, source, size, CASE WHEN size < 16 THEN 0 WHEN size < 256 THEN 1 ELSE 2 END AS boost, twin,
+                 row_number() OVER (PARTITION BY twin) - 1 AS copy
+          FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                       md5(coalesce('=' || source, '') || '|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS twin
                 FROM documents)),
         sources AS (
           SELECT source, source_size, 3 * source_size AS most,
@@ -274,12 +276,12 @@ SQL: dict[str, str] = {
                  target - sum(whole * words) OVER (PARTITION BY source) AS rest FROM wanted),
         drawn AS (
           SELECT s.*, whole, rest, u / (1 - u) / odds AS q FROM (
-            SELECT *, (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE + 0.5)
-                      / 4503599627370496.0::DOUBLE AS u FROM sizes) s
+            SELECT *, (('0x' || substr(draw, 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+            FROM (SELECT *, md5('mix:' || twin || ':' || copy) AS draw FROM sizes)) s
           LEFT JOIN odds o ON s.source IS NOT DISTINCT FROM o.source AND s.boost = o.boost),
         chosen AS (
           SELECT *, coalesce(q IS NOT NULL AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q) NULLS LAST,
-                    coalesce(doc_id::VARCHAR, ''), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                     + size / 2 <= rest, false) AS more
           FROM drawn)
         SELECT c.doc_id, size, source_size::BIGINT AS source_size, target,

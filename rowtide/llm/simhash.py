@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import stored
+from .common import lower_ascii, stored
 from .graph import components
 
 SEED = 42
@@ -121,6 +121,16 @@ def fingerprint_links(
     return pairs.unionAll(stars)
 
 
+def _classes(prints: DataFrame, blocks: int, pivots: int, bucket_rows: int) -> DataFrame:
+    """fp, component_id, root of every fingerprint: `prints` has doc_id and fp."""
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    links = fingerprint_links(distinct.select("fp"), blocks, pivots, bucket_rows)
+    roots = components(links).withColumnRenamed("node", "fp")
+    rooted = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    smallest = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    return stored(rooted.join(smallest, "root").select("fp", "component_id", "root"))
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 3,
@@ -138,10 +148,27 @@ def near_duplicates(
     than doc_id and text are not looked at.
     """
     prints = stored(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fp")))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = fingerprint_links(distinct.select("fp"), blocks, pivots, bucket_rows)
-    roots = components(links).withColumnRenamed("node", "fp")
-    rooted = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    smallest = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    by_print = stored(rooted.join(smallest, "root").select("fp", "component_id"))
-    return prints.join(by_print, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+    classes = _classes(prints, blocks, pivots, bucket_rows).drop("root")
+    return prints.join(classes, "fp").select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def near_duplicate_rows(
+    docs: DataFrame,
+    words: int = 3,
+    blocks: int = BLOCKS,
+    pivots: int = PIVOTS,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """As `near_duplicates`, with text_sha256 (of the text with A to Z in lower case) and kept.
+
+    One row of each group is kept: that with the smallest doc_id, a null above all others,
+    then the smallest text_sha256. Of rows equal in both any one.
+    """
+    sha = F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256).alias("text_sha256")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), sha, fingerprints(F.col("text"), words).alias("fp"))
+    prints = stored(rows)
+    rooted = stored(prints.join(_classes(prints, blocks, pivots, bucket_rows), "fp"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_sha256", "rid")
+    firsts = stored(rooted.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.rid").alias("first")))
+    kept = (F.col("rid") == F.col("first")).alias("kept")
+    return rooted.join(firsts, "root").select("doc_id", "text_sha256", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id", kept)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from messy import ROWS, empty, lower_ascii, messy
+from messy import ROWS, collected, empty, lower_ascii, messy
 from oracle import connect, spark_rows, sql_rows
 from rowtide.llm.mixing import mix_sources
 from rowtide.llm.queries import QUERIES, SQL
@@ -74,3 +74,36 @@ def test_nothing_learned_keeps_documents_with_letters(spark):
     told = corpus_pipeline.language_id(spark, docs, SF_DIR).collect()
     texts = sorted(t for _, t, *_ in ROWS if t and any(c.isalpha() for c in t))
     assert sorted(r["text"] for r in told) == texts
+
+
+def test_of_repeated_rows_the_first_by_its_other_columns_stays(spark):
+    rows = [(1, "same text", "de", "b", 2), (1, "same text", "de", "a", 9), (1, "same text", None, "z", 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for stage in ("exact dedup", "SimHash near-dedup"):
+        for parts in (1, 3):
+            kept = dict(corpus_pipeline.STAGES)[stage](spark, df.repartition(parts), SF_DIR).collect()
+            assert [tuple(r) for r in kept] == [rows[2]]
+
+
+def test_stages_as_a_whole(spark):
+    """The first four stages against one after the other in plain Python."""
+    from rowtide.llm.simhash import fingerprint_of, shingle_hashes
+
+    docs = messy(spark, extra=False)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = spark.createDataFrame(stage(spark, docs, SF_DIR).collect(), docs.schema)
+    rows = [r for r in ROWS if r[1] and any(c.isalpha() for c in r[1])]
+    best = {}
+    for r in rows:
+        key = lower_ascii(r[1])
+        if key not in best or (r[0] is not None, r[0] or 0) > (best[key][0] is not None, best[key][0] or 0):
+            best[key] = r
+    rows = sorted(best.values(), key=lambda r: (r[0] is None, r[0] or 0))
+    prints = [fingerprint_of(shingle_hashes(r[1], 3)) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin((prints[i] ^ prints[j]) & (1 << 64) - 1).count("1") <= 2:
+                group = [group[j] if g == group[i] else g for g in group]
+    expected = [r for i, r in enumerate(rows) if group.index(group[i]) == i]
+    assert collected(docs) == sorted(expected, key=repr)

@@ -28,9 +28,14 @@ def fill(sizes, weights, most):
 
 
 def brute(rows, most=3, bins=None):
-    docs = [(i, s, len(WORD.findall(t or ""))) for i, t, _, s, _ in rows]
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    seen, docs = defaultdict(int), []
+    for i, t, _, s, _ in rows:
+        twin = md5("|".join(["" if s is None else "=" + s, "" if i is None else str(i), md5(t or "")]))
+        docs.append((i, s, len(WORD.findall(t or "")), md5(f"mix:{twin}:{seen[twin]}")))
+        seen[twin] += 1
     sizes = defaultdict(int)
-    for _, s, n in docs:
+    for _, s, n, _ in docs:
         sizes[s] += n
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     target = fill(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, most)
@@ -39,24 +44,24 @@ def brute(rows, most=3, bins=None):
     for s in names:
         mine = [d for d in docs if d[1] == s]
         by_boost = defaultdict(int)
-        for _, _, n in mine:
+        for _, _, n, _ in mine:
             by_boost[boost(n)] += n
         wanted = fill_copies({b: n for b, n in by_boost.items() if n}, target[s], most)
         rest = target[s] - sum(int(wanted[b]) * n for b, n in by_boost.items() if n)
         order = []
-        for i, _, n in mine:
+        for i, _, n, draw in mine:
             chance = wanted.get(boost(n), 0.0) % 1
             if chance:
-                u = (int(hashlib.md5(("mix" + ("" if i is None else str(i))).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = (int(draw[:13], 16) + 0.5) / 2**52
                 q = u / (1 - u) / (chance / (1 - chance))
-                order.append((q / (1 + q), "" if i is None else str(i), n))
+                order.append((q / (1 + q), draw, n))
         used, chosen = 0, set()
-        for place in sorted(order):
-            if used + place[2] / 2 <= rest:
-                chosen.add(place[1:])
-            used += place[2]
-        for i, _, n in mine:
-            copies = int(wanted.get(boost(n), 0)) + (("" if i is None else str(i), n) in chosen)
+        for _, draw, n in sorted(order):
+            if used + n / 2 <= rest:
+                chosen.add(draw)
+            used += n
+        for i, _, n, draw in mine:
+            copies = int(wanted.get(boost(n), 0)) + (draw in chosen)
             result.append((i, n, sizes[s], round(target[s], 6), n * copies))
     return sorted(result, key=repr)
 
@@ -106,3 +111,17 @@ def test_sources_come_near_their_targets(spark):
     sums = mix_sources(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source", "target").sum("taken").collect()
     for r in sums:
         assert abs(r["sum(taken)"] - r["target"]) <= 160
+
+
+def test_rows_without_ids_are_drawn_one_by_one(spark):
+    """Equal texts, a third of them without an id, and one row many times: targets are met to a document."""
+    words = "w " * 20
+    rows = [(None if i % 3 == 0 else i, words, None, f"s{i % 2}", 0) for i in range(3000)] + [(-1, words, None, "s1", 0)] * 400
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = mix_sources(df)
+    assert digest(found) == brute(rows)
+    assert digest(found) == digest(mix_sources(df.repartition(7)))
+    taken = defaultdict(int)
+    for r in found.collect():
+        taken[r["target"]] += r["taken"]
+    assert len(taken) == 2 and all(abs(n - target) <= 20 for target, n in taken.items())
