@@ -1,70 +1,36 @@
-"""From raw documents to an encoded training mix: each stage applies one operator."""
+"""From raw documents to an encoded training mix: each stage applies one operator.
+
+Null, empty and very long texts, ties, repeated rows, empty tables and extra columns have
+the results that the operators and `rowtide.llm.stages` state; no stage fails on them.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from rowtide.llm.blocks import exact_duplicates
-from rowtide.llm.common import lower_ascii, stored, table
-from rowtide.llm.language import UNDETERMINED, fit_languages, fold_of, identify
-from rowtide.llm.mixing import plan_mix, sized, with_copies
-from rowtide.llm.near_copies import near_copies
+from rowtide.llm import stages
+from rowtide.llm.common import stored, table
 from rowtide.llm.pieces import encode_documents
 
 
-def _key(doc_id: Column, sha: Column) -> Column:
-    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), sha)
-
-
-def _has_letter(text: Column) -> Column:
-    """Whether a text has a letter as the model sees them, so that a language can be told."""
-
-    @F.pandas_udf("boolean")
-    def lettered(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t is not None and any(map(str.isalpha, t))).astype(bool)
-
-    return lettered(text)
-
-
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of `docs` that `kept` (doc_id, text_sha256) names, each once."""
-    sha = F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256)
-    named = stored(kept.select(_key(F.col("doc_id"), F.col("text_sha256")).alias("__key")).distinct())
-    rows = docs.withColumn("__key", _key(F.col("doc_id"), sha)).join(named, "__key", "left_semi")
-    repeated = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return rows.withColumn("__nth", repeated).where("__nth = 1").select(*docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or null, go: no language can be told.
-
-    The model learns from the rows with a label outside one third of the ids. If there are
-    none, letters alone decide.
-    """
-    model = fit_languages(docs.where(fold_of(F.col("doc_id")) != 1))
-    if not model.languages:
-        return docs.where(_has_letter(F.col("text")))
-    found = identify(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model)
-    return found.where(F.col("lang_pred") != UNDETERMINED).select("__row.*")
+    """Texts of which no language can be told go: those without a letter, empty or null."""
+    return stages.told_languages(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal after lower-casing A to Z, the one with the largest doc_id stays."""
-    return _only(docs, exact_duplicates(docs).where("kept"))
+    """Of documents equal after lower-casing A to Z, the one with the largest doc_id stays; of repeated rows one."""
+    return stages.unlike_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
-    return _only(docs, near_copies(docs).where("kept"))
+    """Of each group of near copies by SimHash, the document with the smallest doc_id stays."""
+    return stages.apart_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to three times, or not at all."""
-    plan = plan_mix(stored(sized(docs)))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
-    taken = with_copies(sized(rows, "__row"), plan).where("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+    return stages.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
