@@ -30,3 +30,7 @@ CHANGE_TIMESTAMP_RAW = "header__timestamp_raw"
 
 # Columns a history table has in addition to the table's own.
 HISTORY_COLUMNS = ("current", "deleted", "effective_date", "end_date")
+
+# Columns that a history may have besides: the order columns, other than the change time, of
+# the changes that began and ended a version.
+HISTORY_ORDER_COLUMNS = ("effective_order", "end_order")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.columns import is_change
 from ..functions.contract import CHANGE_TIMESTAMP
 from ..operators.apply import apply_delete_wins, apply_latest
-from ..operators.history import history_schema, scd2_versions
+from ..operators.history import feed_order, history_schema, scd2_versions
 from ..sources.tables import (
     BUCKET,
     TableState,
@@ -84,7 +84,8 @@ def _apply_to_table(
     state = table_state(spark, root, base)
     if state is None:
         if mode == HISTORY:
-            table_schema = history_schema(table_schema, changes.schema[CHANGE_TIMESTAMP].dataType.simpleString())
+            time_type = changes.schema[CHANGE_TIMESTAMP].dataType.simpleString()
+            table_schema = history_schema(table_schema, time_type, feed_order(changes, order_by))
         state = TableState(-1, table_schema, (), partition_by, tuple(keys), buckets)
     touched = None
     if state.buckets:

@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from rowtide.functions.contract import HISTORY_COLUMNS, HISTORY_ORDER_COLUMNS
+
 START = datetime(2024, 1, 1)
 CHANGE_DDL = "header__timestamp timestamp_ntz, header__change_oper string, id int, name string"
 
@@ -64,7 +66,7 @@ def versions(history):
     """History rows with times as seconds."""
     return sorted(
         (
-            (*(r[c] for c in history.columns if c not in ("current", "deleted", "effective_date", "end_date")),
+            (*(r[c] for c in history.columns if c not in HISTORY_COLUMNS + HISTORY_ORDER_COLUMNS),
              r["current"], r["deleted"], seconds(r["effective_date"]), seconds(r["end_date"]))
             for r in history.collect()
         ),

@@ -1,3 +1,4 @@
+import bisect
 import random
 
 import pytest
@@ -20,6 +21,7 @@ from rowtide.operators.apply import apply_delete_wins, apply_latest
 from rowtide.operators.history import (
     as_of,
     current_rows,
+    feed_order,
     history_schema,
     hot_key_bounds,
     initial_history,
@@ -272,13 +274,115 @@ def test_very_hot_key_has_nested_bounds(spark):
     assert split.exceptAll(whole).count() == 0 and split.count() == whole.count() == 30000
 
 
-def test_sequence_text_has_no_quantiles_and_stays_whole(spark):
+def test_sequence_text_is_cut_like_a_time(spark):
     feed = changes(spark, SCENARIO).withColumn("header__seq", F.date_format("header__timestamp", "yyyyMMddHHmmss"))
-    assert hot_key_bounds(feed, ["id"], "header__seq", 1) is None
+    assert hot_key_bounds(feed, ["id"], "header__seq", 1).count() == 3
     result = scd2_apply(empty_history(spark), feed, ["id"], order_by=["header__seq"], hot_key_rows=1)
     assert set(versions(result)) == SCENARIO_HISTORY
 
 
+def test_hot_keys_ordered_by_text_have_no_large_segment(spark):
+    """A sample of 512 rows a segment, sorted, keeps every segment below the limit; only ties stay together."""
+    feed = spark.range(0, 60000, 1, 4).select(
+        F.lit("U").alias("header__change_oper"),
+        F.expr("timestamp_seconds(1704067200 + id)").cast("timestamp_ntz").alias("header__timestamp"),
+        F.date_format(F.timestamp_seconds(F.col("id") + 1704067200), "yyyyMMddHHmmss").alias("header__seq"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(0).cast("int").alias("id"),
+        F.col("id").cast("string").alias("name"),
+    )
+    for limit in (300, 4096):
+        bounds = hot_key_bounds(feed, ["id"], ["header__seq", "header__timestamp"], limit)
+        cuts = {r["id"]: [b["r0"] for group in r["__bounds"] for b in group] for r in bounds.collect()}
+        for key, rows in ((0, 40000), (1, 20000)):
+            texts = sorted(r["header__seq"] for r in feed.where(F.col("id") == key).select("header__seq").collect())
+            ends = [bisect.bisect_right(texts, c) for c in cuts[key]] + [rows]
+            assert max(b - a for a, b in zip([0, *ends], ends)) <= limit
+    split = scd2_apply(empty_history(spark), feed, ["id"], order_by=["header__seq"], hot_key_rows=300)
+    whole = scd2_apply(empty_history(spark), feed, ["id"], order_by=["header__seq"], hot_key_rows=None)
+    assert split.exceptAll(whole).count() == 0 and split.count() == whole.count() == 60000
+
+
+def test_many_hot_keys(spark):
+    """Twelve hundred keys over the limit, each cut into parts."""
+    feed = spark.range(0, 1200 * 12, 1, 4).select(
+        F.timestamp_seconds(F.col("id") + 1704067200).cast("timestamp_ntz").alias("header__timestamp"),
+        F.when(F.col("id") % 5 == 4, "D").otherwise("U").alias("header__change_oper"),
+        (F.col("id") % 1200).cast("int").alias("id"),
+        F.col("id").cast("string").alias("name"),
+    )
+    bounds = hot_key_bounds(feed, ["id"], "header__timestamp", 4)
+    assert {sum(map(len, r["__bounds"])) for r in bounds.collect()} == {3} and bounds.count() == 1200
+    split = scd2_apply(empty_history(spark), feed, ["id"], hot_key_rows=4)
+    assert versions(split) == versions(scd2_apply(empty_history(spark), feed, ["id"], hot_key_rows=None))
+
+
+EQUAL_TIMES = [[(1, "I", 1, "a"), (2, "U", 1, "b"), (2, "I", 2, "x"), (3, "I", 3, "p"), (4, "D", 3, "p")], [(2, "U", 1, "c"), (2, "D", 2, "x"), (4, "I", 3, "q")], [(2, "U", 1, "a"), (2, "I", 2, "y")]]
+
+
+@pytest.mark.parametrize("options", VARIANTS)
+def test_changes_of_one_time_in_several_batches(spark, options):
+    """None is lost, and batches that come again add nothing."""
+    history = empty_history(spark)
+    for k, batch in enumerate(EQUAL_TIMES):
+        feed = changes(spark, batch)
+        assert late_changes(history, feed, ["id"]).count() == 0
+        history = spark.createDataFrame(scd2_apply(history, feed, ["id"], **options).collect(), history.schema)
+        for old in EQUAL_TIMES[: k + 1]:
+            assert late_changes(history, changes(spark, old), ["id"]).count() == len(old)
+            assert versions(scd2_apply(history, changes(spark, old), ["id"], **options)) == versions(history)
+    assert versions(history) == sorted(
+        [
+            (1, "a", False, False, 1, 2), (1, "b", False, False, 2, 2), (1, "c", False, False, 2, 2), (1, "a", True, False, 2, None),
+            (2, "x", False, True, 2, 2), (2, "y", True, False, 2, None), (3, "p", False, True, 3, 4), (3, "q", True, False, 4, None),
+        ],
+        key=repr,
+    )
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+@pytest.mark.parametrize("options", VARIANTS)
+def test_order_columns_of_a_history(spark, ordered, options):
+    """A sequence tells changes of one time apart; a history that does not keep it still loses none."""
+    ddl = "header__timestamp timestamp_ntz, header__change_oper string, id int, name string, header__seq int"
+    by = ["header__timestamp", "header__seq"]
+    first = changes(spark, [(1, "I", 1, "a", 1), (2, "U", 1, "b", 5)], ddl)
+    schema = history_schema(table(spark).schema, "timestamp_ntz", feed_order(first, by) if ordered else None)
+    history = spark.createDataFrame([], schema)
+    step = lambda h, feed: spark.createDataFrame(scd2_apply(h, feed, ["id"], order_by=by, **options).collect(), schema)
+    history = step(history, first)
+    later = changes(spark, [(2, "U", 1, "earlier", 4), (2, "U", 1, "b", 6), (2, "U", 1, "b", 5)], ddl)
+    names = [r["name"] for r in late_changes(history, later, ["id"], by).collect()]
+    result = step(history, later)
+    if ordered:
+        assert sorted(names) == ["b", "earlier"]
+        assert versions(result) == [(1, "a", False, False, 1, 2), (1, "b", False, False, 2, 2), (1, "b", True, False, 2, None)]
+        assert {r["effective_order"]["header__seq"] for r in result.collect()} == {1, 5, 6}
+    else:
+        assert names == ["b", "b"]  # equal to what the history holds, as far as it can tell
+        assert len(versions(result)) == 3
+    assert late_changes(result, later, ["id"], by).count() == 3
+    assert versions(step(result, later)) == versions(result)
+
+
+@pytest.mark.parametrize("options", VARIANTS)
+def test_columns_that_the_feed_lacks(spark, options):
+    ddl = "id int, name string, note string, current boolean, deleted boolean, effective_date timestamp_ntz, end_date timestamp_ntz"
+    base = [(1, "a", "one", True, False, at(0), None), (2, "b", "two", True, False, at(0), None), (3, "c", "three", True, False, at(0), None), (None, "n", "null", True, False, at(0), None)]
+    feed = [(1, "U", 1, "a1"), (2, "U", 1, "a2"), (3, "D", 2, "b"), (4, "I", 2, "b2"), (5, "U", 2, "b3"), (6, "I", 4, "d"), (7, "U", None, "m")]
+    result = scd2_apply(spark.createDataFrame(base, ddl), changes(spark, feed), ["id"], **options)
+    assert versions(result) == sorted(
+        [
+            (1, "a", "one", False, False, 0, 1), (1, "a1", "one", False, False, 1, 2), (1, "a2", "one", True, False, 2, None),
+            (2, "b", "two", False, True, 0, 3), (2, "b2", None, False, False, 4, 5), (2, "b3", None, True, False, 5, None),
+            (3, "c", "three", True, False, 0, None), (4, "d", None, True, False, 6, None),
+            (None, "n", "null", True, False, 0, None), (None, "m", None, True, False, 7, None),
+        ],
+        key=repr,
+    )
+    phased = scd2_apply(spark.createDataFrame(base, ddl), changes(spark, [(1, "U", 1, "a1")]), ["id"], order="op_phase")
+    assert (1, "a1", None, True, False, 1, None) in versions(phased)
+
+
 def test_small_batch_leaves_open_versions_unshuffled(spark, tmp_path):
     base = initial_history(
         spark.range(5000).selectExpr("cast(id as int) id", "cast(id as string) name"),
