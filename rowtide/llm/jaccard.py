@@ -29,8 +29,8 @@ from .simhash import shingle_hashes
 
 SHINGLE = 5
 SHARE = 80  # percent of the union
-SAMPLE = 5000  # documents that tell common shingles, which decide the order only
-COMMON = 50_000
+SAMPLED = 10  # of so many documents one tells common shingles, which decide the order only
+COMMON = 200_000  # so many of them, the most common ones, are known to all tasks
 FILTER_BITS = 1 << 22
 LIST_ROWS = 32  # longer lists are cut into blocks; the pairs are the same
 
@@ -59,8 +59,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t).view(np.int64) for t in texts], dtype=object)
 
-    share = max(docs.count() // SAMPLE, 1)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
     counts = some.select(F.explode(sets("text")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     rows = counts.where("n > 2").orderBy(F.col("n").desc(), "key").limit(COMMON).collect()
     keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
