@@ -34,6 +34,7 @@ from .scenario import (
     loaded_orders,
     order_changes,
     scratch_dir,
+    supplier_changes,
     table,
     write_batch,
 )
@@ -114,15 +115,21 @@ def delete_wins_result_sql(columns: str) -> str:
     UNION ALL SELECT {columns} FROM upserts WHERE id NOT IN (SELECT id FROM removed)"""
 
 
+def columns_of(table: str, columns: str) -> str:
+    return ", ".join(f"{table}.{c.strip()}" for c in columns.split(","))
+
+
 def history_sql(columns: str, order: str, base: str) -> str:
-    """Versions from base versions at `base` and the changes after them."""
+    """Versions from base versions at `base` and the changes not before them that are not the base versions."""
     return f"""
     newest AS (SELECT id, {base} AS at FROM target),
     steps AS (
       SELECT id, {columns}, {base} AS ts, 'I' AS op, 0 AS rank FROM target
       UNION ALL
-      SELECT c.id, {", ".join("c." + x.strip() for x in columns.split(","))}, c.ts, c.op, 1
-      FROM changes c LEFT JOIN newest n ON n.id = c.id WHERE n.at IS NULL OR c.ts > n.at),
+      SELECT c.id, {columns_of('c', columns)}, c.ts, c.op, 1
+      FROM changes c LEFT JOIN newest n ON n.id = c.id
+      WHERE n.at IS NULL OR c.ts > n.at OR (c.ts = n.at AND NOT EXISTS (SELECT 1 FROM target t WHERE t.id = c.id
+        AND c.op <> 'D' AND ({columns_of('t', columns)}) IS NOT DISTINCT FROM ({columns_of('c', columns)})))),
     chained AS (
       SELECT *, lead(ts) OVER w AS next_ts, lead(op) OVER w AS next_op FROM steps
       WINDOW w AS (PARTITION BY id ORDER BY rank, ts NULLS FIRST, op = 'D', {order})),
@@ -140,6 +147,17 @@ CUSTOMER_HISTORY_SQL = (
 ORDER_HISTORY_SQL = ORDER_FEED_SQL + "," + history_sql("status, amount", "status NULLS FIRST, amount NULLS FIRST", "loaded")
 
 
+def _wide_customers(spark, sf_dir):
+    """Customers with columns that the feed lacks."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_mktsegment").alias("name"),
+        F.col("c_acctbal").alias("value"),
+        F.col("c_name").alias("full_name"),
+        F.col("c_nationkey").alias("nation"),
+    )
+
+
 # Latest state.
 
 
@@ -201,14 +219,7 @@ def apply_latest_new_table(spark, sf_dir):
     UNION ALL SELECT id, name, value, NULL, NULL FROM latest WHERE op <> 'D' AND id NOT IN (SELECT c_custkey FROM customer)"""
 )
 def apply_latest_wider_table(spark, sf_dir):
-    wide = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_mktsegment").alias("name"),
-        F.col("c_acctbal").alias("value"),
-        F.col("c_name").alias("full_name"),
-        F.col("c_nationkey").alias("nation"),
-    )
-    return apply_latest(wide, customer_changes(spark, sf_dir, 0.0), ["id"])
+    return apply_latest(_wide_customers(spark, sf_dir), customer_changes(spark, sf_dir, 0.0), ["id"])
 
 
 @query(f"WITH {customer_feed_sql(0)}, {latest_sql(CUSTOMER_RANK)} {merged_sql('id, name, value')}")
@@ -350,6 +361,63 @@ def history_replayed(spark, sf_dir):
     return scd2_apply(scd2_apply(base, half, ["id"]), changes, ["id"])
 
 
+EQUAL_TIMES_SQL = """WITH
+    feed AS (
+      SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS ts, CASE WHEN l_returnflag = 'R' THEN 'D' ELSE 'U' END AS op,
+        l_suppkey AS id, l_linestatus AS status, l_extendedprice AS amount, l_linenumber FROM lineitem),
+    cut AS (SELECT *, CASE WHEN ts < TIMESTAMP '1995-06-01' OR (ts = TIMESTAMP '1995-06-01' AND l_linenumber <= 3) THEN 1 ELSE 2 END AS batch
+      FROM feed),
+    held AS (SELECT *, lead(ts) OVER w AS next_ts, lead(op) OVER w AS next_op FROM cut WHERE batch = 1
+      WINDOW w AS (PARTITION BY id ORDER BY ts, op = 'D', status, amount)),
+    seen AS (
+      SELECT DISTINCT id, op, status, amount FROM held WHERE op = 'U' AND ts = TIMESTAMP '1995-06-01'
+      UNION ALL SELECT DISTINCT id, 'D', NULL, NULL FROM held
+        WHERE op = 'U' AND next_op = 'D' AND next_ts = TIMESTAMP '1995-06-01'),
+    fresh AS (SELECT c.* FROM cut c LEFT JOIN seen s ON c.batch = 2 AND c.ts = TIMESTAMP '1995-06-01' AND s.id = c.id
+      AND s.op = c.op AND (c.op = 'D' OR (s.status = c.status AND s.amount = c.amount)) WHERE s.id IS NULL),
+    chained AS (SELECT *, lead(ts) OVER w AS next_ts, lead(op) OVER w AS next_op FROM fresh
+      WINDOW w AS (PARTITION BY id ORDER BY batch, ts, op = 'D', status, amount))
+    SELECT id, status, amount, next_op IS NULL AS current, coalesce(next_op = 'D', false) AS deleted,
+      ts AS effective_date, next_ts AS end_date FROM chained WHERE op <> 'D'"""
+
+
+@query(EQUAL_TIMES_SQL)
+def history_equal_times_two_batches(spark, sf_dir):
+    """The feed is cut inside a month that many changes share; the second batch brings the first one's again."""
+    feed = supplier_changes(spark, sf_dir)
+    time, cut = F.col(CHANGE_TIMESTAMP), F.lit("1995-06-01").cast(NTZ)
+    first = feed.where((time < cut) | ((time == cut) & (F.col("l_linenumber") <= 3))).drop("l_linenumber")
+    feed = feed.drop("l_linenumber")
+    base = initial_history(feed.select("id", "status", "amount").limit(0), F.lit(None).cast(NTZ))
+    return scd2_apply(scd2_apply(base, first, ["id"]), feed, ["id"], one_pass=True)
+
+
+@query(
+    f"""WITH {customer_feed_sql(100)},
+    steps AS (
+      SELECT id, name, value, TIMESTAMP '2023-01-01' AS ts, 'I' AS op, 0 AS rank FROM target
+      UNION ALL SELECT id, name, value, ts, op, 1 FROM changes WHERE ts > TIMESTAMP '2023-01-01'),
+    chained AS (SELECT *, lead(ts) OVER w AS next_ts, lead(op) OVER w AS next_op,
+        count(*) FILTER (op = 'D') OVER (w ROWS UNBOUNDED PRECEDING) AS deletes FROM steps
+      WINDOW w AS (PARTITION BY id ORDER BY rank, ts, op = 'D', name NULLS FIRST, value NULLS FIRST))
+    SELECT id, name, value, CASE WHEN deletes = 0 THEN c_name END AS full_name, CASE WHEN deletes = 0 THEN c_nationkey END AS nation,
+      next_op IS NULL AS current, coalesce(next_op = 'D', false) AS deleted, ts AS effective_date, next_ts AS end_date
+    FROM chained LEFT JOIN customer ON c_custkey = id WHERE op <> 'D'"""
+)
+def history_wider_table(spark, sf_dir):
+    """The feed lacks two of the table's columns: they go from version to version until a delete."""
+    return scd2_apply(initial_history(_wide_customers(spark, sf_dir), F.lit("2023-01-01").cast(NTZ)), customer_changes(spark, sf_dir, 100.0), ["id"])
+
+
+@query(f"WITH {CUSTOMER_HISTORY_SQL} SELECT * FROM history")
+def history_hot_keys_text_time(spark, sf_dir):
+    """The order column is a text, and keys with more than 50 changes are cut by it."""
+    changes = customer_changes(spark, sf_dir, 100.0)
+    text = F.date_format(CHANGE_TIMESTAMP, "yyyyMMddHHmmssSSSSSS").alias("header__sequence")
+    base = initial_history(customers(spark, sf_dir), F.lit("2023-01-01").cast(NTZ))
+    return scd2_apply(base, changes.select("*", text), ["id"], order_by=["header__sequence"], hot_key_rows=50)
+
+
 @query(
     f"""WITH {CUSTOMER_HISTORY_SQL} SELECT id, name, value FROM history
     WHERE effective_date <= TIMESTAMP '2024-01-15' AND (end_date IS NULL OR end_date > TIMESTAMP '2024-01-15')"""
@@ -367,7 +435,8 @@ def history_current(spark, sf_dir):
 @query(
     f"""WITH {ORDER_FEED_SQL}
     SELECT c.ts AS header__timestamp, c.op AS header__change_oper, c.id, c.status, c.amount
-    FROM changes c JOIN target t ON t.id = c.id WHERE c.ts <= t.loaded"""
+    FROM changes c JOIN target t ON t.id = c.id WHERE c.ts < t.loaded
+      OR (c.ts = t.loaded AND c.op <> 'D' AND c.status = t.status AND c.amount = t.amount)"""
 )
 def history_late_changes(spark, sf_dir):
     return late_changes(_order_base(spark, sf_dir), order_changes(spark, sf_dir), ["id"])

@@ -78,6 +78,18 @@ def order_changes(spark: SparkSession, sf_dir: str, since: str = LOAD_DATE) -> D
     return inserts.unionByName(lines)
 
 
+def supplier_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as an update or delete of its supplier, at the first of its month: many share a time."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias(CHANGE_TIMESTAMP),
+        F.when(F.col("l_returnflag") == "R", "D").otherwise("U").alias(CHANGE_OPERATION),
+        F.col("l_suppkey").alias("id"),
+        F.col("l_linestatus").alias("status"),
+        F.col("l_extendedprice").alias("amount"),
+        "l_linenumber",
+    )
+
+
 def customer_wire_rows(spark: SparkSession, sf_dir: str, delete_above: float) -> DataFrame:
     """The customer feed as the files carry it: text times of seven digits, whole cents."""
     changes = customer_changes(spark, sf_dir, delete_above)
