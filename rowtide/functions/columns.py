@@ -70,6 +70,13 @@ def parse_datetime(column: Column, timestamp_type: str) -> Column:
     return F.try_to_timestamp(column, F.lit(DATETIME_FORMAT))
 
 
+def broadcastable(df: DataFrame) -> bool:
+    """Whether the planner takes the rows for small enough to send to every executor, by the session's threshold."""
+    execution = df._jdf.queryExecution()
+    threshold = execution.sparkSession().sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(execution.optimizedPlan().stats().sizeInBytes())) <= threshold
+
+
 def text_length(field: T.StructField) -> Column:
     """Length of a value as text; nested values count as JSON, nulls as nothing."""
     column = F.col(f"`{field.name}`")

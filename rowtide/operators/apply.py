@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
+from ..functions.columns import broadcastable
 from .compact import DELETED, compact_changes
 
 
-def merge_latest(target: DataFrame, latest: DataFrame, keys: Sequence[str], one_pass: bool = False) -> DataFrame:
+def merge_latest(target: DataFrame, latest: DataFrame, keys: Sequence[str], one_pass: bool | None = None) -> DataFrame:
     """The table after one change per key.
 
     Every row of a matched key is updated or, when deleted, removed, also where the table
     has several; an unmatched key is added unless deleted. A null key matches nothing.
     Target columns the changes do not carry keep their value, or are null in added rows.
 
-    Two plans give the same rows. By default the target is left-joined to the changes:
-    while those are small enough for Spark to broadcast, the target is neither shuffled
-    nor sorted. `one_pass` is for batches beyond that size: one full outer join reads and
-    shuffles each side once.
+    Two plans give the same rows. While the changes are small enough for Spark to
+    broadcast, the target is left-joined to them and neither shuffled nor sorted. Beyond
+    that size one full outer join reads and shuffles each side once. `one_pass` says which;
+    by default the planner's estimate of the changes' size does.
     """
     keys = list(keys)
+    if one_pass is None:
+        one_pass = not broadcastable(latest)
     values = [c for c in latest.columns if c not in keys and c != DELETED]
     foreign = [c for c in values if c not in target.columns]
     if foreign:
@@ -46,15 +49,26 @@ def merge_latest(target: DataFrame, latest: DataFrame, keys: Sequence[str], one_
     return merged.unionByName(added.withColumns(extra).select(*target.columns))
 
 
+def _counted(latest: DataFrame, observation: Observation | None) -> DataFrame:
+    return latest if observation is None else latest.observe(observation, F.count(F.lit(1)).alias("compacted"))
+
+
 def apply_latest(
     target: DataFrame,
     changes: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str] | None = None,
-    one_pass: bool = False,
+    one_pass: bool | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
-    """Latest change wins: the table after each key's last insert, update or delete."""
-    return merge_latest(target, compact_changes(changes, keys, order_by), keys, one_pass)
+    """Latest change wins: the table after each key's last insert, update or delete.
+
+    `observation` gets the number of changes after compaction, as `compacted`.
+    """
+    latest = compact_changes(changes, keys, order_by)
+    if one_pass is None:
+        one_pass = not broadcastable(latest)
+    return merge_latest(target, _counted(latest, observation), keys, one_pass)
 
 
 def apply_delete_wins(
@@ -63,7 +77,8 @@ def apply_delete_wins(
     keys: Sequence[str],
     order_by: Sequence[str] | None = None,
     keep_metadata: bool = False,
-    one_pass: bool = False,
+    one_pass: bool | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Upserts first, deletes after: a key with any delete in the batch is gone, whatever its time.
 
@@ -74,4 +89,6 @@ def apply_delete_wins(
     if keep_metadata:
         added = [f for f in latest.schema.fields if f.name not in target.columns and f.name != DELETED]
         target = target.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added})
-    return merge_latest(target, latest, keys, one_pass)
+    if one_pass is None:
+        one_pass = not broadcastable(latest)
+    return merge_latest(target, _counted(latest, observation), keys, one_pass)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from ..functions.columns import (
+    broadcastable,
     check_keys,
     has_null,
     is_change,
@@ -306,15 +307,20 @@ def _segment_seams(rows: DataFrame, keys: list[str], hot: DataFrame, order: list
     return found.drop("head", "deletes", "opened")
 
 
-def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_rows) -> DataFrame:
+def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_rows, observation) -> DataFrame:
     columns = table_columns(changes)
     payload = [c for c in columns if c not in keys]
     ranks = _Ranks(history, changes, order_by)
     own = [*columns, *HISTORY_COLUMNS, *HISTORY_ORDER_COLUMNS]
     extra = [c for c in history.columns if c not in own]
     changes = changes.where(is_change())
+    if one_pass is None:
+        one_pass = not broadcastable(changes.select(*keys))
     if not ranks.whole:  # the history does not know the whole order of its changes: late ones go by a join
-        changes = _flag_late(history, changes, keys, ranks).where("NOT __late").drop("__late")
+        flagged = _flag_late(history, changes, keys, ranks)
+        if observation is not None:
+            flagged = flagged.observe(observation, F.count_if("__late").alias("late"))
+        changes = flagged.where("NOT __late").drop("__late")
     hot = None
     if hot_key_rows is not None:
         if feed_rows is None:
@@ -369,7 +375,10 @@ def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_r
             }
         )
         late = ~has_null(keys) & (~_may_be_new(rank, F.col(_NEWEST)) | F.col("__seen").eqNullSafe(identity))
-        rows = rows.where((F.col(_KIND) == _VERSION) | ((F.col(_KIND) == _CHANGE) & ~F.col(_KNOWN) & ~late)).drop(_NEWEST, "__seen")
+        change = (F.col(_KIND) == _CHANGE) & ~F.col(_KNOWN)
+        if observation is not None:
+            rows = rows.observe(observation, F.count_if(change & late).alias("late"))
+        rows = rows.where((F.col(_KIND) == _VERSION) | (change & ~late)).drop(_NEWEST, "__seen")
 
     following = F.when(~has_null(keys), F.lead(F.struct(_TIME, DELETED, _ORDER)).over(window))
     # A version of a key without new changes stays as it is, also beside others that are open.
@@ -399,7 +408,7 @@ def _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_r
     return versions if untouched is None else versions.unionByName(untouched)
 
 
-def _op_phase(history, changes, keys) -> DataFrame:
+def _op_phase(history, changes, keys, hot_key_rows, feed_rows) -> DataFrame:
     columns = table_columns(changes)
     types = {f.name: f.dataType for f in history.schema.fields}
     time = F.col(CHANGE_TIMESTAMP).cast(types["effective_date"])
@@ -412,8 +421,11 @@ def _op_phase(history, changes, keys) -> DataFrame:
             F.max(F.when(F.col(CHANGE_OPERATION) == op, time))
         )
 
-    closing = changes.where(~has_null(keys) & (F.col(CHANGE_OPERATION) != INSERT))
-    closed_at = closing.groupBy(*keys).agg(single(UPDATE).alias("__updated"), single(DELETE).alias("__deleted_at"))
+    # One row per key, combined before the shuffle: when its versions close.
+    by_key = changes.where(~has_null(keys)).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__rows"), single(UPDATE).alias("__updated"), single(DELETE).alias("__deleted_at")
+    )
+    closed_at = by_key.where("__updated IS NOT NULL OR __deleted_at IS NOT NULL").drop("__rows")
     appended = changes.where(F.col(CHANGE_OPERATION) != DELETE).select(
         *[F.col(c).cast(types[c]).alias(c) for c in columns],
         F.lit(True).alias("current"),
@@ -423,11 +435,33 @@ def _op_phase(history, changes, keys) -> DataFrame:
         (F.col(CHANGE_OPERATION) == UPDATE).alias("__update"),
     )
     present = history.where("current").withColumn("__update", F.lit(False))
-    rows = present.unionByName(appended, allowMissingColumns=True).join(closed_at, keys, "left")
+    rows = present.unionByName(appended, allowMissingColumns=True)
+
+    hot = None
+    if hot_key_rows is not None:
+        if feed_rows is None:
+            feed_rows = changes.count()
+        if feed_rows > hot_key_rows:
+            hot = by_key.where(F.col("__rows") > hot_key_rows).drop("__rows").persist()
+            if hot.isEmpty():
+                hot.unpersist()
+                hot = None
+    null_key = has_null(keys)
+    keyed = rows.where(~null_key)
+    # Rows of hot keys meet the few rows that close them without being gathered by key; null keys meet none.
+    closing = [F.lit(None).cast(types["effective_date"]).alias(c) for c in ("__updated", "__deleted_at")]
+    parts = [rows.where(null_key).select("*", *closing)]
+    if hot is not None:
+        parts.append(keyed.join(hot, keys))
+        keyed = keyed.join(hot.select(*keys), keys, "left_anti")
+        closed_at = closed_at.join(hot.select(*keys), keys, "left_anti")
+    joined = keyed.join(closed_at, keys, "left")
+    for part in parts:
+        joined = joined.unionByName(part)
     # An update closes what was there before it; a delete closes what is open after that.
     by_update = ~F.col("__update") & F.col("__updated").isNotNull()
     by_delete = ~by_update & F.col("__deleted_at").isNotNull()
-    versions = rows.withColumns(
+    versions = joined.withColumns(
         {
             "current": ~(by_update | by_delete),
             "deleted": by_delete | F.col("deleted"),
@@ -445,9 +479,10 @@ def scd2_versions(
     keys: Sequence[str],
     order: str = "event_time",
     order_by: Sequence[str] | None = None,
-    one_pass: bool = False,
+    one_pass: bool | None = None,
     hot_key_rows: int | None = 1_000_000,
     feed_rows: int | None = None,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """What a batch of changes makes of a history, without the versions closed before.
 
@@ -471,16 +506,17 @@ def scd2_versions(
 
     Open versions without changes pass an anti join and are not shuffled while the
     changed keys are small enough to broadcast; `one_pass` is for batches beyond that:
-    all open versions meet the changes in one shuffle. A key with more than
+    all open versions meet the changes in one shuffle. By default the planner's estimate of
+    the keys' size decides. `observation` gets the number of changes left out, as `late`. A key with more than
     `hot_key_rows` changes is cut by its order columns into parts that are worked on apart
     and joined at the seams; the search for such keys is left out if the whole feed
     (`feed_rows`, counted if not given) is no larger.
     """
     keys = check_keys(changes, keys)
     if order == "event_time":
-        return _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_rows)
+        return _event_time(history, changes, keys, order_by, one_pass, hot_key_rows, feed_rows, observation)
     if order == "op_phase":
-        return _op_phase(history, changes, keys)
+        return _op_phase(history, changes, keys, hot_key_rows, feed_rows)
     raise ValueError(f"unknown order {order!r}")
 
 

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
 
-from ..functions.columns import is_change, text_length
-from ..functions.contract import CHANGE_OPERATION, MAX_PARTITION_BYTES
+from pyspark.sql import DataFrame, Observation, functions as F
+
+from ..functions.columns import has_null, is_change, text_length
+from ..functions.contract import (
+    CHANGE_OPERATION,
+    CHANGE_TIMESTAMP,
+    CHANGE_TIMESTAMP_RAW,
+    DELETE,
+    INSERT,
+    MAX_PARTITION_BYTES,
+    UPDATE,
+)
 
 
 def change_stats(changes: DataFrame) -> DataFrame:
@@ -19,6 +29,29 @@ def change_stats(changes: DataFrame) -> DataFrame:
     )
 
 
+def observe_changes(changes: DataFrame, keys: Sequence[str], observation: Observation) -> DataFrame:
+    """The same changes; whoever reads them lets `observation` count them on the way.
+
+    Metrics: rows, inserts, updates, deletes, others (no change of ours), null_keys (of the
+    changes), unreadable_times (a time is written, but not in the feed's format; without
+    the text as written, a time that is missing).
+    """
+    operation = F.col(CHANGE_OPERATION)
+    no_time = F.col(CHANGE_TIMESTAMP).isNull()
+    if CHANGE_TIMESTAMP_RAW in changes.columns:
+        no_time = no_time & F.col(CHANGE_TIMESTAMP_RAW).isNotNull()
+    return changes.observe(
+        observation,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(operation == INSERT).alias("inserts"),
+        F.count_if(operation == UPDATE).alias("updates"),
+        F.count_if(operation == DELETE).alias("deletes"),
+        F.count_if(~F.coalesce(is_change(), F.lit(False))).alias("others"),
+        F.count_if(is_change() & has_null(keys)).alias("null_keys"),
+        F.count_if(is_change() & no_time).alias("unreadable_times"),
+    )
+
+
 def size_report(df: DataFrame, max_bytes: int = MAX_PARTITION_BYTES) -> DataFrame:
     """One row: row count, length of all values as text, partitions of at most `max_bytes`."""
     lengths = sum((text_length(f) for f in df.schema.fields[1:]), text_length(df.schema.fields[0]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.columns import is_change
 from ..functions.contract import CHANGE_TIMESTAMP
@@ -21,6 +21,7 @@ from ..sources.tables import (
 )
 
 LATEST, DELETE_WINS, HISTORY = "latest", "delete_wins", "history"
+MODES = (LATEST, DELETE_WINS, HISTORY)
 _OPEN, _CLOSED = "current=true", "current=false"
 
 
@@ -47,9 +48,10 @@ def apply_to_table(
     order_by: Sequence[str] | None = None,
     keep_metadata: bool = False,
     phase_order: str = "event_time",
-    one_pass: bool = False,
+    one_pass: bool | None = None,
     feed_rows: int | None = None,
     cache_feed: bool = True,
+    observation: Observation | None = None,
 ) -> int | None:
     """Apply changes to generation `base` (the current one) and write `generation` (the next).
 
@@ -59,16 +61,17 @@ def apply_to_table(
     rewrites closed versions: the new generation takes over their files.
 
     The merge looks at the feed several times (keys first, then rows). `cache_feed` holds
-    it, parsed, in executor memory and disk until the generation is written.
+    it, parsed, in executor memory and disk until the generation is written. `observation`
+    gets what the operator counts while it writes.
     """
-    if mode not in (LATEST, DELETE_WINS, HISTORY):
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
     if cache_feed:
         changes = changes.persist()
     try:
         return _apply_to_table(
             spark, root, changes, keys, table_schema, mode, buckets, base, generation,
-            order_by, keep_metadata, phase_order, one_pass, feed_rows,
+            order_by, keep_metadata, phase_order, one_pass, feed_rows, observation,
         )
     finally:
         if cache_feed:
@@ -77,7 +80,7 @@ def apply_to_table(
 
 def _apply_to_table(
     spark, root, changes, keys, table_schema, mode, buckets, base, generation,
-    order_by, keep_metadata, phase_order, one_pass, feed_rows,
+    order_by, keep_metadata, phase_order, one_pass, feed_rows, observation,
 ) -> int | None:
     keys = list(keys)
     partition_by: tuple[str, ...] = ("current",) if mode == HISTORY else ()
@@ -104,15 +107,16 @@ def _apply_to_table(
         else:
             closed = target.where(~F.col("current"))
         result = scd2_versions(
-            target, changes, keys, order=phase_order, order_by=order_by, one_pass=one_pass, feed_rows=feed_rows
+            target, changes, keys, order=phase_order, order_by=order_by, one_pass=one_pass, feed_rows=feed_rows,
+            observation=observation,
         )
         result = result if closed is None else result.unionByName(closed)
     else:
         partition_by = state.partition_by
         if mode == DELETE_WINS:
-            result = apply_delete_wins(target, changes, keys, order_by, keep_metadata, one_pass)
+            result = apply_delete_wins(target, changes, keys, order_by, keep_metadata, one_pass, observation)
         else:
-            result = apply_latest(target, changes, keys, order_by, one_pass)
+            result = apply_latest(target, changes, keys, order_by, one_pass, observation)
     return write_generation(
         result, root, generation, partition_by=partition_by, keys=keys, buckets=state.buckets, keep=keep
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.contract import CHANGE_OPERATION, CHANGE_TIMESTAMP
 from ..operators.apply import apply_delete_wins, apply_latest
@@ -18,6 +18,7 @@ from ..sources.catalog import (
     parse_catalog,
     read_batch_catalog,
     reconcile_counts,
+    reconcile_files,
     validate_catalog,
 )
 from ..sources.changes import normalize, quarantine, read_batch
@@ -32,11 +33,13 @@ from .scenario import (
     customer_wire_rows,
     customers,
     loaded_orders,
+    metadata_text,
     order_changes,
     scratch_dir,
     supplier_changes,
     table,
     write_batch,
+    write_text,
 )
 
 NTZ = "timestamp_ntz"
@@ -374,7 +377,10 @@ EQUAL_TIMES_SQL = """WITH
       UNION ALL SELECT DISTINCT id, 'D', NULL, NULL FROM held
         WHERE op = 'U' AND next_op = 'D' AND next_ts = TIMESTAMP '1995-06-01'),
     fresh AS (SELECT c.* FROM cut c LEFT JOIN seen s ON c.batch = 2 AND c.ts = TIMESTAMP '1995-06-01' AND s.id = c.id
-      AND s.op = c.op AND (c.op = 'D' OR (s.status = c.status AND s.amount = c.amount)) WHERE s.id IS NULL),
+      AND s.op = c.op AND (c.op = 'D' OR (s.status = c.status AND s.amount = c.amount)) WHERE s.id IS NULL
+      -- A delete that closed nothing left no trace, so it comes again with the second batch.
+      UNION ALL SELECT c.* REPLACE (2 AS batch) FROM cut c WHERE batch = 1 AND ts = TIMESTAMP '1995-06-01' AND op = 'D'
+        AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.id = c.id AND s.op = 'D')),
     chained AS (SELECT *, lead(ts) OVER w AS next_ts, lead(op) OVER w AS next_op FROM fresh
       WINDOW w AS (PARTITION BY id ORDER BY batch, ts, op = 'D', status, amount))
     SELECT id, status, amount, next_op IS NULL AS current, coalesce(next_op = 'D', false) AS deleted,
@@ -468,9 +474,65 @@ def history_phases(spark, sf_dir):
     return scd2_apply(base, once, ["id"], order="op_phase")
 
 
+PHASES_LINES_SQL = """WITH
+    lines AS (SELECT CASE WHEN l_linenumber <= 2 THEN 0 ELSE l_orderkey END AS id, l_linestatus AS status,
+      l_extendedprice AS amount, l_shipdate AS ts, l_returnflag AS flag FROM lineitem),
+    closed AS (SELECT id, max(ts) AS updated, max(ts) FILTER (flag = 'R') + INTERVAL 1 DAY AS deleted_at FROM lines GROUP BY id),
+    base AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS amount, o_orderdate AS ts FROM orders),
+    before AS (SELECT * FROM base UNION ALL SELECT id, status, amount, ts FROM lines)
+    SELECT b.id, b.status, b.amount, c.id IS NULL AS current, false AS deleted, b.ts AS effective_date, c.updated AS end_date
+    FROM before b LEFT JOIN closed c ON c.id = b.id
+    UNION ALL SELECT id, 'U', NULL, deleted_at IS NULL, deleted_at IS NOT NULL, updated, deleted_at FROM closed"""
+
+
+@query(PHASES_LINES_SQL)
+def history_phases_hot_key(spark, sf_dir):
+    """Every line item is an insert, two in seven of one key; each key has one update and, if returned, one delete."""
+    lines = table(spark, sf_dir, "lineitem")
+    key = F.when(F.col("l_linenumber") <= 2, 0).otherwise(F.col("l_orderkey")).cast("bigint").alias("id")
+    row = [F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("amount")]
+    inserts = lines.select(F.col("l_shipdate").alias(CHANGE_TIMESTAMP), F.lit("I").alias(CHANGE_OPERATION), key, *row, "l_returnflag")
+    last = F.max(CHANGE_TIMESTAMP)
+    returned = F.max(F.when(F.col("l_returnflag") == "R", F.col(CHANGE_TIMESTAMP)))
+    closing = inserts.groupBy("id").agg(last.alias("updated"), (returned + F.expr("INTERVAL 1 DAY")).alias("deleted_at"))
+    none = [F.lit("U").alias("status"), F.lit(None).cast("double").alias("amount")]
+    updates = closing.select(F.col("updated").alias(CHANGE_TIMESTAMP), F.lit("U").alias(CHANGE_OPERATION), "id", *none)
+    deletes = closing.where("deleted_at IS NOT NULL").select(
+        F.col("deleted_at").alias(CHANGE_TIMESTAMP), F.lit("D").alias(CHANGE_OPERATION), "id", *none
+    )
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount"), "o_orderdate"
+    )
+    base = initial_history(rows, F.col("o_orderdate")).drop("o_orderdate")
+    feed = inserts.drop("l_returnflag").unionByName(updates).unionByName(deletes)
+    return scd2_apply(base, feed, ["id"], order="op_phase", hot_key_rows=1000)
+
+
 # Counts, splits, sizes.
 
 
+CHANGE_REPORT_SQL = f"""WITH {customer_feed_sql(100)},
+    sent AS (SELECT *, CASE WHEN name = 'signup' AND value < 10 THEN NULL ELSE id END AS key, name = 'click' AND value < 10 AS garbled FROM feed)
+    SELECT unnest(['rows', 'inserts', 'updates', 'deletes', 'others', 'null_keys', 'unreadable_times', 'sound', 'rejected', 'declared', 'compacted']) AS metric,
+      unnest([count(*), count(*) FILTER (op = 'I'), count(*) FILTER (op = 'U'), count(*) FILTER (op = 'D'), count(*) FILTER (op = 'B'),
+        count(*) FILTER (op <> 'B' AND key IS NULL), count(*) FILTER (op <> 'B' AND garbled), count(*), 0, count(*),
+        count(DISTINCT key) FILTER (op <> 'B') + max(CASE WHEN op <> 'B' AND key IS NULL THEN 1 ELSE 0 END)]) AS n FROM sent"""
+
+
+@query(CHANGE_REPORT_SQL)
+def change_report(spark, sf_dir):
+    """What a job counts while it loads: some keys are missing, some times cannot be read."""
+    sent = customer_wire_rows(spark, sf_dir, 100.0)
+    low = F.col("cents") < 1000
+    garbled = F.when((F.col("name") == "click") & low, F.lit("soon")).otherwise(F.col(CHANGE_TIMESTAMP))
+    keyless = F.when(~((F.col("name") == "signup") & low), F.col("id"))
+    path = scratch_dir(spark)
+    write_batch(sent.withColumns({CHANGE_TIMESTAMP: garbled, "id": keyless}), path, CUSTOMER_WIRE_COLUMNS)
+    report = load_changes(spark, path, path + "_table", timestamp_type=NTZ).report
+    return spark.createDataFrame(list(report.items()), "metric string, n bigint")
+
+
+
 @query(f"WITH {customer_feed_sql(100)} SELECT op AS operation, count(*) AS rows, op IN ('I', 'U', 'D') AS applied FROM feed GROUP BY op")
 def change_stats_customers(spark, sf_dir):
     return change_stats(customer_changes(spark, sf_dir, 100.0))
@@ -556,6 +618,98 @@ def reconcile_record_counts(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT 'matches' AS status, count(*) AS declared, count(*) AS actual FROM events
+    UNION ALL SELECT 'differs', count(*) + 1, count(*) FROM nation
+    UNION ALL SELECT 'missing', count(*), 0 FROM region
+    UNION ALL SELECT 'undeclared', 0, count(*) FROM supplier"""
+)
+def reconcile_with_missing_files(spark, sf_dir):
+    """A batch with a file that is gone, one that lost a line, and one that no metadata names."""
+    path = _written_customer_feed(spark, sf_dir, 100.0)
+
+    def beside(name: str, rows: DataFrame, declared: int | None, there: bool = True) -> None:
+        if there:
+            write_text(spark, f"{path}/{name}.json", "".join(r + "\n" for r in rows.toJSON().collect()))
+        if declared is not None:
+            write_text(spark, f"{path}/{name}.dfm", metadata_text(name, "json", path, declared, CUSTOMER_WIRE_COLUMNS))
+
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    beside("short", nations, nations.count() + 1)
+    beside("gone", regions, regions.count(), there=False)
+    beside("stray", table(spark, sf_dir, "supplier").select("s_suppkey"), None)
+    catalog = read_batch_catalog(spark, path, data_dir=path)
+    found = reconcile_files(spark, catalog, path)
+    return found.groupBy("status").agg(F.sum("declared").alias("declared"), F.sum("actual").alias("actual"))
+
+
+ALL_TYPES = [
+    {"name": "id", "type": "INT8", "primaryKeyPos": 1},
+    {"name": "customer", "type": "INT4", "primaryKeyPos": 0},
+    {"name": "large", "type": "BOOLEAN", "primaryKeyPos": 0},
+    {"name": "amount", "type": "NUMERIC", "primaryKeyPos": 0},
+    {"name": "placed", "type": "DATETIME", "primaryKeyPos": 0},
+    {"name": "status", "type": "STRING", "primaryKeyPos": 0},
+    {"name": "priority", "type": "WSTRING", "primaryKeyPos": 0},
+    {"name": "code", "type": "BYTES", "primaryKeyPos": 0},
+    {"name": "remark", "type": "NCLOB", "primaryKeyPos": 0},
+]
+
+
+@query(
+    """SELECT o_orderkey AS id, o_custkey::INTEGER AS customer, o_totalprice > 100000 AS large, o_totalprice::DECIMAL(14, 2) AS amount,
+      o_orderdate::TIMESTAMP AS placed, o_orderstatus AS status, 'naïve ' || o_orderpriority AS priority,
+      to_base64(encode(o_orderpriority)) AS code, o_orderstatus || ' "' || o_orderpriority || '"' || chr(10) || '日本' AS remark FROM orders"""
+)
+def read_json_all_types(spark, sf_dir):
+    """Every source type there is, numbers as decimals, texts with quotes, line ends and other scripts."""
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").alias("customer"),
+        (F.col("o_totalprice") > 100000).alias("large"),
+        F.col("o_totalprice").cast("decimal(14,2)").alias("amount"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("0")).alias("placed"),
+        F.col("o_orderstatus").alias("status"),
+        F.concat(F.lit("naïve "), "o_orderpriority").alias("priority"),
+        F.base64(F.encode("o_orderpriority", "UTF-8")).alias("code"),
+        F.concat("o_orderstatus", F.lit(' "'), "o_orderpriority", F.lit('"\n日本')).alias("remark"),
+    )
+    path = scratch_dir(spark)
+    write_batch(rows, path, ALL_TYPES, "LOAD")
+    root = path + "_table"
+    initial_load(spark, path, root, numeric_type=T.DecimalType(14, 2), timestamp_type=NTZ)
+    return read_table(spark, root)
+
+
+@query(
+    f"""WITH {customer_feed_sql(100)} SELECT name, id, round(value * 100)::BIGINT AS cents FROM changes
+    QUALIFY row_number() OVER (PARTITION BY name, id ORDER BY ts DESC, op = 'D' DESC, value DESC) = 1 AND op <> 'D'"""
+)
+def load_changes_reversed_key(spark, sf_dir):
+    """A key of two columns whose positions are not the order in which the columns stand."""
+    positions = {"name": 1, "id": 2}
+    columns = [c | {"primaryKeyPos": positions.get(c["name"], 0)} for c in CUSTOMER_WIRE_COLUMNS]
+    path = scratch_dir(spark)
+    write_batch(customer_wire_rows(spark, sf_dir, 100.0), path, columns)
+    if open_batch(spark, path).keys != ("name", "id"):
+        raise ValueError("key columns are not in the order of their positions")
+    load_changes(spark, path, path + "_table", timestamp_type=NTZ)
+    return read_table(spark, path + "_table").select("name", "id", "cents")
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS name, c_acctbal AS value FROM customer")
+def load_changes_empty_folder(spark, sf_dir):
+    """A folder without metadata files leaves the table at its generation."""
+    path = scratch_dir(spark)
+    customer_wire_rows(spark, sf_dir, 100.0).limit(0).write.json(path)
+    root = path + "_table"
+    first = write_generation(customers(spark, sf_dir), root)
+    if load_changes(spark, path, root) != first:
+        raise ValueError("an empty folder made a generation")
+    return read_table(spark, root)
+
+
 @query(
     f"""WITH {customer_feed_sql(0)}, {latest_sql(CUSTOMER_RANK)}
     SELECT {WIRE_COLUMNS_SQL} FROM latest WHERE op <> 'D'"""
@@ -745,3 +899,36 @@ def stream_latest(spark, sf_dir):
     )
     stream.awaitTermination()
     return read_table(spark, root)
+
+
+BROKEN_SQL = f"""WITH {customer_feed_sql(0)},
+    broken AS (SELECT * FROM feed WHERE name = 'error' AND round(value * 100) > 5000),
+    sound AS (SELECT * FROM changes WHERE NOT (name = 'error' AND round(value * 100) > 5000)),
+    latest AS (SELECT * FROM sound QUALIFY row_number() OVER ({CUSTOMER_RANK}) = 1)
+    SELECT id, name, round(value * 100)::BIGINT AS cents, false AS rejected FROM target t WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.id = t.id)
+    UNION ALL SELECT id, name, round(value * 100)::BIGINT, false FROM latest WHERE op <> 'D'
+    UNION ALL SELECT id, name, round(value * 100)::BIGINT, true FROM broken"""
+
+
+@query(BROKEN_SQL)
+def stream_with_broken_lines(spark, sf_dir):
+    """Some deletes arrive as broken lines: they are kept apart and reported, not lost, and delete nothing."""
+    rows = customer_wire_rows(spark, sf_dir, 0.0)
+    line = F.to_json(F.struct(*rows.columns))
+    broken = (F.col("name") == "error") & (F.col("cents") > 5000)
+    path = scratch_dir(spark)
+    lines = rows.select(F.when(broken, F.regexp_replace(line, r"\}$", "")).otherwise(line).alias("value"))
+    write_batch(lines, path, CUSTOMER_WIRE_COLUMNS, lines=True)
+    batch = open_batch(spark, path)
+    root = path + "_table"
+    cents = F.round(F.col("value") * 100).cast("bigint").alias("cents")
+    write_generation(customers(spark, sf_dir).select("id", "name", cents), root)
+    for _ in range(2):  # the second run finds nothing new
+        stream_changes(
+            spark, path, batch.batch_schema, root, batch.keys, batch.table_schema, checkpoint=path + "_checkpoint",
+            datetime_columns=batch.datetime_columns, timestamp_type=NTZ, files="*.txt",
+        ).awaitTermination()
+    kept = spark.read.schema("file_name string, line string").json(root + "__rejected/*")
+    read = F.from_json(F.concat("line", F.lit("}")), "id bigint, name string, cents bigint").alias("row")
+    rejected = kept.select(read).select("row.*", F.lit(True).alias("rejected"))
+    return read_table(spark, root).withColumn("rejected", F.lit(False)).unionByName(rejected)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.contract import CHANGE_PREFIX, DATA_FORMAT, METADATA_VERSION, SOURCE_TYPES
 
@@ -86,13 +86,8 @@ def parse_catalog(raw: DataFrame, data_dir: str | None = None) -> DataFrame:
     )
 
 
-def validate_catalog(catalog: DataFrame) -> DataFrame:
-    """Violations, one row each: metadata_file, check, detail.
-
-    The column list all others must equal, in the same order, is that of the first
-    readable file by name.
-    """
-    first = catalog.agg(F.min_by("columns_json", F.when(F.col("columns_json").isNotNull(), F.col("metadata_file")))).first()[0]
+def _violations(first: Column) -> Column:
+    """What is wrong with a file, given the column list that all must have."""
     unknown = F.array_except(F.transform("columns", lambda c: c["type"]), F.lit(list(SOURCE_TYPES)))
 
     def violation(name, broken, detail):
@@ -103,10 +98,25 @@ def validate_catalog(catalog: DataFrame) -> DataFrame:
         violation("object", ~ok, F.lit("not a JSON object")),
         violation("version", ok & ~F.col("version").eqNullSafe(METADATA_VERSION), F.col("version")),
         violation("format", ok & ~F.col("format").eqNullSafe(DATA_FORMAT), F.col("format")),
-        violation("columns", ok & ~F.col("columns_json").eqNullSafe(F.lit(first)), F.col("columns_json")),
+        violation("columns", ok & ~F.col("columns_json").eqNullSafe(first), F.col("columns_json")),
         violation("types", ok & (F.size(unknown) > 0), F.array_join(unknown, ",")),
     )
-    return catalog.select("metadata_file", F.explode(F.array_compact(found)).alias("v")).select(
+    return F.array_compact(found)
+
+
+def _first_by_name(value: Column) -> Column:
+    """The value of the first readable file by name."""
+    return F.min_by(value, F.when(F.col("columns_json").isNotNull(), F.col("metadata_file")))
+
+
+def validate_catalog(catalog: DataFrame) -> DataFrame:
+    """Violations, one row each: metadata_file, check, detail.
+
+    The column list all others must equal, in the same order, is that of the first
+    readable file by name.
+    """
+    first = catalog.agg(_first_by_name(F.col("columns_json"))).first()[0]
+    return catalog.select("metadata_file", F.explode(_violations(F.lit(first))).alias("v")).select(
         "metadata_file", "v.check", "v.detail"
     )
 
@@ -141,19 +151,29 @@ def schemas_from_columns(columns, numeric_type: T.DataType | None = None):
 def batch_from_catalog(catalog: DataFrame, numeric_type: T.DataType | None = None) -> Batch | None:
     """Check the catalogue and derive the batch; None when there are no metadata files.
 
-    The driver receives the names of the data files (the reader needs them to plan its
-    scan) and one column list, never rows of data.
+    One aggregation reads the metadata files once; only if they break the contract are they
+    read again, to say how. The driver receives the names of the data files (the reader
+    needs them to plan its scan) and one column list, never rows of data.
     """
-    broken = validate_catalog(catalog).take(20)
-    if broken:
-        raise CatalogError("; ".join(f"{r.metadata_file}: {r.check} ({r.detail})" for r in broken))
-    files = catalog.select("data_file", "record_count", "metadata_file").orderBy("metadata_file").collect()
-    if not files:
+    columns = F.col("columns_json")
+    facts = catalog.agg(
+        F.array_sort(F.collect_list(F.struct("metadata_file", "data_file", "record_count"))).alias("files"),
+        _first_by_name(F.struct("columns")).alias("first"),
+        # Without a column list of its own to differ from, a file is checked against itself.
+        F.count_if(F.size(_violations(columns)) > 0).alias("broken"),
+        (F.min(columns) != F.max(columns)).alias("differ"),
+        F.count_if(columns.isNull()).alias("without_columns"),
+    ).first()
+    if not facts["files"]:
         return None
+    if facts["broken"] or facts["differ"] or facts["without_columns"]:
+        broken = validate_catalog(catalog).take(20)
+        raise CatalogError("; ".join(f"{r.metadata_file}: {r.check} ({r.detail})" for r in broken) or "no column list")
+    files = facts["files"]
     nameless = [r.metadata_file for r in files if not r.data_file]
     if nameless:
         raise CatalogError(f"no data file named by {nameless[:20]}")
-    columns = catalog.select("columns").first()["columns"]
+    columns = facts["first"]["columns"]
     keys, batch_schema, table_schema = schemas_from_columns(columns, numeric_type)
     return Batch(
         keys=keys,
@@ -165,6 +185,36 @@ def batch_from_catalog(catalog: DataFrame, numeric_type: T.DataType | None = Non
     )
 
 
+def list_files(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
+    """file_name and bytes of the files in a folder whose names match; contents are not read."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path)
+    return listing.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"))
+
+
+def reconcile_files(spark: SparkSession, catalog: DataFrame, data_dir: str, files: str = "*.json") -> DataFrame:
+    """Files that metadata declares against files in the folder, and their lines against the records declared.
+
+    One row per file on either side: file_name, declared, actual (lines that are not blank),
+    status: `matches`, `differs`, `missing` (declared, but not there) or `undeclared` (there,
+    but in no metadata). To be used before a batch is read, which fails on a missing file.
+    """
+    lines = spark.read.option("pathGlobFilter", files).text(data_dir).where(F.trim("value") != "")
+    counted = lines.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("lines"))
+    present = list_files(spark, data_dir, files).join(counted, "file_name", "left").select("file_name", F.coalesce("lines", F.lit(0).cast("bigint")).alias("lines"))
+    declared = catalog.groupBy("file_name").agg(F.coalesce(F.sum("record_count"), F.lit(0).cast("bigint")).alias("records"))
+    both = declared.join(present, "file_name", "full_outer")
+    status = (
+        F.when(F.col("lines").isNull(), "missing")
+        .when(F.col("records").isNull(), "undeclared")
+        .when(F.col("lines") == F.col("records"), "matches")
+        .otherwise("differs")
+    )
+    zero = F.lit(0).cast("bigint")
+    return both.select(
+        "file_name", F.coalesce("records", zero).alias("declared"), F.coalesce("lines", zero).alias("actual"), status.alias("status")
+    )
+
+
 def reconcile_counts(catalog: DataFrame, rows: DataFrame) -> DataFrame:
     """Declared against actual records per data file.
 

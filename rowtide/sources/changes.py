@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ..functions.columns import parse_datetime
 from ..functions.contract import CHANGE_TIMESTAMP, CHANGE_TIMESTAMP_RAW
@@ -36,20 +36,37 @@ def normalize(
     return df.withColumns(columns)
 
 
-def _classified(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Each line that is not blank: __file, __line, __row, __malformed."""
-    lines = spark.read.text(list(files)).where(F.trim("value") != "")
-    corrupt = "__corrupt"
-    with_corrupt = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType())])
-    parsed = lines.select(
-        F.col("_metadata.file_name").alias("__file"),
-        F.col("value").alias("__line"),
-        F.from_json("value", with_corrupt, {"columnNameOfCorruptRecord": corrupt}).alias("__row"),
+_CORRUPT = "__corrupt"
+
+
+def with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField(_CORRUPT, T.StringType())])
+
+
+def classified(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines (__file, __line) that are not blank, with __row and __malformed.
+
+    A field out of range marks a line, too; only text that is no JSON object is malformed.
+    That is looked at in marked lines alone, so a sound line is parsed once.
+    """
+    parsed = lines.where(F.trim("__line") != "").withColumn(
+        "__row", F.from_json("__line", with_corrupt(schema), {"columnNameOfCorruptRecord": _CORRUPT})
     )
-    # A field out of range also marks the line; only text that is no object is malformed.
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("__line")).startswith("OBJECT"), F.lit(False))
-    malformed = F.when(F.col("__row").isNull() | F.col(f"__row.{corrupt}").isNotNull(), ~is_object).otherwise(False)
-    return parsed.withColumn("__malformed", malformed)
+    marked = F.col("__row").isNull() | F.col(f"__row.{_CORRUPT}").isNotNull()
+    return parsed.withColumn("__malformed", F.when(marked, ~is_object).otherwise(False))
+
+
+def _lines(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    return spark.read.text(list(files)).select(F.col("_metadata.file_name").alias("__file"), F.col("value").alias("__line"))
+
+
+def _rows(parsed: DataFrame, schema: T.StructType) -> DataFrame:
+    return parsed.where("NOT __malformed").select([F.col(f"__row.`{c}`") for c in schema.names])
+
+
+def _rejected(parsed: DataFrame) -> DataFrame:
+    return parsed.where("__malformed").select(F.col("__file").alias("file_name"), F.col("__line").alias("line"))
 
 
 def quarantine(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -58,13 +75,25 @@ def quarantine(spark: SparkSession, files: Sequence[str], schema: T.StructType)
     Lines are read as text and parsed once per branch, so neither branch needs a cache
     of the whole feed.
     """
-    parsed = _classified(spark, files, schema)
-    rows = parsed.where("NOT __malformed").select([F.col(f"__row.`{c}`") for c in schema.names])
-    rejected = parsed.where("__malformed").select(F.col("__file").alias("file_name"), F.col("__line").alias("line"))
-    return rows, rejected
+    parsed = classified(_lines(spark, files), schema)
+    return _rows(parsed, schema), _rejected(parsed)
+
+
+def split_lines(lines: DataFrame, schema: T.StructType, observation: Observation) -> tuple[DataFrame, DataFrame]:
+    """Lines (__file, __line) as (rows, rejected lines).
+
+    Reading the rows counts the lines as `sound` and `rejected` on the way; the rejected
+    lines are read again only by whoever wants them.
+    """
+    parsed = classified(lines, schema)
+    counted = parsed.observe(
+        observation, F.count_if(~F.col("__malformed")).alias("sound"), F.count_if("__malformed").alias("rejected")
+    )
+    return _rows(counted, schema), _rejected(parsed)
 
 
-def count_lines(spark: SparkSession, files: Sequence[str], schema: T.StructType) -> tuple[int, int]:
-    """(sound, malformed) lines of the files, in one pass."""
-    found = _classified(spark, files, schema).agg(F.count_if("__malformed"), F.count("*")).first()
-    return found[1] - found[0], found[0]
+def observed_lines(
+    spark: SparkSession, files: Sequence[str], schema: T.StructType, observation: Observation
+) -> tuple[DataFrame, DataFrame]:
+    """As `quarantine`, with the counts of `split_lines`."""
+    return split_lines(_lines(spark, files), schema, observation)

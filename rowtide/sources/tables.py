@@ -94,6 +94,11 @@ def current_generation(spark: SparkSession, root: str) -> int | None:
     return max(committed_generations(spark, root), default=None)
 
 
+def next_generation(spark: SparkSession, root: str) -> int:
+    """The number of the generation to be written next."""
+    return max(_generations(_Storage(spark, root)), default=-1) + 1
+
+
 def table_state(spark: SparkSession, root: str, generation: int | None = None) -> TableState | None:
     """The current (or a given) generation, None if there is none."""
     if generation is None:

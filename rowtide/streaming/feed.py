@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.merge import LATEST, apply_to_table
-from ..sources.changes import normalize
+from ..sources.changes import normalize, split_lines
 from ..sources.tables import committed_generations
 
 
@@ -57,18 +58,35 @@ def stream_changes(
     """Apply the change files not yet seen, oldest first, then stop.
 
     `mode` and further options are those of `apply_to_table`. One checkpoint belongs to
-    one table, and only the stream writes to that table.
+    one table, and only the stream writes to that table. Lines that are no JSON object are
+    written to `<table_root>__rejected/batch=<n>` with the names of their files, and
+    reported by a warning; a batch that Spark repeats writes its folder over. Each line is
+    parsed once, and the batch held by the executors until it is applied.
     """
-    reader = spark.readStream.schema(batch_schema).option("pathGlobFilter", files)
+    reader = spark.readStream.option("pathGlobFilter", files)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    changes = normalize(reader.json(changes_dir), datetime_columns, timestamp_type=timestamp_type)
+    lines = reader.text(changes_dir).select(F.col("_metadata.file_name").alias("__file"), F.col("value").alias("__line"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, batch_id, table_root, keys, table_schema, mode, **options)
+        counts = Observation()
+        rows, rejected = split_lines(batch, batch_schema, counts)
+        changes = normalize(rows, datetime_columns, timestamp_type=timestamp_type).persist()
+        try:
+            changes.write.format("noop").mode("overwrite").save()
+            if counts.get["rejected"]:
+                folder = f"{table_root.rstrip('/')}__rejected"
+                rejected.write.mode("overwrite").json(f"{folder}/batch={batch_id}")
+                warnings.warn(f"{counts.get['rejected']} lines are no JSON object and were written to {folder}", stacklevel=2)
+            apply_batch(
+                changes, batch_id, table_root, keys, table_schema, mode,
+                **{"feed_rows": counts.get["sound"], "cache_feed": False} | options,
+            )
+        finally:
+            changes.unpersist()
 
     return (
-        changes.writeStream.foreachBatch(step)
+        lines.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
