@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -21,16 +22,34 @@ RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public 50k byte-level vocabulary splits a text.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 4096
+QUANTILES = (0.5, 0.9, 0.99, 0.999)
+# White space as the pattern's \s has it. A longer run is a piece but for its last character, which the next
+# word may take; so it can be cut out, as the pattern's engine has no room for very long ones.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @functools.lru_cache(maxsize=2)
-def _encoding(ranks: bytes, split: str) -> tiktoken.Encoding:
-    pairs = (line.split() for line in ranks.splitlines() if line)
-    return tiktoken.Encoding(
-        "lengths", pat_str=split, mergeable_ranks={base64.b64decode(t): int(r) for t, r in pairs}, special_tokens={}
+def _encodings(ranks: bytes, split: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding]:
+    """The encoding, and one that takes a whole text for a piece."""
+    pairs = [line.split() for line in ranks.splitlines() if line]
+    merges = {base64.b64decode(t): int(r) for t, r in pairs}
+    return tuple(
+        tiktoken.Encoding(f"lengths {k}", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        for k, pattern in enumerate((split, "(?s:.+)"))
     )
 
 
+def count_tokens(text: str, ranks: bytes, split: str = SPLIT) -> int:
+    """The number of tokens, also of texts with very long runs of white space. `split` treats such runs as `SPLIT` does."""
+    words, whole = _encodings(ranks, split)
+    n, begin = 0, 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        n += len(words.encode_ordinary(text[begin : run.start()])) + len(whole.encode_ordinary(text[run.start() : end]))
+        begin = end
+    return n + len(words.encode_ordinary(text[begin:]))
+
+
 def token_count(text: Column, ranks_path: str = RANKS_PATH, split: str = SPLIT) -> Column:
     """Number of tokens of a text; null and empty texts have none. The driver reads the vocabulary file."""
     with open(ranks_path, "rb") as file:
@@ -38,14 +57,17 @@ def token_count(text: Column, ranks_path: str = RANKS_PATH, split: str = SPLIT)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(shared.value, split).encode_ordinary
-        return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+        return pd.Series([count_tokens(t, shared.value, split) if t else 0 for t in texts], dtype="int64")
 
     return count(text)
 
 
 def length_histogram(docs: DataFrame, **tokenizer) -> DataFrame:
-    """(n_tokens, n_docs) for every length that occurs. Repeated rows count each; so do null texts, with length 0."""
+    """(n_tokens, n_docs) for every length that occurs. Repeated rows count each; so do null texts, with length 0.
+
+    Texts count whole, whatever their length and runs of characters. Columns of `docs` other
+    than text are not looked at. An empty table gives an empty result.
+    """
     return docs.select(token_count(F.col("text"), **tokenizer).alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
 
 
@@ -54,8 +76,9 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Columns: n_tokens (the limit), n_docs (of exactly this length), docs_longer,
     tokens_longer (of the longer documents, whole), tokens_kept (of all, truncated at the
-    limit), tokens_lost, share_whole (of the documents, not truncated). An empty histogram
-    gives an empty result.
+    limit), tokens_lost, share_whole (of the documents, not truncated), docs_all, tokens_all,
+    and quantiles: which of `QUANTILES` this length is, as text, empty if none. An empty
+    histogram gives an empty result.
 
     Lengths are summed by block first. The one window over all rows has a row for each
     block; the others are within a block.
@@ -81,6 +104,9 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
         "tokens_all",
     )
     lost = F.col("tokens_longer") - F.col("n_tokens") * F.col("docs_longer")
+    not_longer = F.col("docs_all") - F.col("docs_longer")
+    shares = [(F.lit(q), (not_longer / F.col("docs_all") >= q) & ((not_longer - F.col("n_docs")) / F.col("docs_all") < q)) for q in QUANTILES]
+    reached = F.concat_ws(",", *[F.when(here, q.cast("string")) for q, here in shares])
     return summed.select(
         "n_tokens",
         "n_docs",
@@ -88,7 +114,10 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
         "tokens_longer",
         (F.col("tokens_all") - lost).alias("tokens_kept"),
         lost.alias("tokens_lost"),
-        ((F.col("docs_all") - F.col("docs_longer")) / F.col("docs_all")).alias("share_whole"),
+        (not_longer / F.col("docs_all")).alias("share_whole"),
+        "docs_all",
+        "tokens_all",
+        reached.alias("quantiles"),
     )
 
 
