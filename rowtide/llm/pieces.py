@@ -14,6 +14,7 @@ A document of one chunk needs no matrix: its states at both ends are zero.
 from __future__ import annotations
 
 import functools
+import operator
 import re
 import sys
 from collections.abc import Iterable, Iterator, Sequence
@@ -31,7 +32,7 @@ from .common import stored
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 1 << 16
 SPACE = "▁"
-_CACHED = 150_000  # words, and as many stretches of words
+_CACHED = 100_000  # words, and as many stretches of words, that are kept; as many before them that may come again
 _STEP_CHARS = 1_000_000  # of texts encoded together
 _PLACES = 16
 _SCALE, _TIES = 1 << 10, 1 << 20  # scores are exact to 1/1024; below that a hash of pieces and places decides
@@ -43,6 +44,25 @@ def _id_bytes(number: int) -> bytes:
     return number.to_bytes(4, sys.byteorder)
 
 
+class _Cache(dict):
+    """What was used lately: what is not asked for again while `_CACHED` others come is given up."""
+
+    def __init__(self) -> None:
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, asked: set[str]) -> set[str]:
+        """Of the keys asked for those to be found out; the others are here afterwards."""
+        new = asked.difference(self)
+        again = new.intersection(self.before)
+        self.update((key, self.before[key]) for key in again)
+        return new - again
+
+    def turn_over(self) -> None:
+        if len(self) > _CACHED:
+            self.before = dict(self)
+            self.clear()
+
+
 class Pieces:
     """A model's pieces with integer weights, and best paths through texts."""
 
@@ -85,8 +105,8 @@ class Pieces:
         self._endings.update(self.weights)
         # Neighbouring characters inside a piece. All paths meet between two others, as before a word's space.
         self._joined = {piece[i : i + 2] for piece in self.weights for i in range(len(piece) - 1)}
-        self._words: dict[str, bytes] = {}
-        self._stretches: dict[str, bytes] = {}
+        self._words = _Cache()
+        self._stretches = _Cache()
         words_meet = not any(pair[0] != SPACE and pair[1] == SPACE for pair in self._joined)
         self._split = _WORDS.findall if words_meet else lambda text: [text] if text else []
 
@@ -187,26 +207,27 @@ class Pieces:
             self._stretches[text] = self._trace(text, begin, last, 0, len(text))
             before = text
 
-    def _stretch_ends(self, word: str) -> list[int]:
-        joined = self._joined
-        return [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined] + [len(word)]
-
-    def _learn_words(self, words: set[str]) -> None:
-        parts = {}
-        for word in words:
-            begin, found = 0, []
-            for end in self._stretch_ends(word):
+    def _parts(self, word: str) -> list[str]:
+        """The stretches of a word: all paths meet between two characters that no piece holds side by side."""
+        pairs = list(map(operator.add, word, word[1:]))
+        if self._joined.issuperset(pairs):
+            return [word]
+        found, begin = [], 0
+        for end, pair in enumerate(pairs, 1):
+            if pair not in self._joined:
                 found.append(word[begin:end])
                 begin = end
-            parts[word] = found
+        found.append(word[begin:])
+        return found
+
+    def _learn_words(self, words: set[str]) -> None:
+        parts = {word: self._parts(word) for word in words}
         have = self._stretches
-        new = {x for found in parts.values() for x in found}.difference(have)
-        if len(have) + len(new) > _CACHED:
-            have.clear()
-            new = {x for found in parts.values() for x in found}
-        self._learn(new)
+        self._learn(have.missing({x for found in parts.values() for x in found}))
+        words = self._words
         for word, found in parts.items():
-            self._words[word] = b"".join([have[x] for x in found])
+            words[word] = have[found[0]] if len(found) == 1 else b"".join([have[x] for x in found])
+        have.turn_over()
 
     def _meets(self, before: str, text: str, after: str) -> tuple[int, int] | None:
         """First and last position of `text`, its ends included, at which all paths meet."""
@@ -219,12 +240,10 @@ class Pieces:
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of normalised texts, or of stretches that begin and end where paths meet."""
         split, have = [self._split(text) for text in texts], self._words
-        new = set().union(*split).difference(have)
-        if len(have) + len(new) > _CACHED:
-            have.clear()
-            new = set().union(*split)
-        self._learn_words(new)
-        return [np.frombuffer(b"".join([have[w] for w in words]), np.int32) for words in split]
+        self._learn_words(have.missing(set().union(*split)))
+        found = [np.frombuffer(b"".join(map(have.__getitem__, words)), np.int32) for words in split]
+        have.turn_over()
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
