@@ -17,6 +17,7 @@ from ..sources.tables import (
     current_generation,
     export_snapshot,
     next_generation,
+    packed,
     partitions_for_table,
     read_table,
     stale_files,
@@ -177,8 +178,11 @@ def snapshot(
     state = table_state(spark, table_root)
     if state is None:
         raise FileNotFoundError(f"no table at {table_root}")
-    partitions = partitions_for_table(spark, table_root, state, max_bytes) if sizing == "files" else None
-    export_snapshot(read_table(spark, table_root, generation=state.generation), path, partitions, max_bytes=max_bytes)
+    rows = read_table(spark, table_root, generation=state.generation)
+    if sizing == "files":
+        export_snapshot(packed(rows, partitions_for_table(spark, table_root, state, max_bytes)), path)
+    else:
+        export_snapshot(rows, path, max_bytes=max_bytes)
 
 
 def vacuum(

@@ -237,32 +237,46 @@ def resize(df: DataFrame, partitions: int | None = None, max_bytes: int = MAX_PA
     return df.repartition(estimate_partitions(df, max_bytes) if partitions is None else partitions)
 
 
+def packed(df: DataFrame, partitions: int) -> DataFrame:
+    """A scan's rows in about so many partitions: neighbours are joined without a shuffle; only a scan of too few is dealt out anew."""
+    return df.coalesce(partitions) if partitions <= df.rdd.getNumPartitions() else df.repartition(partitions)
+
+
 def export_snapshot(
     df: DataFrame,
     path: str,
     partitions: int | None = None,
     drop_prefixes: Sequence[str] = (CHANGE_PREFIX, TABLE_FORMAT_PREFIX),
-    max_bytes: int = MAX_PARTITION_BYTES,
+    max_bytes: int | None = None,
 ) -> None:
-    """Overwrite `path` with the table's own columns as Parquet."""
-    resize(drop_prefixed(df, drop_prefixes), partitions, max_bytes).write.mode("overwrite").parquet(path)
+    """Overwrite `path` with the table's own columns as Parquet.
+
+    By default files are as Spark sizes the last stage, so the rows are computed once and
+    not shuffled for it. `partitions` asks for a number of files; `max_bytes` measures all
+    values as text first and asks for as many files as that needs.
+    """
+    rows = drop_prefixed(df, drop_prefixes)
+    if partitions is not None or max_bytes is not None:
+        rows = resize(rows, partitions, MAX_PARTITION_BYTES if max_bytes is None else max_bytes)
+    rows.write.mode("overwrite").parquet(path)
 
 
 def compact_table(
-    spark: SparkSession, root: str, max_bytes: int = MAX_PARTITION_BYTES, sizing: str = "text"
+    spark: SparkSession, root: str, max_bytes: int = MAX_PARTITION_BYTES, sizing: str = "files"
 ) -> int:
     """Write the current state again as a generation of its own, in well-sized files.
 
-    `sizing="text"` measures all values; `"files"` goes by the stored bytes and saves
-    that pass over a large table. A partitioned table keeps its partitions.
+    `sizing="files"` goes by the stored bytes and joins small files without a shuffle;
+    `"text"` measures all values in a pass of its own. A partitioned table keeps its
+    partitions.
     """
     state = table_state(spark, root)
     if state is None:
         raise FileNotFoundError(f"no table at {root}")
     df = read_folders(spark, root, state, state.folders)
     if not state.partition_by and not state.buckets:
-        partitions = partitions_for_table(spark, root, state, max_bytes) if sizing == "files" else None
-        df = resize(df, partitions, max_bytes)
+        by_files = sizing == "files"
+        df = packed(df, partitions_for_table(spark, root, state, max_bytes)) if by_files else resize(df, None, max_bytes)
     return write_generation(
         df, root, partition_by=state.partition_by, keys=state.keys, buckets=state.buckets
     )
