@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PARQUET_FOLDER = "llm-steps"
+# Spark's setting: a query's shuffle files go when it ends, not when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,11 +32,17 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again.
 
     Cuts the lineage, survives lost executors, and fixes generated ids. The new scan knows
-    its size, so Spark broadcasts it only while it is below the session's threshold.
+    its size, so Spark broadcasts it only while it is below the session's threshold. Once
+    the rows are written, Spark removes the shuffle files that led to them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{PARQUET_FOLDER}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
