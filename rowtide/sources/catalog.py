@@ -186,9 +186,12 @@ def batch_from_catalog(catalog: DataFrame, numeric_type: T.DataType | None = Non
 
 
 def list_files(spark: SparkSession, path: str, files: str = "*") -> DataFrame:
-    """file_name and bytes of the files in a folder whose names match; contents are not read."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", files).load(path)
-    return listing.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"))
+    """file_name and bytes of the files in a folder whose names match, empty ones too (Spark's readers skip those)."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    folder = paths.Path(path)
+    listing = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(paths.Path(folder, files))
+    found = [(f.getPath().getName(), f.getLen()) for f in listing or [] if f.isFile()]
+    return spark.createDataFrame(found, "file_name string, bytes bigint")
 
 
 def reconcile_files(spark: SparkSession, catalog: DataFrame, data_dir: str, files: str = "*.json") -> DataFrame:
