@@ -1,9 +1,10 @@
 """License statements found by ordered signature rules.
 
 A rule is a regular expression over a text's words, with a keyword, a priority and a
-weight. A rule is tried only on documents that have its keyword. Of overlapping finds the
-better one stays: a find inside another of the same or a higher priority goes, and so does
-one that overlaps a find of a higher priority.
+weight. A rule is tried only on documents that have its keyword. Overlapping finds are
+resolved from the highest priority down: a find that overlaps one that stayed at a higher
+priority goes, and of the others of its priority so does one inside another. A find that
+has gone removes nothing.
 
 Rules are made from a table of licenses: each has a name, as an expression over words, and
 some have sentences of their own text. A name gives rules for a tag, for a grant
@@ -130,22 +131,49 @@ _LICENSES = [
 _SENTENCES = [
     ("apache-2.0", "you may not use this file except in compliance with the license"),
     ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("agpl-3.0", "interacting with it remotely through a computer network"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "redistributions of source code must retain the above copyright notice"),
     ("bsd", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
     ("bsd-3-clause", "nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors"),
     ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display"),
     ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsl-1.0", "must be included in all copies of the software in whole or in part and all derivative works of the software"),
+    ("cc", "the licensor hereby grants you a worldwide royalty free non sublicensable non exclusive irrevocable license"),
+    ("cc", "unless otherwise stated this work is licensed under a creative commons"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
+    ("epl", "the accompanying materials are made available under the terms of the eclipse public license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl-2.0", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("gpl", "you should have received a copy of the gnu general public license along with this program"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license"),
+    ("postgresql", "for any purpose without fee and without a written agreement is hereby granted"),
+    ("psf-2.0", "psf is making python available to licensee on an as is basis"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
     ("wtfpl", "you just do what the fuck you want to"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
     ("public-domain", "dedicated to the public domain"),
     ("public-domain", "released into the public domain"),
     ("public-domain", "placed in the public domain"),
@@ -233,19 +261,24 @@ def find_licenses(words: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def keep_best(finds: DataFrame) -> DataFrame:
-    """The finds left when contained and outranked ones are gone; base phrases always stay."""
-    order = Window.partitionBy("rid").orderBy("start", F.col("end").desc(), F.col("priority").desc(), "rule")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    levels = range(1, 6)
-    reach = {p: F.max(F.when(F.col("priority") >= p, F.col("end"))).over(before) for p in range(1, 7)}
-    nearest = {p: F.min(F.when(F.col("priority") > p, F.col("start"))).over(after) for p in levels}
-    lost = F.lit(False)
-    for p in levels:
-        inside = F.coalesce(reach[p] >= F.col("end"), F.lit(False))
-        outranked = F.coalesce(reach[p + 1] >= F.col("start"), F.lit(False)) | F.coalesce(nearest[p] <= F.col("end"), F.lit(False))
-        lost = lost | ((F.col("priority") == p) & (inside | outranked))
-    return finds.withColumn("lost", lost).where("base OR NOT lost").drop("lost")
+    """The finds left when contained and outranked ones are gone; base phrases always stay.
+
+    One priority after the other, from the highest: a find counts against others only if it
+    has stayed itself. Of equal places the first rule stays.
+    """
+    forward = Window.partitionBy("rid").orderBy("start", F.col("end").desc(), F.col("priority").desc(), "rule")
+    backward = Window.partitionBy("rid").orderBy(F.col("start").desc(), "end", "priority", F.col("rule").desc())
+    before, behind = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (forward, backward))
+    no = F.lit(False)
+    found = finds.withColumn("stays", no)
+    for p in range(5, 0, -1):
+        reach = F.max(F.when(F.col("stays"), F.col("end"))).over(before)
+        following = F.min(F.when(F.col("stays"), F.col("start"))).over(behind)
+        outranked = F.coalesce(reach >= F.col("start"), no) | F.coalesce(following <= F.col("end"), no)
+        found = found.withColumn("free", (F.col("priority") == p) & ~outranked)
+        inside = F.coalesce(F.max(F.when(F.col("free"), F.col("end"))).over(before) >= F.col("end"), no)
+        found = found.withColumn("stays", F.col("stays") | (F.col("free") & ~inside))
+    return found.where("base OR stays").drop("free", "stays")
 
 
 def scan_licenses(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 
 from messy import ROWS, empty, lower_ascii, messy
-from rowtide.llm.licenses import _LICENSES, BASE_PHRASES, Rule, find_licenses, keep_best, license_rules, scan_licenses, words_of
+from rowtide.llm.licenses import _LICENSES, _SENTENCES, BASE_PHRASES, Rule, find_licenses, keep_best, license_rules, scan_licenses, words_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 TEXTS = [
@@ -101,20 +101,26 @@ def test_overlaps(spark):
         some = rows[::step]
         kept = {r["rule"] for r in keep_best(spark.createDataFrame(some, kinds)).collect()}
 
-        def lost(d):
-            _, rule, _, p, _, _, a, b = d
-            for e in some:
-                if e[0] != d[0] or e[1] == rule:
-                    continue
-                inside = e[6] <= a and b <= e[7]
-                same = (e[6], e[7]) == (a, b)
-                if e[3] >= p and inside and (not same or e[3] > p or e[1] < rule):
-                    return True
-                if e[3] > p and e[6] <= b and a <= e[7]:
-                    return True
-            return False
-
-        assert kept == {d[1] for d in some if d[5] or not lost(d)}
+        stayed = []  # from the highest priority down, wider finds first
+        for d in sorted(some, key=lambda d: (-d[3], d[6], -d[7], d[1])):
+            over = [e for e in stayed if e[0] == d[0] and e[6] <= d[7] and d[6] <= e[7]]
+            if not any(e[3] > d[3] or (e[6] <= d[6] and d[7] <= e[7]) for e in over):
+                stayed.append(d)
+        assert kept == {d[1] for d in stayed} | {d[1] for d in some if d[5]}
+
+
+def test_a_find_that_went_removes_nothing(spark):
+    rules = [Rule("low", "aa", "aa bb", 2, 0.2), Rule("mid", "bb", "bb cc", 3, 0.3), Rule("high", "cc", "cc dd", 4, 0.4)]
+    docs = spark.createDataFrame([(1, "aa bb cc dd"), (2, "aa bb cc")], "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(docs, rules).collect()}
+    assert found == {1: ("high,low", 0.4), 2: ("mid", 0.3)}
+
+
+def test_own_texts_of_licenses(spark):
+    """Each sentence is found where it stands in other words, with its own label."""
+    docs = spark.createDataFrame([(i, f"Note: {t.capitalize()}, etc.") for i, (_, t) in enumerate(_SENTENCES)], "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in scan_licenses(docs).collect()}
+    assert all(label in found[i][0] and found[i][1] == 1.0 for i, (label, _) in enumerate(_SENTENCES))
 
 
 def test_messy_rows(spark):
