@@ -4,7 +4,8 @@ A logistic classifier scores each document by its text. Its scores are averaged
 and by host, and each average is shrunk toward the level above: a path's to its host's, a
 host's to the whole corpus's. How strongly is estimated from the data: the less the true
 rates differ between groups, the more a small group is drawn to the level above. A
-document's final score combines its own evidence with its path's shrunken rate as prior.
+document's final score combines its own evidence with its path's shrunken rate as prior,
+from which its own score is left out, so that no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -91,13 +92,18 @@ class Classifier:
         return F.greatest(F.least(total, F.lit(20.0)), F.lit(-20.0))
 
 
-def fit_classifier(measured: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> Classifier:
-    """Newton's method on the penalised likelihood. Without rows of both kinds all evidence is neutral."""
+def fit_classifier(measured: np.ndarray, good: np.ndarray, times: np.ndarray, ridge: float = RIDGE) -> Classifier:
+    """Newton's method on the penalised likelihood. Without rows of both kinds all evidence is neutral.
+
+    A row stands for `times` labels, of which the share `good` is good.
+    """
     width = len(FEATURES)
-    rate = (good.sum() + 0.5) / (len(good) + 1)
-    if not 0 < good.sum() < len(good):
+    count, total = (good * times).sum(), times.sum()
+    rate = (count + 0.5) / (total + 1)
+    if not 0 < count < total:
         return Classifier((0.0,) * width, (1.0,) * width, (0.0,) * width, float(np.log(rate / (1 - rate))), float(rate))
-    center, scale = measured.mean(axis=0), measured.std(axis=0)
+    center = np.average(measured, axis=0, weights=times)
+    scale = np.sqrt(np.average((measured - center) ** 2, axis=0, weights=times))
     scale = np.where(scale > 1e-9, scale, 1.0)
     x = np.column_stack([np.clip((measured - center) / scale, -8, 8), np.ones(len(good))])
     penalty = np.diag([ridge] * width + [0.0])
@@ -105,8 +111,8 @@ def fit_classifier(measured: np.ndarray, good: np.ndarray, ridge: float = RIDGE)
     w[-1] = np.log(rate / (1 - rate))
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (good - p) - penalty @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(width + 1), slope)
+        slope = x.T @ (times * (good - p)) - penalty @ w
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(width + 1), slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -142,25 +148,30 @@ def score_quality(
     `host` is the column source, `path` the column lang within it, if not given. `labels`
     has doc_id and quality (1 good, 0 bad); rows with a null in either are left out, and
     of a doc_id labelled more than once each label counts. The classifier is fitted on all
-    labelled documents, or, where there are more than `sample_rows`, on a sample by a hash
-    of their ids that is expected to have so many; all other figures are over all documents.
+    labelled documents, or, where there are more than `sample_rows` different ones, on a
+    sample by a hash that is expected to have so many; all other figures are over all
+    documents.
 
     Returns one row per row of `docs`: doc_id, text_score (by the classifier alone),
-    host_rate, path_rate (shrunken rates of good documents), quality (text and path
-    together, 0 to 1), keep (quality of at least `keep_at`). Null texts are empty texts;
+    host_rate, path_rate (shrunken rates of good documents, of all the host's and path's
+    rows), quality (the text with what the host's and path's other rows say, 0 to 1), keep
+    (quality of at least `keep_at`). Null texts are empty texts;
     null hosts and paths are groups of their own. Without labels every score is the same.
     An empty table gives an empty result. Other columns of `docs` are not looked at.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     measured = stored(docs.select("doc_id", host.alias("host"), path.alias("path"), features(F.col("text")).alias("x")))
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
-    labelled = stored(measured.join(known, "doc_id").select("doc_id", "x", "quality"))
+    given = [F.sum((F.col("quality") > 0).cast("double")).alias("good"), F.count("*").alias("times")]
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(*given)
+    labelled = measured.join(known, "doc_id").groupBy("doc_id", "x").agg(F.sum("good").alias("good"), F.sum("times").alias("times"))
+    labelled = stored(labelled)
     share = min(1.0, sample_rows / max(labelled.count(), 1))
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = labelled.where(drawn).select("x", "quality").orderBy("x", "quality").toPandas()
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("x")), F.lit(1 << 30)) < int(share * (1 << 30))
+    sample = labelled.where(drawn).select("x", "good", "times").orderBy("x", "good", "times").toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(len(sample), len(FEATURES))
-    model = fit_classifier(x, (sample["quality"].to_numpy() > 0).astype(float))
+    times = sample["times"].to_numpy(float)
+    model = fit_classifier(x, sample["good"].to_numpy(float) / times, times)
 
     evidence = model.logit(F.col("x"))
     scored = measured.select("doc_id", "host", "path", evidence.alias("logit")).withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
@@ -173,17 +184,21 @@ def score_quality(
         .withColumn("above", F.lit(overall))
     )
     k_host = _strength(hosts, "rate", "above", "n")
-    host_rates = hosts.select("host", ((F.col("good") + k_host * overall) / (F.col("n") + k_host)).alias("host_rate"))
+    host_rates = hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("good") + k_host * overall) / (F.col("n") + k_host)).alias("host_rate"))
     sited = paths.join(host_rates, paths["host"].eqNullSafe(host_rates["host"])).drop(host_rates["host"])
     sited = stored(sited.withColumn("rate", F.col("good") / F.col("n")))
     k_path = _strength(sited, "rate", "host_rate", "n")
     rates = stored(
         sited.select(
-            "host", "path", "host_rate", ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate")
+            "host", "path", "n", "good", "host_n", "host_good", "host_rate",
+            ((F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)).alias("path_rate"),
         )
     )
     same = scored["host"].eqNullSafe(rates["host"]) & scored["path"].eqNullSafe(rates["path"])
-    prior = F.least(F.greatest("path_rate", F.lit(1e-4)), F.lit(1 - 1e-4))
+    # What the others say: both rates without the document's own score. Strengths are 1 or more.
+    host_others = (F.col("host_good") - F.col("p") + k_host * overall) / (F.col("host_n") - 1 + k_host)
+    others = (F.col("good") - F.col("p") + k_path * host_others) / (F.col("n") - 1 + k_path)
+    prior = F.least(F.greatest(others, F.lit(1e-4)), F.lit(1 - 1e-4))
     base = float(np.log(model.base / (1 - model.base)))
     combined = F.col("logit") - base + F.log(prior / (1 - prior))
     return scored.join(rates, same, "left").select(

@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,50 @@ def test_rates_and_shrinkage(spark):
     assert alone["text_score"] < 0.1 < 0.2 < alone["host_rate"] < found["text_score"].mean()
 
 
+def test_rates_against_plain_arithmetic(spark):
+    """Strengths, rates and the combination from the scores, group by group; a document is no evidence about itself."""
+    docs = corpus(spark).withColumn("lang", F.expr("if(doc_id % 7 = 0, null, lang)"))
+    found = score_quality(docs, docs.select("doc_id", F.col("q").alias("quality"))).join(docs.select("doc_id", "source", "lang", "q"), "doc_id")
+    rows = [r.asDict() for r in found.collect()]
+    overall = sum(r["text_score"] for r in rows) / len(rows)
+
+    def strength(groups):
+        extra = sum(n * (good / n - above) ** 2 - above * (1 - above) for n, good, above in groups)
+        possible = sum((n - 1) * above * (1 - above) for n, good, above in groups)
+        return max(1 / min(extra / possible, 0.5) - 1, 1.0) if extra > 0 and possible > 0 else 1e6
+
+    def totals(*by):
+        found = {}
+        for r in rows:
+            n, good = found.get(tuple(r[c] for c in by), (0, 0.0))
+            found[tuple(r[c] for c in by)] = n + 1, good + r["text_score"]
+        return found
+
+    hosts, paths = totals("source"), totals("source", "lang")
+    k_host = strength([(*g, overall) for g in hosts.values()])
+    host_rate = {h: (good + k_host * overall) / (n + k_host) for (h,), (n, good) in hosts.items()}
+    k_path = strength([(*g, host_rate[h]) for (h, _), g in paths.items()])
+    labelled = (sum(r["q"] for r in rows) + 0.5) / (len(rows) + 1)
+    odds = lambda x: np.log(x / (1 - x))
+    for r in rows:
+        p, (n, good), (host_n, host_good) = r["text_score"], paths[r["source"], r["lang"]], hosts[r["source"],]
+        assert r["host_rate"] == pytest.approx(host_rate[r["source"]])
+        assert r["path_rate"] == pytest.approx((good + k_path * host_rate[r["source"]]) / (n + k_path))
+        above = (host_good - p + k_host * overall) / (host_n - 1 + k_host)
+        prior = min(max((good - p + k_path * above) / (n - 1 + k_path), 1e-4), 1 - 1e-4)
+        assert r["quality"] == pytest.approx(1 / (1 + np.exp(-(odds(p) - odds(labelled) + odds(prior)))), abs=1e-6)
+
+
+def test_repeated_labels_count_by_their_number(spark):
+    """Labels of one id are summed up before they meet the documents, with the result of having each one."""
+    docs = corpus(spark)
+    labels = docs.select("doc_id", F.col("q").alias("quality"))
+    three = score_quality(docs, labels.unionAll(labels).unionAll(labels.where("doc_id < 20"))).orderBy("doc_id").toPandas()
+    each = docs.unionAll(docs.withColumn("doc_id", F.col("doc_id") + 10_000)).unionAll(docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 20_000))
+    apart = score_quality(each, each.select("doc_id", F.col("q").alias("quality"))).where("doc_id < 10000").orderBy("doc_id").toPandas()
+    assert np.allclose(three["text_score"], apart["text_score"], atol=1e-6)
+
+
 @pytest.mark.skipif(not Path(SF_DIR).exists(), reason="supplied data not present")
 def test_accuracy_beyond_the_sample(spark):
     docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
