@@ -5,8 +5,10 @@ of scores (the unigram rule). That is a shortest path, and paths over a max-plus
 combine associatively: a chunk of text is a matrix whose entry (i, j) is the best score of
 crossing it when a piece of the chunk before reaches i characters into it and its own last
 piece reaches j characters into the next. So a giant document is cut into chunks, each
-chunk gives its matrix on its own, one pass over a document's small matrices finds the
-state at every boundary, and each chunk is then traced back on its own.
+chunk gives its matrix on its own. Runs of neighbouring matrices are multiplied into one,
+level by level, until a document has a single one; the states at its ends are known, and
+go down the levels again, each run by itself, until every chunk has its own, from which it
+is traced back alone.
 
 A document of one chunk needs no matrix: its states at both ends are zero.
 """
@@ -31,6 +33,7 @@ from .common import stored
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 1 << 16
+RUN = 16  # neighbouring matrices that are multiplied into one of the next level
 SPACE = "▁"
 _CACHED = 100_000  # words, and as many stretches of words, that are kept; as many before them that may come again
 _STEP_CHARS = 1_000_000  # of texts encoded together
@@ -251,7 +254,7 @@ class Pieces:
     def chunks(self, text: str, size: int) -> list[tuple[str, int, str, str]]:
         """The chunks of a normalised text: character before, offset, text, and what follows as far as a piece reaches."""
         found, meet = [], 0
-        for at in range(0, len(text), size):
+        for at in range(0, max(len(text), 1), size):
             meet = next((p for p in range(at, meet, -1) if text[p - 1 : p + 1] not in self._joined), meet)
             found.append((text[max(at - 1, 0) : at], at - meet, text[at : at + size], text[at + size : at + size + self.longest - 1]))
         return found
@@ -308,15 +311,27 @@ class Pieces:
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
-def boundary_states(matrices: np.ndarray) -> list[tuple[int, int]]:
-    """The best path's state at both ends of every chunk, from matrices (chunk, state, state).
+def product(matrices: np.ndarray) -> np.ndarray:
+    """The max-plus product of matrices (chunk, state, state), relative to its largest entry."""
+    whole = matrices[0]
+    for matrix in matrices[1:]:
+        left, right = whole[:, :, None], matrix[None]
+        through = np.where((left <= _NEVER // 2) | (right <= _NEVER // 2), _NEVER, left + right)
+        whole = through.max(axis=1)
+        reached = whole > _NEVER // 2
+        whole = np.where(reached, whole - whole.max(), _NEVER)
+    return whole
 
-    The scan multiplies a row vector through the chunks; only differences count, so it is
-    kept relative to its largest entry.
+
+def boundary_states(matrices: np.ndarray, enter: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """The best path's state at both ends of every matrix of a run, given those of the run.
+
+    A row vector is multiplied through the run; only differences count, so it is kept
+    relative to its largest entry.
     """
     states = matrices.shape[1]
     vector = np.full(states, _NEVER, np.int64)
-    vector[0] = 0
+    vector[enter] = 0
     came = []
     for matrix in matrices:
         through = vector[:, None] + matrix
@@ -325,7 +340,7 @@ def boundary_states(matrices: np.ndarray) -> list[tuple[int, int]]:
         vector = through.max(axis=0)
         reached = vector > _NEVER // 2
         vector[reached] -= vector[reached].max()
-    found, state = [], 0
+    found, state = [], leave
     for back in reversed(came):
         found.append((int(back[state]), state))
         state = int(back[state])
@@ -411,10 +426,16 @@ def _encode_giant(rows: DataFrame, shared: Broadcast, longest: int, chunk_chars:
         pieces = _loaded(shared.value)
         return pd.Series([pieces.matrix(*row) for row in zip(before, offset.tolist(), text, after)], dtype=object)
 
-    def scan(matrices: pd.DataFrame) -> pd.DataFrame:
-        ordered = matrices.sort_values("k")
-        cubes = np.stack([np.asarray(m, np.int64).reshape(longest, longest) for m in ordered["matrix"]])
-        states = boundary_states(cubes)
+    def cubes(run: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.asarray(m, np.int64).reshape(longest, longest) for m in run["matrix"]])
+
+    def combine(run: pd.DataFrame) -> pd.DataFrame:
+        whole = product(cubes(run.sort_values("k")))
+        return pd.DataFrame({"rid": run["rid"].iloc[:1], "k": run["run"].iloc[:1], "matrix": [whole.ravel()]})
+
+    def hand_down(run: pd.DataFrame) -> pd.DataFrame:
+        ordered = run.sort_values("k")
+        states = boundary_states(cubes(ordered), int(run["enter"].iloc[0]), int(run["leave"].iloc[0]))
         return pd.DataFrame(
             {"rid": ordered["rid"], "k": ordered["k"], "enter": [a for a, _ in states], "leave": [b for _, b in states]}
         )
@@ -438,8 +459,17 @@ def _encode_giant(rows: DataFrame, shared: Broadcast, longest: int, chunk_chars:
     chunks = stored(chunks.select("doc_id", "n_chars", "rid", "k", "chunk.*"))  # fixes rid
     given = ["before", "offset", "text", "after"]
     spread = chunks.repartition("rid", "k")
-    matrices = spread.select("rid", "k", matrix(*given).alias("matrix"))
-    states = stored(matrices.groupBy("rid").applyInPandas(scan, "rid bigint, k int, enter int, leave int"))
+    run = F.expr(f"cast(k div {RUN} as int)")
+    levels = [stored(spread.select("rid", "k", matrix(*given).alias("matrix")))]
+    last = levels[0].agg(F.max("k")).first()[0] or 0
+    while last:
+        runs = levels[-1].withColumn("run", run).groupBy("rid", "run")
+        levels.append(stored(runs.applyInPandas(combine, "rid bigint, k int, matrix array<bigint>")))
+        last //= RUN
+    states = levels[-1].select("rid", "k", F.lit(0).alias("enter"), F.lit(0).alias("leave"))
+    for level in levels[-2::-1]:
+        runs = level.withColumn("run", run).join(states.withColumnRenamed("k", "run"), ["rid", "run"])
+        states = stored(runs.groupBy("rid", "run").applyInPandas(hand_down, "rid bigint, k int, enter int, leave int"))
     traced = spread.join(states, ["rid", "k"]).select(
         "rid", "k", "doc_id", "n_chars", "text", trace(*given, "enter", "leave").alias("ids")
     )

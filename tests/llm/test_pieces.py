@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from messy import LONG, ROWS, empty, messy
-from rowtide.llm.pieces import MODEL_PATH, Pieces, boundary_states, decode_documents, encode_documents
+from rowtide.llm.pieces import MODEL_PATH, Pieces, boundary_states, decode_documents, encode_documents, product
 
 pytestmark = pytest.mark.skipif(not Path(MODEL_PATH).exists(), reason="vocabulary files not present")
 
@@ -71,6 +71,30 @@ def test_decoding(spark):
     assert texts == sorted(((i, t or "") for i, t, *_ in ROWS), key=repr)
 
 
+def test_runs_of_matrices_are_associative():
+    """States handed down from products of runs are those of one pass over all matrices, however the runs are cut."""
+    p, rng = pieces(), random.Random(8)
+    for alphabet in ("abcéßthe▁in 日q\n", "▁theabc", "%=x", "abcdefghij"):
+        text = "".join(rng.choice(alphabet) for _ in range(p.longest * 11))
+        cubes = np.stack([np.array(p.matrix(*c), np.int64).reshape(p.longest, p.longest) for c in p.chunks(text, p.longest)])
+        expected = boundary_states(cubes)
+        for cuts in ([0, 1, 11], [0, 4, 8, 11], [0, 5, 6, 7, 11]):
+            runs = [cubes[a:b] for a, b in zip(cuts, cuts[1:])]
+            above = boundary_states(np.stack([product(r) for r in runs]))
+            assert [s for r, ends in zip(runs, above) for s in boundary_states(r, *ends)] == expected
+
+
+def test_levels_of_products(spark):
+    """A document of many more chunks than a run has, beside short ones and one that is all white space."""
+    p, rng = pieces(), random.Random(9)
+    size = p.longest
+    texts = ["".join(rng.choice("the abcin éq") for _ in range(size * n)) for n in (300, 40, 17, 2)] + [" " * (3 * size), "", "mill"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = {r["doc_id"]: r for r in encode_documents(docs).collect()}
+    cut = {r["doc_id"]: r for r in encode_documents(docs, chunk_chars=size).collect()}
+    assert len(whole) == len(texts) and cut == whole
+
+
 def test_chunks_shorter_than_a_piece_are_refused(spark):
     with pytest.raises(ValueError):
         encode_documents(messy(spark), chunk_chars=3)
