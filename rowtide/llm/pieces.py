@@ -35,8 +35,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 1 << 16
 RUN = 16  # neighbouring matrices that are multiplied into one of the next level
 SPACE = "▁"
-_CACHED = 100_000  # words, and as many stretches of words, that are kept; as many before them that may come again
-_STEP_CHARS = 1_000_000  # of texts encoded together
+_CACHED = 300_000  # words, and as many stretches of words, that are kept; as many before them that may come again
+_STEP_CHARS = 4_000_000  # of texts encoded together
 _PLACES = 16
 _SCALE, _TIES = 1 << 10, 1 << 20  # scores are exact to 1/1024; below that a hash of pieces and places decides
 _LEAST = -1e6  # lower scores bar a piece; they count as this, so that sums stay exact
