@@ -248,7 +248,8 @@ def versions(docs: DataFrame, cells: int = CELLS, parts: int | None = None) -> D
     `docs` are not looked at.
 
     Texts are shuffled once, by ranges of ids. Each range also gets the first row of the
-    next one. A task holds a batch of rows, never its whole range.
+    next one. Each range has a task of its own, which holds a batch of rows, never the whole
+    range.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -263,7 +264,7 @@ def versions(docs: DataFrame, cells: int = CELLS, parts: int | None = None) -> D
     guest = F.struct(F.col("back").alias("part"), F.lit(True).alias("guest"))
     places = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, guest)).otherwise(F.array(own))
     dealt = placed.select("doc_id", "text", F.explode(places).alias("at")).select("at.part", "at.guest", "doc_id", "text")
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    ordered = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, texts, guests, held = [], [], [], 0
