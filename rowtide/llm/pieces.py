@@ -251,6 +251,11 @@ class Pieces:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
+    def forget(self) -> None:
+        """Give up the words and stretches kept so far: a worker stays for other steps and need not hold them."""
+        self._words = _Cache()
+        self._stretches = _Cache()
+
     def chunks(self, text: str, size: int) -> list[tuple[str, int, str, str]]:
         """The chunks of a normalised text: character before, offset, text, and what follows as far as a piece reaches."""
         found, meet = [], 0
@@ -406,6 +411,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL_PATH, chunk_chars:
                     [part.column("doc_id"), part.column("n_chars"), *_columns(pieces, ids, normal)],
                     names=["doc_id", "n_chars", "n_tokens", "score", "tokens", "round_trip"],
                 )
+        pieces.forget()
 
     small = rows.where(n_chars <= chunk_chars).select("doc_id", n_chars.alias("n_chars"), "text")
     named = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_chars bigint, "
@@ -446,7 +452,9 @@ def _encode_giant(rows: DataFrame, shared: Broadcast, longest: int, chunk_chars:
     ) -> pd.Series:
         pieces = _loaded(shared.value)
         places = zip(before, offset.tolist(), text, after, enter.tolist(), leave.tolist())
-        return pd.Series([pieces.stretch(*row) for row in places], dtype=object)
+        found = pd.Series([pieces.stretch(*row) for row in places], dtype=object)
+        pieces.forget()
+        return found
 
     @F.pandas_udf(_RESULT)
     def finish(tokens: pd.Series, normal: pd.Series) -> pd.DataFrame:

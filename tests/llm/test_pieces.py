@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from messy import LONG, ROWS, empty, messy
@@ -98,3 +99,22 @@ def test_levels_of_products(spark):
 def test_chunks_shorter_than_a_piece_are_refused(spark):
     with pytest.raises(ValueError):
         encode_documents(messy(spark), chunk_chars=3)
+
+
+def test_workers_keep_no_words_between_tasks(spark):
+    """Idle workers stay with their executor: what they hold is memory that other steps lack."""
+    words = "concat_ws(' ', transform(sequence(1, 400), i -> concat('w', id, 'x', i)))"
+    encode_documents(spark.range(0, 64, 1, 8).selectExpr("id AS doc_id", f"{words} AS text")).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            pass
+        models = [x for x in gc.get_objects() if type(x).__name__ == "Pieces"]
+        kept = [len(c) + len(c.before) for x in models for c in (x._words, x._stretches)]
+        yield pd.DataFrame({"models": [len(models)], "kept": [sum(kept)]})
+
+    found = spark.range(0, 8, 1, 8).mapInPandas(held, "models int, kept int").agg({"models": "sum", "kept": "sum"}).first()
+    assert found["sum(models)"] > 0  # the workers that encoded are the ones asked
+    assert found["sum(kept)"] == 0
