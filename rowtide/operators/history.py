@@ -188,21 +188,35 @@ def _typed(changes: DataFrame, ranks: _Ranks, *also: str) -> DataFrame:
     )
 
 
-def _flag_late(history: DataFrame, changes: DataFrame, keys: list[str], ranks: _Ranks) -> DataFrame:
-    """Changes with `__late`: older than their key's history, or in it already. Joins by key."""
+def _flag_late(history: DataFrame, changes: DataFrame, keys: list[str], ranks: _Ranks, only: bool = False) -> DataFrame:
+    """Changes with `__late`: older than their key's history, or in it already. Joins by key.
+
+    `only`: without the changes that are newer than their key's history or have none, of
+    which none is late. Only columns of the feed go through the joins; what is compared is
+    worked out beside them.
+    """
     payload = [c for c in table_columns(changes) if c not in keys]
-    holders = _holders(history.join(changes.select(*keys).distinct(), keys, "left_semi"))
-    rank = ranks.rank(F.col(_TIME), F.col(_ORDER))
-    seen = _known(holders, keys, payload, ranks).select(*keys, _identity(payload, rank).alias(_KNOWN)).distinct()
-    typed = _typed(changes.withColumn("__row", F.struct(*changes.columns)), ranks, "__row")
-    typed = typed.join(_newest(holders, keys, ranks), keys, "left")
-    typed = typed.select("*", rank.alias("__rank"), _identity(payload, rank).alias("__identity")).alias("c")
+    if broadcastable(changes.select(*keys)):
+        history = history.join(changes.select(*keys).distinct(), keys, "left_semi")
+    holders = _holders(history)
+    names = [f"__key{i}" for i in range(len(keys))]
+    key_names = [F.col(k).alias(n) for k, n in zip(keys, names)]
     same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"c.`{k}`") == F.col(f"s.`{k}`"))
-    marked = typed.join(seen.alias("s"), same & F.col("c.__identity").eqNullSafe(F.col(f"s.{_KNOWN}")), "left")
-    older = ~_may_be_new(F.col("c.__rank"), F.col(f"c.{_NEWEST}"))
-    return marked.select("c.__row.*", (older | F.col(f"s.{_KNOWN}").isNotNull()).alias("__late"))
+    for k, n in zip(keys, names):
+        same = same & (F.col(k).cast(ranks.types[k]) == F.col(n))
+    rank = ranks.rank(F.col(CHANGE_TIMESTAMP).cast(ranks.types["effective_date"]), ranks.order_of())
+    newest = _newest(holders, keys, ranks).select(*key_names, _NEWEST)
+    older = ~_may_be_new(rank, F.col(_NEWEST))
+    placed = changes.join(newest, same, "inner" if only else "left")
+    if only:
+        placed = placed.where(F.col(_NEWEST).isNull() | ~F.coalesce(rank > F.col(_NEWEST), F.lit(False)))
+    placed = placed.select(*changes.columns, older.alias("__older"))
+    held_rank = ranks.rank(F.col(_TIME), F.col(_ORDER))
+    seen = _known(holders, keys, payload, ranks).select(*key_names, _identity(payload, held_rank).alias(_KNOWN)).distinct()
+    values = [F.when(~is_delete(), F.col(c).cast(ranks.types[c])).alias(f"p{i}") for i, c in enumerate(payload)]
+    identity = F.struct(rank.alias("rank"), is_delete().alias(DELETED), *values)
+    marked = placed.join(seen, same & identity.eqNullSafe(F.col(_KNOWN)), "left")
+    return marked.select(*changes.columns, (F.col("__older") | F.col(_KNOWN).isNotNull()).alias("__late"))
 
 
 def late_changes(
@@ -210,7 +224,7 @@ def late_changes(
 ) -> DataFrame:
     """Changes that `scd2_apply` leaves out: older than their key's history, or already in it."""
     ranks = _Ranks(history, changes, order_by)
-    return _flag_late(history, changes.where(is_change()), list(keys), ranks).where("__late").drop("__late")
+    return _flag_late(history, changes.where(is_change()), list(keys), ranks, only=True).where("__late").drop("__late")
 
 
 def hot_key_bounds(changes: DataFrame, keys: Sequence[str], order: str | Sequence[str], max_rows: int) -> DataFrame | None:

@@ -413,3 +413,21 @@ def test_hot_key_without_any_time(spark):
     """A key over the limit whose changes have no time is one segment, not an error."""
     feed = changes(spark, [(None, "U", 1, f"name {i}") for i in range(40)])
     assert hot_key_bounds(feed, ["id"], "header__timestamp", 10).first()["__bounds"] == []
+
+
+def test_late_changes_shuffle_the_feed_only_where_needed(spark):
+    first = [(5, "I", 1, "a"), (3, "I", 2, "b"), (5, "D", 2, None)]
+    history = scd2_apply(empty_history(spark), changes(spark, first), ["id"])
+    late = [(4, "U", 1, "older"), (4, "U", 1, "older"), (5, "U", 1, "a"), (5, "D", 2, None), (4, "U", 2, "older, too")]
+    new = [(5, "U", 1, "same time"), (6, "U", 1, "new"), (6, "U", 2, "new"), (1, "U", 3, "no history"), (1, "U", None, "no key")]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = late_changes(history, changes(spark, late + new), ["id"])
+        assert sorted((r["id"], r["name"] or "") for r in found.collect()) == sorted((c[2], c[3] or "") for c in late)
+        # History and feed are each dealt out by key once, and only changes that may be late a second time.
+        stored = spark.createDataFrame(history.collect(), history.schema)
+        shuffles = plan(late_changes(stored, changes(spark, late + new), ["id"])).count("Exchange hashpartitioning")
+        assert shuffles <= 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
