@@ -237,6 +237,11 @@ def resize(df: DataFrame, partitions: int | None = None, max_bytes: int = MAX_PA
     return df.repartition(estimate_partitions(df, max_bytes) if partitions is None else partitions)
 
 
+def task_bytes(spark: SparkSession, max_bytes: int) -> int:
+    """Stored bytes for one task to rewrite: what Spark gives a task to read, and no more than `max_bytes`."""
+    return min(max_bytes, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+
 def packed(df: DataFrame, partitions: int) -> DataFrame:
     """A scan's rows in about so many partitions: neighbours are joined without a shuffle; only a scan of too few is dealt out anew."""
     return df.coalesce(partitions) if partitions <= df.rdd.getNumPartitions() else df.repartition(partitions)
@@ -266,17 +271,20 @@ def compact_table(
 ) -> int:
     """Write the current state again as a generation of its own, in well-sized files.
 
-    `sizing="files"` goes by the stored bytes and joins small files without a shuffle;
-    `"text"` measures all values in a pass of its own. A partitioned table keeps its
-    partitions.
+    `sizing="files"` goes by the stored bytes and joins small files without a shuffle, up
+    to what one task reads (`spark.sql.files.maxPartitionBytes`) and `max_bytes`: a larger
+    file would be read in parts anyway, but written by a single task. `"text"` measures all
+    values in a pass of its own. A partitioned table keeps its partitions.
     """
     state = table_state(spark, root)
     if state is None:
         raise FileNotFoundError(f"no table at {root}")
     df = read_folders(spark, root, state, state.folders)
     if not state.partition_by and not state.buckets:
-        by_files = sizing == "files"
-        df = packed(df, partitions_for_table(spark, root, state, max_bytes)) if by_files else resize(df, None, max_bytes)
+        if sizing == "files":
+            df = packed(df, partitions_for_table(spark, root, state, task_bytes(spark, max_bytes)))
+        else:
+            df = resize(df, None, max_bytes)
     return write_generation(
         df, root, partition_by=state.partition_by, keys=state.keys, buckets=state.buckets
     )

@@ -318,3 +318,20 @@ def test_metadata_without_a_file_name_does_not_read_the_folder(spark, tmp_path):
     (tmp_path / "stray.json").write_text('{"id": 1}\n')
     with pytest.raises(CatalogError):
         initial_load(spark, str(tmp_path), str(tmp_path / "t"))
+
+
+def test_compaction_gives_no_task_more_than_spark_reads_at_once(spark, tmp_path):
+    root = str(tmp_path / "t")
+    many = spark.range(0, 100_000, 1, 20).selectExpr("cast(id as int) id", "sha2(cast(id as string), 256) name")
+    write_generation(many, root)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        compact_table(spark, root)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    sizes = [f.stat().st_size for f in (tmp_path / "t" / "gen=1").glob("*.parquet")]
+    assert 1 < len(sizes) < 20 and max(sizes) <= 2 << 20
+    assert read_table(spark, root).exceptAll(many).isEmpty() and read_table(spark, root).count() == 100_000
+    compact_table(spark, root)  # as much as a task reads by default is one file
+    assert len(list((tmp_path / "t" / "gen=2").glob("*.parquet"))) == 1
