@@ -16,9 +16,11 @@ A document of one chunk needs no matrix: its states at both ends are zero.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 import re
 import sys
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -35,8 +37,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 1 << 16
 RUN = 16  # neighbouring matrices that are multiplied into one of the next level
 SPACE = "▁"
-_CACHED = 300_000  # words, and as many stretches of words, that are kept; as many before them that may come again
-_STEP_CHARS = 4_000_000  # of texts encoded together
+_WORDS_KEPT = 150_000  # as many before them that may come again
+_STRETCHES_KEPT = 100_000  # of words, likewise
+_LEARNT = 1 << 15  # words whose stretches are held at a time
+_STEP_CHARS = 2_000_000  # of texts encoded together
 _PLACES = 16
 _SCALE, _TIES = 1 << 10, 1 << 20  # scores are exact to 1/1024; below that a hash of pieces and places decides
 _LEAST = -1e6  # lower scores bar a piece; they count as this, so that sums stay exact
@@ -48,9 +52,10 @@ def _id_bytes(number: int) -> bytes:
 
 
 class _Cache(dict):
-    """What was used lately: what is not asked for again while `_CACHED` others come is given up."""
+    """What was used lately: what is not asked for again while `kept` others come is given up."""
 
-    def __init__(self) -> None:
+    def __init__(self, kept: int) -> None:
+        self.kept = kept
         self.before: dict[str, bytes] = {}
 
     def missing(self, asked: set[str]) -> set[str]:
@@ -61,7 +66,7 @@ class _Cache(dict):
         return new - again
 
     def turn_over(self) -> None:
-        if len(self) > _CACHED:
+        if len(self) > self.kept:
             self.before = dict(self)
             self.clear()
 
@@ -72,7 +77,7 @@ class Pieces:
     def __init__(self, model: bytes) -> None:
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalize = library.normalize
-        self.weights: dict[str, tuple[bytes, tuple[int, ...]]] = {}  # id, weight by place
+        self.weights: dict[str, tuple[bytes, array[int]]] = {}  # id, weight by place
         self.bytes: list[bytes] | None = None
         self.unknown = library.unk_id()
         self.texts: list[bytes] = []
@@ -96,28 +101,27 @@ class Pieces:
         self._score_of = np.array(self.scores)
         self.longest = max(map(len, self.weights), default=1)
         # Beginnings of pieces that are no pieces: nothing longer can match once a stretch is in neither.
-        self._known: dict[str, tuple[bytes, tuple[int, ...]] | None] = {}
+        self._known: dict[str, tuple[bytes, array[int]] | None] = {}
         for piece in self.weights:
             for end in range(1, len(piece)):
                 self._known.setdefault(piece[:end], None)
         self._known.update(self.weights)
-        self._endings: dict[str, tuple[bytes, tuple[int, ...]] | None] = {}
+        self._endings: dict[str, tuple[bytes, array[int]] | None] = {}
         for piece in self.weights:
             for begin in range(1, len(piece)):
                 self._endings.setdefault(piece[begin:], None)
         self._endings.update(self.weights)
         # Neighbouring characters inside a piece. All paths meet between two others, as before a word's space.
         self._joined = {piece[i : i + 2] for piece in self.weights for i in range(len(piece) - 1)}
-        self._words = _Cache()
-        self._stretches = _Cache()
+        self.forget()
         words_meet = not any(pair[0] != SPACE and pair[1] == SPACE for pair in self._joined)
-        self._split = _WORDS.findall if words_meet else lambda text: [text] if text else []
+        self._split = _words(self._joined).findall if words_meet else lambda text: [text] if text else []
 
     @staticmethod
-    def _placed(score: float, piece: str) -> tuple[int, ...]:
+    def _placed(score: float, piece: str) -> array[int]:
         """The weight at each place after a meeting point: the score first, then a hash that decides between equal ones."""
         main = round(max(score, _LEAST) * _SCALE) * _TIES
-        return tuple(main - xxhash.xxh32_intdigest(piece, seed=i) % _TIES for i in range(_PLACES))
+        return array("q", [main - xxhash.xxh32_intdigest(piece, seed=i) % _TIES for i in range(_PLACES)])
 
     def _reach(
         self, text: str, start: int, inner: int, offset: int = 0
@@ -180,7 +184,7 @@ class Pieces:
 
     def _learn(self, stretches: Iterable[str]) -> None:
         """Remember the best path of each stretch. In order of the alphabet, what they begin with in common is done once."""
-        known, longest, unknown = self._endings, self.longest, self._unknown_weight
+        ending, longest, unknown = self._endings.get, self.longest, self._unknown_weight
         before, best, begin, last = "", [0], [0], [None]
         for text in sorted(stretches):
             same = 0
@@ -190,20 +194,23 @@ class Pieces:
                 same += 1
             del best[same + 1 :], begin[same + 1 :], last[same + 1 :]
             for j in range(same + 1, len(text) + 1):
-                top, at, piece, single = None, 0, None, False
-                for i in range(j - 1, max(j - longest, 0) - 1, -1):
-                    found = known.get(text[i:j], 0)
-                    if not found:
-                        if found == 0:
+                at = j - 1
+                found = ending(text[at:j], 0)
+                if found:
+                    top, piece, by_unknown = best[at] + found[1][at % _PLACES], found[0], None
+                else:
+                    top, piece, by_unknown = -math.inf, None, best[at] + unknown
+                if found != 0:
+                    for i in range(j - 2, j - longest - 1 if j > longest else -1, -1):
+                        found = ending(text[i:j], 0)
+                        if found:
+                            weight = best[i] + found[1][i % _PLACES]
+                            if weight >= top:
+                                top, at, piece = weight, i, found[0]
+                        elif found == 0:
                             break
-                        continue
-                    if i == j - 1:
-                        single = True
-                    weight = best[i] + found[1][i % _PLACES]
-                    if top is None or weight >= top:
-                        top, at, piece = weight, i, found[0]
-                if not single and (top is None or best[j - 1] + unknown > top):
-                    top, at, piece = best[j - 1] + unknown, j - 1, None
+                if by_unknown is not None and by_unknown > top:
+                    top, at, piece = by_unknown, j - 1, None
                 best.append(top)
                 begin.append(at)
                 last.append(piece)
@@ -212,11 +219,10 @@ class Pieces:
 
     def _parts(self, word: str) -> list[str]:
         """The stretches of a word: all paths meet between two characters that no piece holds side by side."""
-        pairs = list(map(operator.add, word, word[1:]))
-        if self._joined.issuperset(pairs):
+        if self._joined.issuperset(map(operator.add, word, word[1:])):
             return [word]
         found, begin = [], 0
-        for end, pair in enumerate(pairs, 1):
+        for end, pair in enumerate(map(operator.add, word, word[1:]), 1):
             if pair not in self._joined:
                 found.append(word[begin:end])
                 begin = end
@@ -224,13 +230,13 @@ class Pieces:
         return found
 
     def _learn_words(self, words: set[str]) -> None:
-        parts = {word: self._parts(word) for word in words}
-        have = self._stretches
-        self._learn(have.missing({x for found in parts.values() for x in found}))
-        words = self._words
-        for word, found in parts.items():
-            words[word] = have[found[0]] if len(found) == 1 else b"".join([have[x] for x in found])
-        have.turn_over()
+        have, ordered = self._stretches, sorted(words)
+        for at in range(0, len(ordered), _LEARNT):
+            parts = {word: self._parts(word) for word in ordered[at : at + _LEARNT]}
+            self._learn(have.missing({x for found in parts.values() for x in found}))
+            for word, found in parts.items():
+                self._words[word] = have[found[0]] if len(found) == 1 else b"".join([have[x] for x in found])
+            have.turn_over()
 
     def _meets(self, before: str, text: str, after: str) -> tuple[int, int] | None:
         """First and last position of `text`, its ends included, at which all paths meet."""
@@ -253,8 +259,8 @@ class Pieces:
 
     def forget(self) -> None:
         """Give up the words and stretches kept so far: a worker stays for other steps and need not hold them."""
-        self._words = _Cache()
-        self._stretches = _Cache()
+        self._words = _Cache(_WORDS_KEPT)
+        self._stretches = _Cache(_STRETCHES_KEPT)
 
     def chunks(self, text: str, size: int) -> list[tuple[str, int, str, str]]:
         """The chunks of a normalised text: character before, offset, text, and what follows as far as a piece reaches."""
@@ -313,7 +319,18 @@ class Pieces:
         return b"".join(map(self.texts.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+def _words(joined: set[str]) -> re.Pattern[str]:
+    """Matches words with the spaces before them, their marks apart.
+
+    A piece may join a few letters to marks (an underscore, say). A stretch of either that
+    one of these follows or begins goes as far as the next space.
+    """
+    letter = re.compile(r"\w").match
+    mixed = [pair for pair in joined if SPACE not in pair and bool(letter(pair[0])) != bool(letter(pair[1]))]
+    both = {c for pair in mixed for c in pair if letter(c)}
+    some = "".join(map(re.escape, sorted(both)))
+    alone = f"(?![{some}])" if both else ""
+    return re.compile(f"{SPACE}*+(?:[^\\W{some}]++{alone}|[^\\w{SPACE}]++{alone}|[^{SPACE}]++)|{SPACE}++")
 
 
 def product(matrices: np.ndarray) -> np.ndarray:
